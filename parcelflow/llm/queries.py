@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, flac, pii, quality, token_counts, token_files, url_filter
+from . import bpe, flac, pii, quality, suffix_dedup, token_counts, token_files, url_filter
 from .storage import table
 
 #: Fixed rules that the url query judges by.
@@ -32,6 +32,10 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.dedup(table(spark, sf_dir, "documents"))
+
+
 def op9_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find_pii(table(spark, sf_dir, "documents"))
 
@@ -40,7 +44,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op4_flac_media, op5_url_filter, op6_token_files, op7_quality, op9_pii_spans, op10_byte_bpe)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op4_flac_media, op5_url_filter, op6_token_files, op7_quality, op8_suffix_dedup, op9_pii_spans, op10_byte_bpe)}
 
 ORACLE_SQL = {
     "op5_url_filter": """
