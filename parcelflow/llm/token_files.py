@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,7 +34,7 @@ FRAME = np.dtype([("entry", "<u8"), ("at", "<u8"), ("size", "<u4"), ("ids", "<u4
 ENTRY = np.dtype([("doc_id", "<i8"), ("start", "<u8"), ("ids", "<u4")])
 #: Ids after which a frame is closed; a longer document is a frame of its own.
 FRAME_IDS = 1 << 16
-#: Chunks of text remembered by one Python worker; when full, the memory starts anew.
+#: Forms of words remembered by one Python worker; when full, the memory before it goes and those still met move on.
 REMEMBERED = 300_000
 #: Text bytes of a file, about; the number of files follows the input.
 FILE_BYTES = 24 << 20
@@ -132,10 +133,15 @@ class Reader:
 class ChunkEncoder:
     """Ids of texts by the tokenizers library.
 
-    For a tokenizer whose pre-tokenizer drops white space, a text's ids are those of its chunks between
-    spaces, so each distinct chunk goes through the library once and is remembered.
+    For a tokenizer that lower-cases and whose pre-tokenizer drops white space, a text's ids are those of
+    its chunks between white space.  A chunk of plain Latin letters is looked up in lower case, and the
+    marks behind its last letter or digit, where a pre-token ends, by themselves.  Each distinct form goes
+    through the library once and is remembered.
     """
 
+    LATIN = r"^[\x21-\x7e\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{ff}]*$"
+    MARKS = ".,!?;:%*#&$"
+
     def __init__(self, path: str):
         import os
 
@@ -143,23 +149,33 @@ class ChunkEncoder:
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(path)
-        a, b = (self.model.encode(x, add_special_tokens=False).ids for x in ("it's one, Two", "it's   one,\nTwo"))
+        a, b = (self.model.encode(x, add_special_tokens=False).ids for x in ("it's one, Two%%%", "IT'S   oNe ,\nTWO %%%"))
         if a != b:
-            raise ValueError("the tokenizer keeps white space: texts can't be encoded chunk by chunk")
+            raise ValueError("the tokenizer keeps white space or case: texts can't be encoded chunk by chunk")
         self.width = 2 if self.model.get_vocab_size() <= 1 << 16 else 4
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+
+    def _looked_up(self, forms: list[str]) -> list[bytes]:
+        if len(self.known) > REMEMBERED:
+            self.known, self.older = {}, self.known
+        known, older = self.known, self.older
+        known.update((w, older[w]) for w in forms if w not in known and w in older)
+        if new := [w for w in forms if w not in known]:
+            kind = "H" if self.width == 2 else "I"
+            known.update((w, array(kind, e.ids).tobytes()) for w, e in zip(new, self.model.encode_batch_fast(new, add_special_tokens=False)))
+        return [known[w] for w in forms]
 
     def encode(self, texts: pa.Array, end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """(ids, offsets) of an array without nulls; ``end`` is appended to each text."""
-        offsets, codes, words = split_distinct(texts)
-        words, known = words.to_pylist(), self.known
-        if new := [w for w in words if w not in known]:
-            if len(known) + len(new) > REMEMBERED:
-                known.clear()
-                new = words
-            kind = f"<u{self.width}"
-            known.update((w, np.array(e.ids, kind).tobytes()) for w, e in zip(new, self.model.encode_batch_fast(new, add_special_tokens=False)))
-        ids = [known[w] for w in words]
+        offsets, codes, words = split_distinct(pc.replace_substring(texts, "\n", " "))
+        plain = pc.and_(pc.match_substring_regex(words, self.LATIN), pc.invert(pc.match_substring(words, "<|")))
+        words = pc.if_else(plain, pc.utf8_lower(words), words)
+        marked = pc.and_(plain, pc.match_substring_regex(words, rf"[a-z0-9\x{{e0}}-\x{{f6}}\x{{f8}}-\x{{ff}}][{self.MARKS}]+$"))
+        bodies = pc.if_else(marked, pc.ascii_rtrim(words, self.MARKS), words).dictionary_encode()
+        tails = pc.if_else(marked, pc.replace_substring_regex(words, rf"(?s)^.*[^{self.MARKS}]", ""), "").dictionary_encode()
+        body, tail = (self._looked_up(x.dictionary.to_pylist()) for x in (bodies, tails))
+        ids = [body[i] + tail[j] for i, j in zip(bodies.indices.to_pylist(), tails.indices.to_pylist())]
         sizes = np.array([len(x) for x in ids], np.int64) // self.width
         table = np.frombuffer(b"".join(ids), f"<u{self.width}")
         starts = np.cumsum(sizes) - sizes
