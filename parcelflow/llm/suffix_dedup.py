@@ -38,6 +38,8 @@ LENGTH, GRAM = 50, 20
 WINDOW = LENGTH - GRAM + 1
 #: Text bytes of a part, about: what a task holds of documents at once.  Parts follow the input.
 PART_BYTES = 6 << 20
+#: Text bytes whose anchors are gathered before they are sent, and bytes hashed at once.
+BLOCK_BYTES, STEP = 16 << 20, 1 << 20
 SCHEMA = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string"
 _BLOB = "at int, blob binary"
 _M1, _M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
@@ -75,35 +77,37 @@ def _slide(h: np.ndarray, width: int, f) -> np.ndarray:
 
 def anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(positions, hashes) of all anchors of texts that lie side by side; ties count."""
-    none = np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    if len(data) < LENGTH:
-        return none
-    h = gram_hashes(data)
+    found = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
     # Strings over the border of two texts must not count: windows there get no say.
-    starts = np.arange(len(data) - LENGTH + 1)
-    border = np.zeros(len(data) + 1, np.int8)
+    border = np.zeros(len(data) + 1, bool)
     for cut in offsets[1:-1].tolist():
-        border[max(0, cut - LENGTH + 1) : cut] = 1
-    least = _slide(h, WINDOW, np.minimum)[: len(starts)]
-    least[border[: len(starts)] == 1] = 0
-    padded = np.concatenate([np.zeros(WINDOW - 1, np.uint64), least, np.zeros(WINDOW - 1, np.uint64)])
-    at = np.flatnonzero((_slide(padded, WINDOW, np.maximum)[: len(h)] == h) & (h > 0))
-    return at, h[at]
+        border[max(0, cut - LENGTH + 1) : cut] = True
+    for begin in range(0, len(data) - LENGTH + 1, STEP):
+        piece = data[begin : begin + STEP + LENGTH - 1]
+        h = gram_hashes(piece)
+        least = _slide(h, WINDOW, np.minimum)
+        least[border[begin : begin + len(least)]] = 0
+        padded = np.concatenate([np.zeros(WINDOW - 1, np.uint64), least, np.zeros(WINDOW - 1, np.uint64)])
+        at = np.flatnonzero((_slide(padded, WINDOW, np.maximum)[: len(h)] == h) & (h > 0))
+        found[0].append(at + begin)
+        found[1].append(h[at])
+    at, first = np.unique(np.concatenate(found[0]), return_index=True)
+    return at, np.concatenate(found[1])[first]
 
 
 def _pack(**arrays: np.ndarray) -> bytes:
-    """Arrays of bytes, ints and so on in one compressed blob."""
-    sink = pa.BufferOutputStream()
-    batch = pa.record_batch([pa.array([a.tobytes()], pa.binary()) for a in arrays.values()], names=[f"{k}:{a.dtype.str}" for k, a in arrays.items()])
-    with pa.ipc.new_stream(sink, batch.schema) as out:
-        out.write_batch(batch)
-    return zstandard.ZstdCompressor(level=1).compress(sink.getvalue().to_pybytes())
+    """Named arrays in one compressed blob: a line of names, kinds and lengths, then the bytes."""
+    head = ",".join(f"{k}:{a.dtype.str}:{len(a)}" for k, a in arrays.items()).encode() + b"\n"
+    return zstandard.ZstdCompressor(level=1).compress(head + b"".join(a.tobytes() for a in arrays.values()))
 
 
 def _unpack(blob: bytes) -> dict[str, np.ndarray]:
-    with pa.ipc.open_stream(zstandard.ZstdDecompressor().decompress(blob)) as read:
-        batch = read.read_next_batch()
-    return {n.split(":", 1)[0]: np.frombuffer(c[0].as_py(), n.split(":", 1)[1]) for n, c in zip(batch.schema.names, batch.columns)}
+    head, _, raw = zstandard.ZstdDecompressor().decompress(blob).partition(b"\n")
+    out, at = {}, 0
+    for name, kind, n in (x.split(":") for x in head.decode().split(",")):
+        out[name] = np.frombuffer(raw, kind, int(n), at)
+        at += out[name].nbytes
+    return out
 
 
 def _cuts(keys: np.ndarray) -> tuple[np.ndarray, list[int]]:
@@ -134,17 +138,22 @@ def _per_part(keys: np.ndarray, parts: int, **arrays: np.ndarray) -> list[tuple[
     return [(int(at[order[a]]), _pack(key=keys[order[a:b]], **{k: v[order[a:b]] for k, v in arrays.items()})) for a, b in zip(edges, edges[1:])]
 
 
-def _send_anchors(part: pa.RecordBatch, hash_parts: int, parts: int) -> list[tuple[int, bytes]]:
-    """Step 1.  Blobs go to partitions of hashes; what is known to be shared rides along."""
+def _anchors_of(part: pa.RecordBatch) -> tuple[np.ndarray, ...]:
+    """(hash, doc_id, position, row key) of the anchors of a slice; a row met before, id and text, has none."""
     data, offsets = byte_view(part.column(1))
     doc_ids = part.column(0).to_numpy()
     at, h = anchors(data, offsets)
     doc = np.searchsorted(offsets, at, side="right") - 1
     row_key = row_keys(doc_ids, part.column(1))
     again = np.ones(len(row_key), bool)
-    again[np.unique(row_key, return_index=True)[1]] = False  # a row that came before, id and text
+    again[np.unique(row_key, return_index=True)[1]] = False
     doc, at, h = (x[~again[doc]] for x in (doc, at, h))
-    pos, ids, keys = at - offsets[doc], doc_ids[doc], row_key[doc]
+    return h, doc_ids[doc], (at - offsets[doc]).astype(np.uint32), row_key[doc]
+
+
+def _send_anchors(found: list[tuple[np.ndarray, ...]], hash_parts: int, parts: int) -> list[tuple[int, bytes]]:
+    """Step 1.  Blobs go to partitions of hashes; what is known to be shared rides along."""
+    h, ids, pos, keys = (np.concatenate(x) for x in zip(*found))
     order = np.lexsort((ids, h))
     h, ids, pos, keys = h[order], ids[order], pos[order], keys[order]
     first = np.append(True, h[1:] != h[:-1]) if len(h) else np.zeros(0, bool)
@@ -155,12 +164,15 @@ def _send_anchors(part: pa.RecordBatch, hash_parts: int, parts: int) -> list[tup
     # One entry speaks for its hash, all others of a shared anchor are settled here; where one document
     # holds an anchor more than once, all its positions wait for the answer.
     ask = first | ~known
-    to = (h[ask] % np.uint64(hash_parts)).astype(np.int64)
-    rows = []
-    o, edges = _cuts(to)
-    hh, ii, pp, kk, rr = h[ask][o], ids[ask][o], pos[ask][o], known[ask][o], keys[ask][o]
-    for a, b in zip(edges, edges[1:]):
-        rows.append((int(to[o[a]]), _pack(hash=hh[a:b] // np.uint64(hash_parts), doc_id=ii[a:b], key=rr[a:b], pos=pp[a:b].astype(np.uint32), known=kk[a:b])))
+    h, known = h[ask], known[ask]
+    to = (h % np.uint64(hash_parts)).astype(np.int64)
+    h = h // np.uint64(hash_parts)
+    asked = {"doc_id": ids[ask], "key": keys[ask], "pos": pos[ask], "known": known, "low": h.astype(np.uint32), "high": (h >> np.uint64(32)).astype(np.uint16)}
+    # By document within a blob: ids and keys come in runs, which compress.
+    order = np.lexsort((asked["pos"], asked["key"], asked["doc_id"], to))
+    to = to[order]
+    edges = [0, *(np.flatnonzero(np.diff(to)) + 1).tolist(), len(to)] if len(to) else [0]
+    rows = [(int(to[a]), _pack(**{k: v[order[a:b]] for k, v in asked.items()})) for a, b in zip(edges, edges[1:])]
     settled = _per_part(keys[~ask], parts, pos=pos[~ask].astype(np.uint32))
     rows += [(p % hash_parts, b"S" + p.to_bytes(4, "little") + blob) for p, blob in settled]
     return rows
@@ -171,7 +183,8 @@ def _shared(blobs: list[bytes], parts: int) -> list[tuple[int, bytes]]:
     rows = [(int.from_bytes(b[1:5], "little"), b[5:]) for b in blobs if b[:1] == b"S"]
     asked = [_unpack(b) for b in blobs if b[:1] != b"S"]
     if asked:
-        h, ids, pos, known, keys = (np.concatenate([x[k] for x in asked]) for k in ("hash", "doc_id", "pos", "known", "key"))
+        low, high, ids, pos, known, keys = (np.concatenate([x[k] for x in asked]) for k in ("low", "high", "doc_id", "pos", "known", "key"))
+        h = (high.astype(np.uint64) << np.uint64(32)) | low  # 48 bits: a collision only makes a candidate more
         order = np.lexsort((ids, h))
         h, ids, pos, known, keys = h[order], ids[order], pos[order], known[order], keys[order]
         first = np.append(True, h[1:] != h[:-1])
@@ -428,10 +441,18 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     numbered = rows.where("doc_id is not null")
     size = numbered.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(4 * partitions(spark), round(size / PART_BYTES))
+    hash_parts = max(4 * partitions(spark), round(size / BLOCK_BYTES))
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, limit=4 * PART_BYTES):
-            yield _batch(_send_anchors(part, parts, parts))
+        held, size = [], 0
+        for part in slices(batches, limit=STEP):
+            held.append(_anchors_of(part))
+            size += part.column(1).nbytes
+            if size >= BLOCK_BYTES:
+                yield _batch(_send_anchors(held, hash_parts, parts))
+                held, size = [], 0
+        if held:
+            yield _batch(_send_anchors(held, hash_parts, parts))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
