@@ -249,3 +249,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = texts.select("digest", "node").join(roots, "node", "left").select("digest", F.coalesce("root", "node").alias("class_id"))
     out = signed.select("doc_id", "digest").join(classes, "digest").select("doc_id", "class_id")
     return out.unionByName(rows.where("doc_id is null").select("doc_id", F.lit(None).cast("bigint").alias("class_id")))
+
+
+def keep_one_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, whole, without those whose class has a smaller doc_id; of rows that share an id one stays.
+
+    Rows with a null id stay.
+    """
+    classes = near_duplicates(docs, id_col, text_col)
+    losers = stored(classes.where("doc_id != class_id").select(F.col("doc_id").alias("lost_id")).distinct(), "losers")
+    twice = stored(classes.where("doc_id = class_id").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("lost_id")), "twice")
+    gone = losers.unionByName(twice)
+    small = gone.count() <= BROADCAST_ROWS
+    out = docs.join(F.broadcast(gone) if small else gone, docs[id_col].cast("bigint") == F.col("lost_id"), "left_anti")
+    if not twice.isEmpty():
+        again = docs.join(twice, docs[id_col].cast("bigint") == F.col("lost_id"), "left_semi").dropDuplicates([id_col])
+        out = out.unionByName(again)
+    return out

@@ -179,7 +179,8 @@ def keep_good(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col
     place = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, text=place):
-            yield part.filter(pa.array(trees.score(features(part.column(place))) >= THRESHOLD))
+        for batch in batches:
+            keep = [trees.score(features(part.column(place))) >= THRESHOLD for part in slices(iter([batch]), text=place)]
+            yield batch.filter(pa.array(np.concatenate(keep))) if keep else batch
 
     return docs.mapInArrow(run, docs.schema)

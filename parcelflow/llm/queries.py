@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, flac, near_dup, pii, quality, suffix_dedup, token_counts, token_files, url_filter
+from . import bpe, decontaminate, flac, near_dup, pii, quality, suffix_dedup, token_counts, token_files, url_filter
 from .storage import table
 
 #: Fixed rules that the url query judges by.
@@ -16,6 +16,10 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op3_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -48,7 +52,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op3_near_dup, op4_flac_media, op5_url_filter, op6_token_files, op7_quality, op8_suffix_dedup, op9_pii_spans, op10_byte_bpe)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_decontaminate, op3_near_dup, op4_flac_media, op5_url_filter, op6_token_files, op7_quality, op8_suffix_dedup, op9_pii_spans, op10_byte_bpe)}
 
 ORACLE_SQL = {
     "op5_url_filter": """
