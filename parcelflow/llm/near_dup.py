@@ -6,10 +6,10 @@ falls below the element's weight.  About k ln k + 2k darts hit per text, whateve
 coordinate, and the earliest dart of each of the k coordinates makes the signature.  Two signatures agree
 in a coordinate with the probability of the weighted Jaccard similarity.
 
-Signatures are joined in bands.  In a band's bucket every text is compared with the bucket's least and
-greatest text (two stars, not all pairs) on its real shingles; buckets that then still hold texts of
-different classes have their minority compared with the rest, so no candidate of different classes is
-left out.  Classes are connected components of the links.
+Signatures are joined in bands.  In a band's bucket every text is compared with two leaders (stars, not
+all pairs) on its real shingles.  Where a bucket then still holds different classes, the texts outside
+the main one meet further leaders for some rounds, and at last all texts of other classes, so no
+candidate of different classes is left out.  Classes are connected components of the links.
 """
 
 from __future__ import annotations
@@ -31,6 +31,10 @@ WORDS, SIMILARITY = 5, 0.8
 BANDS, ROWS = 24, 5
 #: Candidate ids that are broadcast at most; beyond that they are joined by a shuffle.
 BROADCAST_ROWS = 200_000
+#: Rounds in which texts outside their bucket's main class meet further leaders, before the rest is compared in full.
+LEADER_ROUNDS = 3
+#: Text bytes shingled at once.
+STEP = 3 << 20
 SIGNATURES = "doc_id bigint, digest binary, bands array<bigint>"
 _GOLD, _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -138,7 +142,7 @@ def signatures(docs: DataFrame, weighted: bool = False) -> DataFrame:
     """doc_id, digest of the text and band keys (none for a text without words) of (doc_id, text) rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches):
+        for part in slices(batches, limit=STEP):
             texts = part.column(1)
             of, h, n = shingles(texts)
             keys = band_keys(dart_sketch(of, h, n if weighted else np.ones(len(n)), len(texts))).view(np.int64)
@@ -155,7 +159,7 @@ def _sets(texts: DataFrame) -> DataFrame:
     """node and its shingles (ascending 64-bit hashes and their counts) of (node, text) rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches):
+        for part in slices(batches, limit=STEP):
             of, h, n = shingles(part.column(1))
             cut = np.searchsorted(of, np.arange(len(part.column(1)) + 1)).tolist()
             blobs = [h[a:b].tobytes() for a, b in zip(cut, cut[1:])]
@@ -190,6 +194,26 @@ def _verify(pairs: DataFrame, sets: DataFrame, similarity: float, weighted: bool
     return joined.mapInArrow(run, "a bigint, b bigint")
 
 
+def _common(sets: DataFrame, weighted: bool) -> DataFrame:
+    """(node, size, common): weight of a text's shingles, and of those that another text of ``sets`` has too.
+
+    A node with several texts has nulls.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, text=1, limit=STEP):
+            h, n = (b"".join(part.column(i).to_pylist()) for i in (1, 2))
+            n = np.frombuffer(n, np.uint32).astype(np.int64)
+            each = pc.binary_length(part.column(1)).to_numpy() // 8
+            yield pa.record_batch([pa.array(np.repeat(part.column(0).to_numpy(), each)), pa.array(np.frombuffer(h, np.int64)), pa.array(n if weighted else np.ones(len(n), np.int64))], names=["node", "h", "w"])
+
+    rows = sets.select("node", "h", "n").mapInArrow(run, "node bigint, h bigint, w bigint")
+    size = rows.groupBy("node").agg(F.sum("w").alias("size"))
+    alone = rows.groupBy("h").agg(F.count("*").alias("times"), F.min("node").alias("node"), F.min("w").alias("w")).where("times = 1").groupBy("node").agg(F.sum("w").alias("alone"))
+    one = sets.groupBy("node").count().where("count = 1").select("node")
+    return size.join(one, "node").join(alone, "node", "left").select("node", "size", (F.col("size") - F.coalesce("alone", F.lit(0))).alias("common"))
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, root) of the connected components of links (a, b); the root is the least node.
 
@@ -226,22 +250,55 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # Equal texts: the least id stands for all of them.
     texts = stored(signed.groupBy("digest").agg(F.min("doc_id").alias("node"), F.any_value("bands").alias("bands")), "texts")
     bands = texts.select("node", F.explode("bands").alias("band"))
-    buckets = bands.groupBy("band").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo != hi")
-    members = stored(bands.join(buckets, "band"), "buckets")
-    star = lambda c: members.where(F.col("node") != F.col(c)).select(F.least("node", c).alias("a"), F.greatest("node", c).alias("b"))
-    pairs = stored(star("lo").unionByName(star("hi")).distinct(), "pairs")
+    # Two leaders of each bucket, the nearest and farthest to the band's key in the bits of their ids: any
+    # text may lead, and another one in each band.
+    turned = F.col("node").bitwiseXOR(F.col("band"))
+    buckets = bands.groupBy("band").agg(F.min(turned).alias("lo"), F.max(turned).alias("hi")).where("lo != hi")
+    members = stored(bands.join(buckets, "band").withColumns({c: F.col(c).bitwiseXOR(F.col("band")) for c in ("lo", "hi")}), "buckets")
+    star = lambda df, c: df.where(F.col("node") != F.col(c)).select(F.least("node", c).alias("a"), F.greatest("node", c).alias("b"))
+    pairs = stored(star(members, "lo").unionByName(star(members, "hi")).distinct(), "pairs")
     nodes = stored(members.select(F.col("node").alias("doc_id")).distinct(), "nodes")
     wanted = F.broadcast(nodes) if nodes.count() <= BROADCAST_ROWS else nodes
     sets = stored(_sets(numbered.join(wanted, "doc_id", "left_semi").select(F.col("doc_id").alias("node"), "text")).dropDuplicates(["node", "h"]), "shingles")
     links = stored(_verify(pairs, sets, similarity, weighted).distinct(), "links")
     roots = components(links)
-    # What the stars left: buckets with texts of more than one class.
-    placed = members.select("band", "node").distinct().join(roots, "node", "left").select("band", "node", F.coalesce("root", "node").alias("root"))
-    split = placed.groupBy("band").agg(F.min("root").alias("main"), F.max("root").alias("last")).where("main != last").select("band", "main")
-    rest = stored(placed.join(split, "band"), "rest")
-    minor = rest.where("root != main").select("band", F.col("node").alias("x"), F.col("root").alias("x_root"))
-    more = minor.join(rest.select("band", F.col("node").alias("y"), F.col("root").alias("y_root")), "band").where("x_root != y_root")
-    more = stored(more.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti"), "more")
+    places = members.select("band", "node").distinct()
+
+    def unsettled(roots: DataFrame) -> DataFrame:
+        """Members of buckets that hold several classes; main is the bucket's least root."""
+        placed = places.join(roots, "node", "left").select("band", "node", F.coalesce("root", "node").alias("root"))
+        split = placed.groupBy("band").agg(F.min("root").alias("main"), F.max("root").alias("last")).where("main != last").select("band", "main")
+        return stored(placed.join(split, "band"), "unsettled")
+
+    # Shingles that no other text has can't be shared, which bounds a text's similarity to any other.
+    rest = unsettled(roots)
+    common = stored(_common(sets.join(rest.select("node").distinct(), "node", "left_semi"), weighted), "common")
+    for _ in range(LEADER_ROUNDS):
+        # Texts outside a bucket's main class meet the least edited text of that class, and of the others.
+        held = rest.join(common, "node", "left").withColumn("best", F.struct(F.coalesce(F.col("common") / F.col("size"), F.lit(0.0)).alias("share"), "node"))
+        leaders = held.groupBy("band").agg(F.max(F.when(F.col("root") == F.col("main"), F.col("best")))["node"].alias("lo"), F.max(F.when(F.col("root") != F.col("main"), F.col("best")))["node"].alias("hi"))
+        led = rest.where("root != main").join(leaders, "band")
+        new = stored(star(led, "lo").unionByName(star(led, "hi")).distinct().join(pairs, ["a", "b"], "left_anti"), "pairs")
+        if new.isEmpty():
+            break
+        pairs = pairs.unionByName(new)
+        found = stored(_verify(new, sets, similarity, weighted).distinct(), "links")
+        if not found.isEmpty():
+            links = links.unionByName(found)
+            roots = components(links)
+            rest = unsettled(roots)
+    # What is left is compared in full: the texts outside the main class with all of other classes.
+    # Two texts meet in the first bucket that both are in.
+    own = rest.groupBy("node").agg(F.collect_set("band").alias("bands"))
+    rest = rest.join(common, "node", "left").join(own, "node")
+    side = lambda df, c: df.select("band", F.col("node").alias(c), *(F.col(x).alias(f"{c}_{x}") for x in ("root", "size", "common", "bands")))
+    both = F.least("x_common", "y_common")
+    first = F.array_min(F.array_intersect("x_bands", "y_bands")) == F.col("band")
+    possible = F.coalesce(both >= similarity * (F.col("x_size") + F.col("y_size") - both), F.lit(True))
+    minor, others = side(rest.where("root != main"), "x"), side(rest, "y").withColumnRenamed("band", "y_band")
+    minor = minor.where(F.coalesce(F.col("x_common") >= similarity * F.col("x_size"), F.lit(True)))
+    more = minor.join(others, (F.col("band") == F.col("y_band")) & (F.col("x_root") != F.col("y_root")) & possible & first)
+    more = stored(more.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti"), "pairs")
     if not more.isEmpty():
         found = stored(_verify(more, sets, similarity, weighted).distinct(), "links")
         if not found.isEmpty():
