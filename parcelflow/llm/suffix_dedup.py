@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from .chunks import byte_view, ragged_take, slices
 from .storage import partitions
 
-LENGTH, GRAM = 50, 20
+LENGTH, GRAM = 50, 16
 WINDOW = LENGTH - GRAM + 1
 #: Text bytes of a part, about: what a task holds of documents at once.  Parts follow the input.
 PART_BYTES = 6 << 20
@@ -197,37 +197,46 @@ def _shared(blobs: list[bytes], parts: int) -> list[tuple[int, bytes]]:
 
 def _segments(docs: pa.Table, blobs: list[bytes], buckets: int, parts: int) -> list[tuple[int, bytes]]:
     """Step 3."""
-    if not blobs or not docs.num_rows:
+    docs = _documents(docs)
+    if not blobs or not len(docs[0]):
         return []
     got = [_unpack(b) for b in blobs]
     marked, pos = np.concatenate([x["key"] for x in got]), np.concatenate([x["pos"] for x in got]).astype(np.int64)
     order = np.argsort(marked, kind="stable")
     marked, pos = marked[order], pos[order]
-    docs = docs.combine_chunks()
-    rows, keys, texts = docs.column("doc_id").to_numpy(), docs.column("key").to_numpy().view(np.uint64), docs.column("text").chunk(0)
+    rows, keys, data, offsets = docs
     found: dict[bytes, list] = {}  # segment: [hash, least doc_id, row keys, positions]
     done_keys: list[int] = []
     done_at: list[int] = []
     done_len: list[int] = []
-    data, offsets = byte_view(texts)
     _, distinct = np.unique(keys, return_index=True)
     starts, stops = np.searchsorted(marked, keys, side="left"), np.searchsorted(marked, keys, side="right")
-    for i in distinct.tolist():
-        lo, hi, doc_id, row = int(starts[i]), int(stops[i]), int(rows[i]), int(keys[i])
-        text = data[offsets[i] : offsets[i + 1]]
-        if lo == hi or len(text) < LENGTH:
-            continue
+    size = np.diff(offsets)
+    some = distinct[(starts[distinct] < stops[distinct]) & (size[distinct] >= LENGTH)]
+    for group in np.array_split(some, max(1, int(size[some].sum()) // STEP)) if len(some) else ():
+        n = size[group]
+        begin = np.concatenate([[0], np.cumsum(n)])
+        text = data[ragged_take(offsets[group], n)]
         h = gram_hashes(text)
         is_shared = np.zeros(len(text), bool)
-        is_shared[pos[lo:hi][pos[lo:hi] < len(text)]] = True
+        count = stops[group] - starts[group]
+        where = pos[ragged_take(starts[group], count)]
+        inside = where < np.repeat(n, count)
+        is_shared[(where + np.repeat(begin[:-1], count))[inside]] = True
         # Each window belongs to its leftmost least hash; windows of one anchor in a row make a segment.
         anchor = np.lib.stride_tricks.sliding_window_view(h, WINDOW).argmin(axis=1) + np.arange(len(h) - WINDOW + 1)
+        for cut in begin[1:-1].tolist():
+            anchor[max(0, cut - LENGTH + 1) : cut] = -1  # windows over the border of two texts
         edge = np.flatnonzero(np.append(True, anchor[1:] != anchor[:-1]))
         stop = np.append(edge[1:], len(anchor))
-        ok = is_shared[anchor[edge]]
+        ok = (anchor[edge] >= 0) & is_shared[anchor[edge]]
+        edge, stop = edge[ok], stop[ok]
+        owner = np.searchsorted(begin, edge, side="right") - 1
         raw = text.tobytes()
-        for a, b, key in zip(edge[ok].tolist(), (stop[ok] + LENGTH - 1).tolist(), h[anchor[edge[ok]]].tolist()):
+        local = edge - begin[owner]
+        for a, b, key, at, doc_id, row in zip(edge.tolist(), (stop + LENGTH - 1).tolist(), h[anchor[edge]].tolist(), local.tolist(), rows[group[owner]].tolist(), keys[group[owner]].tolist()):
             segment = raw[a:b]
+            a, b = at, at + b - a
             entry = found.get(segment)
             if entry is None:
                 found[segment] = [key, doc_id, [row], [a]]
@@ -261,13 +270,23 @@ def _segments(docs: pa.Table, blobs: list[bytes], buckets: int, parts: int) -> l
     return rows_out
 
 
-def suffix_array(data: np.ndarray, depth: int = LENGTH) -> np.ndarray:
+def _words(data: np.ndarray, more: int) -> np.ndarray:
+    """The eight bytes from each position on as one number, and of ``more`` positions after the end (zeros)."""
+    padded = np.concatenate([data, np.zeros(more + 8, np.uint8)])
+    words = np.zeros(len(data) + more, np.uint64)
+    for j in range(8):
+        words |= padded[j : j + len(words)].astype(np.uint64) << np.uint64(56 - 8 * j)
+    return words
+
+
+def suffix_array(data: np.ndarray, depth: int = LENGTH, wanted: np.ndarray | None = None) -> np.ndarray:
     """Suffixes in order of their first ``depth`` bytes at least, by two-stage sorting.
 
     A suffix smaller than its successor is sorted directly (by 8 bytes, and on only where that ties).
     The others start with a byte no smaller than the next one, so each follows from its successor, which
     stands earlier: bucket by bucket of first bytes, sorted suffixes are scanned and the larger
-    predecessors appended to their buckets in that order.  The end of the data counts as smallest.
+    predecessors appended to their buckets in that order.  The end of the data counts as smallest.  With
+    ``wanted`` (a flag for each position) only those suffixes and the successors they follow from appear.
     """
     n = len(data)
     if not n:
@@ -277,12 +296,18 @@ def suffix_array(data: np.ndarray, depth: int = LENGTH) -> np.ndarray:
     change = np.flatnonzero(t[1:] != t[:-1])
     next_change = change[np.searchsorted(change, np.arange(n))]
     small = t[next_change + 1] > t[:n]
-    padded = np.concatenate([data, np.zeros(depth + 16, np.uint8)])
-    words = np.zeros(n + depth + 8, np.uint64)
-    for j in range(8):
-        words |= padded[j : j + len(words)].astype(np.uint64) << np.uint64(56 - 8 * j)
-    direct = np.flatnonzero(small)
-    direct = direct[np.argsort(words[direct], kind="stable")]
+    need = np.ones(n, bool)
+    if wanted is not None:
+        after = np.append(np.flatnonzero(small), n - 1)
+        last = after[np.minimum(np.searchsorted(after, np.arange(n)), len(after) - 1)]
+        reach = np.zeros(n + 1, np.int32)
+        at = np.flatnonzero(wanted)
+        np.add.at(reach, at, 1)
+        np.add.at(reach, np.maximum(last[at], at) + 1, -1)
+        need = np.cumsum(reach[:n]) > 0
+    words = _words(data, depth + 8)
+    direct = np.flatnonzero(small & need)
+    direct = direct[np.argsort(words[direct])]
     tied = np.append(False, words[direct[1:]] == words[direct[:-1]]) if len(direct) else np.zeros(0, bool)
     group = np.cumsum(~tied)
     for at in range(8, depth, 8):
@@ -290,16 +315,16 @@ def suffix_array(data: np.ndarray, depth: int = LENGTH) -> np.ndarray:
         if not len(busy):
             break
         w = words[direct[busy] + at]
-        order = np.lexsort((w, group[busy]))
+        order = np.argsort(w)
+        order = order[np.argsort(group[busy][order], kind="stable")]
         direct[busy], w = direct[busy][order], w[order]
         g = group[busy]  # sorted already, and the order within it doesn't change it
-        same = np.append(False, (g[1:] == g[:-1]) & (w[1:] == w[:-1]))
-        tied[busy] = same
+        tied[busy] = np.append(False, (g[1:] == g[:-1]) & (w[1:] == w[:-1]))
         group = np.cumsum(~tied)
     lead = t[direct]
     cut = np.searchsorted(lead, np.arange(257))
     waiting: dict[int, list[np.ndarray]] = {}
-    if not small[n - 1]:
+    if not small[n - 1] and need[n - 1]:
         waiting[int(t[n - 1])] = [np.array([n - 1])]  # its successor is the end
     out = []
     for c in range(256):
@@ -308,32 +333,38 @@ def suffix_array(data: np.ndarray, depth: int = LENGTH) -> np.ndarray:
         while len(level):  # runs of one byte follow from within the bucket, one step a round
             block.append(level)
             before = level[level > 0] - 1
-            level = before[t[before] == c]
+            level = before[(t[before] == c) & need[before]]
         block = np.concatenate([*block, direct[cut[c] : cut[c + 1]]])
         if not len(block):
             continue
         out.append(block)
         before = block[block > 0] - 1
         lead = t[before]
-        before, lead = before[lead > c], lead[lead > c]
+        go = (lead > c) & need[before]
+        before, lead = before[go], lead[go]
         order, edges = _cuts(lead)
         for a, b in zip(edges, edges[1:]):
             waiting.setdefault(int(lead[order[a]]), []).append(before[order[a:b]])
-    return np.concatenate(out)
+    return np.concatenate(out) if out else np.zeros(0, np.int64)
 
 
 def common_prefixes(data: np.ndarray, suffixes: np.ndarray, most: int = LENGTH) -> np.ndarray:
     """Common prefix of each suffix with the one before it in order, up to ``most`` bytes; 0 for the first."""
-    n, out = len(data), np.zeros(len(suffixes), np.int64)
-    padded = np.concatenate([data.astype(np.int16), np.full(most, -1, np.int16)])
-    left = np.arange(1, len(suffixes))
-    for k in range(most):
-        a, b = suffixes[left - 1] + k, suffixes[left] + k
-        left = left[(padded[a] == padded[b]) & (a < n) & (b < n)]
-        out[left] += 1
+    out = np.zeros(len(suffixes), np.int64)
+    if len(suffixes) < 2:
+        return out
+    words, left = _words(data, most + 8), np.arange(1, len(suffixes))
+    for at in range(0, most, 8):
+        x = words[suffixes[left - 1] + at] ^ words[suffixes[left] + at]
+        same = x == 0
+        ended = x[~same]
+        out[left[~same]] += sum((ended < np.uint64(1 << (56 - 8 * j))).astype(np.int64) for j in range(7))
+        left = left[same]
+        out[left] += 8
         if not len(left):
             break
-    return out
+    out[1:] = np.minimum(out[1:], np.minimum(len(data) - suffixes[1:], len(data) - suffixes[:-1]))
+    return np.minimum(out, most)
 
 
 def _repeats(blobs: list[bytes], parts: int) -> list[tuple[int, bytes]]:
@@ -365,7 +396,7 @@ def _repeats(blobs: list[bytes], parts: int) -> list[tuple[int, bytes]]:
     data = np.frombuffer(b"".join(names), np.uint8)
     owner = np.repeat(np.arange(len(names)), lengths)
     room = offsets[owner + 1] - np.arange(len(data))  # bytes to the end of the segment
-    suffixes = suffix_array(data)
+    suffixes = suffix_array(data, wanted=room >= LENGTH)
     prefix = common_prefixes(data, suffixes)
     whole = room[suffixes] >= LENGTH
     least_of = np.array(least, np.int64)
@@ -401,9 +432,7 @@ def _remove(docs: pa.Table, blobs: list[bytes]) -> pa.Table:
     pos, length = (np.concatenate([x[k] for x in got]).astype(np.int64) if got else none for k in ("pos", "length"))
     order = np.argsort(marked, kind="stable")
     marked, pos, length = marked[order], pos[order], length[order]
-    docs = docs.combine_chunks()
-    rows, keys = docs.column("doc_id").to_numpy(), docs.column("key").to_numpy().view(np.uint64)
-    data, offsets = byte_view(docs.column("text").chunk(0)) if docs.num_rows else (np.zeros(0, np.uint8), np.zeros(1, np.int64))
+    rows, keys, data, offsets = _documents(docs)
     removed, spans, digests = [], [], []
     lo, hi = np.searchsorted(marked, keys, side="left"), np.searchsorted(marked, keys, side="right")
     for i in range(len(rows)):
@@ -424,6 +453,15 @@ def _remove(docs: pa.Table, blobs: list[bytes]) -> pa.Table:
     return pa.table({"doc_id": pa.array(rows), "n_bytes": pa.array(np.diff(offsets)), "n_removed": pa.array(removed, pa.int64()), "n_spans": pa.array(spans, pa.int64()), "kept_sha256": pa.array(digests, pa.string())})
 
 
+def _documents(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(doc_ids, row keys, bytes, offsets) of the documents packed in a table's blobs."""
+    got = [_unpack(b) for b in _blobs(table)]
+    if not got:
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint8), np.zeros(1, np.int64)
+    rows, keys, data, size = (np.concatenate([x[k] for x in got]) for k in ("doc_id", "key", "data", "size"))
+    return rows, keys, data, np.concatenate([[0], np.cumsum(size, dtype=np.int64)])
+
+
 def _blobs(table: pa.Table) -> list[bytes]:
     return table.column("blob").to_pylist()
 
@@ -440,8 +478,8 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     rows = docs.select(docs[id_col].cast("bigint").alias("doc_id"), F.coalesce(docs[text_col], F.lit("")).alias("text"))
     numbered = rows.where("doc_id is not null")
     size = numbered.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    parts = max(4 * partitions(spark), round(size / PART_BYTES))
-    hash_parts = max(4 * partitions(spark), round(size / BLOCK_BYTES))
+    parts = max(partitions(spark), round(size / PART_BYTES))
+    hash_parts = max(partitions(spark), round(size / BLOCK_BYTES))
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
@@ -455,11 +493,17 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
             yield _batch(_send_anchors(held, hash_parts, parts))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keys = row_keys(batch.column(0).to_numpy(), batch.column(1))
-            yield pa.record_batch([pa.array((keys % np.uint64(parts)).astype(np.int32)), pa.array(keys.view(np.int64)), *batch.columns], names=["at", "key", "doc_id", "text"])
-
-    laid = numbered.mapInArrow(place, "at int, key bigint, doc_id bigint, text string").groupBy("at")
+        for part in slices(batches, limit=BLOCK_BYTES):
+            keys = row_keys(part.column(0).to_numpy(), part.column(1))
+            data, offsets = byte_view(part.column(1))
+            at, size, rows = (keys % np.uint64(parts)).astype(np.int64), np.diff(offsets), part.column(0).to_numpy()
+            order, edges = _cuts(at)
+            for a, b in zip(edges, edges[1:]):
+                some = order[a:b]
+                blob = _pack(doc_id=rows[some], key=keys[some], size=size[some], data=data[ragged_take(offsets[some], size[some])])
+                yield _batch([(int(at[some[0]]), blob)])
+
+    laid = numbered.mapInArrow(place, _BLOB).groupBy("at")
     asked = numbered.mapInArrow(send, _BLOB)
     shared = asked.groupBy("at").applyInArrow(lambda t: _table(_shared(_blobs(t), parts)), _BLOB)
     segments = laid.cogroup(shared.groupBy("at")).applyInArrow(lambda d, s: _table(_segments(d, _blobs(s), parts, parts)), _BLOB)
