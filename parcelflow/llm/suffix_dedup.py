@@ -224,7 +224,8 @@ def _segments(docs: pa.Table, blobs: list[bytes], buckets: int, parts: int) -> l
         inside = where < np.repeat(n, count)
         is_shared[(where + np.repeat(begin[:-1], count))[inside]] = True
         # Each window belongs to its leftmost least hash; windows of one anchor in a row make a segment.
-        anchor = np.lib.stride_tricks.sliding_window_view(h, WINDOW).argmin(axis=1) + np.arange(len(h) - WINDOW + 1)
+        view = np.lib.stride_tricks.sliding_window_view(h, WINDOW)
+        anchor = np.concatenate([view[a : a + 32768].argmin(axis=1) for a in range(0, len(view), 32768)]) + np.arange(len(view))
         for cut in begin[1:-1].tolist():
             anchor[max(0, cut - LENGTH + 1) : cut] = -1  # windows over the border of two texts
         edge = np.flatnonzero(np.append(True, anchor[1:] != anchor[:-1]))
