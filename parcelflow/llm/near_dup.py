@@ -33,8 +33,10 @@ BANDS, ROWS = 24, 5
 BROADCAST_ROWS = 200_000
 #: Rounds in which texts outside their bucket's main class meet further leaders, before the rest is compared in full.
 LEADER_ROUNDS = 3
+#: Groups of hashes in which shared shingles are counted to bound an overlap.
+GROUPS = 64
 #: Text bytes shingled at once.
-STEP = 3 << 20
+STEP = 2 << 20
 SIGNATURES = "doc_id bigint, digest binary, bands array<bigint>"
 _GOLD, _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -155,15 +157,15 @@ def signatures(docs: DataFrame, weighted: bool = False) -> DataFrame:
     return docs.mapInArrow(run, SIGNATURES)
 
 
-def _sets(texts: DataFrame) -> DataFrame:
-    """node and its shingles (ascending 64-bit hashes and their counts) of (node, text) rows."""
+def _sets(texts: DataFrame, weighted: bool) -> DataFrame:
+    """node and its shingles (ascending 64-bit hashes and, if ``weighted``, their counts) of (node, text) rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, limit=STEP):
             of, h, n = shingles(part.column(1))
             cut = np.searchsorted(of, np.arange(len(part.column(1)) + 1)).tolist()
             blobs = [h[a:b].tobytes() for a, b in zip(cut, cut[1:])]
-            counts = [n[a:b].astype(np.uint32).tobytes() for a, b in zip(cut, cut[1:])]
+            counts = [n[a:b].astype(np.uint32).tobytes() if weighted else b"" for a, b in zip(cut, cut[1:])]
             yield pa.record_batch([part.column(0), pa.array(blobs, pa.binary()), pa.array(counts, pa.binary())], names=["node", "h", "n"])
 
     return texts.mapInArrow(run, "node bigint, h binary, n binary")
@@ -175,10 +177,11 @@ def _verify(pairs: DataFrame, sets: DataFrame, similarity: float, weighted: bool
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
-            for ah, an, bh, bn in zip(*(batch.column(i).to_pylist() for i in range(2, 6))):
-                x, y = np.frombuffer(ah, np.uint64), np.frombuffer(bh, np.uint64)
+            ah, an, bh, bn = (batch.column(i) for i in range(2, 6))
+            for row in range(batch.num_rows):
+                x, y = (np.frombuffer(c[row].as_buffer(), np.uint64) for c in (ah, bh))
                 if weighted:
-                    v, w = np.frombuffer(an, np.uint32).astype(np.int64), np.frombuffer(bn, np.uint32).astype(np.int64)
+                    v, w = (np.frombuffer(c[row].as_buffer(), np.uint32).astype(np.int64) for c in (an, bn))
                     _, i, j = np.intersect1d(x, y, True, True)
                     both, all_ = int(np.minimum(v[i], w[j]).sum()), int(v.sum() + w.sum())
                 elif min(len(x), len(y)) < similarity * max(len(x), len(y)):
@@ -195,23 +198,28 @@ def _verify(pairs: DataFrame, sets: DataFrame, similarity: float, weighted: bool
 
 
 def _common(sets: DataFrame, weighted: bool) -> DataFrame:
-    """(node, size, common): weight of a text's shingles, and of those that another text of ``sets`` has too.
+    """(node, size, common, groups): weight of a text's shingles, and of those that another text of ``sets`` has too, also by groups of their hashes.
 
-    A node with several texts has nulls.
+    A node with several texts is left out.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, text=1, limit=STEP):
             h, n = (b"".join(part.column(i).to_pylist()) for i in (1, 2))
-            n = np.frombuffer(n, np.uint32).astype(np.int64)
+            n = np.frombuffer(n, np.uint32).astype(np.int64) if weighted else np.ones(len(h) // 8, np.int64)
             each = pc.binary_length(part.column(1)).to_numpy() // 8
-            yield pa.record_batch([pa.array(np.repeat(part.column(0).to_numpy(), each)), pa.array(np.frombuffer(h, np.int64)), pa.array(n if weighted else np.ones(len(n), np.int64))], names=["node", "h", "w"])
+            yield pa.record_batch([pa.array(np.repeat(part.column(0).to_numpy(), each)), pa.array(np.frombuffer(h, np.int64)), pa.array(n)], names=["node", "h", "w"])
 
     rows = sets.select("node", "h", "n").mapInArrow(run, "node bigint, h bigint, w bigint")
     size = rows.groupBy("node").agg(F.sum("w").alias("size"))
     alone = rows.groupBy("h").agg(F.count("*").alias("times"), F.min("node").alias("node"), F.min("w").alias("w")).where("times = 1").groupBy("node").agg(F.sum("w").alias("alone"))
     one = sets.groupBy("node").count().where("count = 1").select("node")
-    return size.join(one, "node").join(alone, "node", "left").select("node", "size", (F.col("size") - F.coalesce("alone", F.lit(0))).alias("common"))
+    alone = rows.groupBy("h").agg(F.count("*").alias("times"), F.min("node").alias("node"), F.min("w").alias("w")).where("times = 1")
+    shared = rows.select("node", "h", "w").unionByName(alone.select("node", "h", (-F.col("w")).alias("w")))
+    each = shared.groupBy("node", F.pmod("h", F.lit(GROUPS)).cast("int").alias("g")).agg(F.sum("w").alias("c"))
+    dense = F.transform(F.sequence(F.lit(0), F.lit(GROUPS - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0)))
+    groups = each.groupBy("node").agg(F.sum("c").alias("common"), F.map_from_entries(F.collect_list(F.struct("g", "c"))).alias("m")).select("node", "common", dense.alias("groups"))
+    return size.join(one, "node").join(groups, "node")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -259,7 +267,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     pairs = stored(star(members, "lo").unionByName(star(members, "hi")).distinct(), "pairs")
     nodes = stored(members.select(F.col("node").alias("doc_id")).distinct(), "nodes")
     wanted = F.broadcast(nodes) if nodes.count() <= BROADCAST_ROWS else nodes
-    sets = stored(_sets(numbered.join(wanted, "doc_id", "left_semi").select(F.col("doc_id").alias("node"), "text")).dropDuplicates(["node", "h"]), "shingles")
+    sets = stored(_sets(numbered.join(wanted, "doc_id", "left_semi").select(F.col("doc_id").alias("node"), "text"), weighted).dropDuplicates(["node", "h"]), "shingles")
     links = stored(_verify(pairs, sets, similarity, weighted).distinct(), "links")
     roots = components(links)
     places = members.select("band", "node").distinct()
@@ -291,8 +299,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # Two texts meet in the first bucket that both are in.
     own = rest.groupBy("node").agg(F.collect_set("band").alias("bands"))
     rest = rest.join(common, "node", "left").join(own, "node")
-    side = lambda df, c: df.select("band", F.col("node").alias(c), *(F.col(x).alias(f"{c}_{x}") for x in ("root", "size", "common", "bands")))
-    both = F.least("x_common", "y_common")
+    side = lambda df, c: df.select("band", F.col("node").alias(c), *(F.col(x).alias(f"{c}_{x}") for x in ("root", "size", "common", "groups", "bands")))
+    # Shared shingles are equal hashes, so they fall into the same group: a group's lesser count bounds them.
+    both = F.aggregate(F.zip_with("x_groups", "y_groups", lambda a, b: F.least(a, b)), F.lit(0).cast("bigint"), lambda a, c: a + c)
     first = F.array_min(F.array_intersect("x_bands", "y_bands")) == F.col("band")
     possible = F.coalesce(both >= similarity * (F.col("x_size") + F.col("y_size") - both), F.lit(True))
     minor, others = side(rest.where("root != main"), "x"), side(rest, "y").withColumnRenamed("band", "y_band")
