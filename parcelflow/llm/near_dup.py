@@ -268,7 +268,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     nodes = stored(members.select(F.col("node").alias("doc_id")).distinct(), "nodes")
     wanted = F.broadcast(nodes) if nodes.count() <= BROADCAST_ROWS else nodes
     sets = stored(_sets(numbered.join(wanted, "doc_id", "left_semi").select(F.col("doc_id").alias("node"), "text"), weighted).dropDuplicates(["node", "h"]), "shingles")
-    links = stored(_verify(pairs, sets, similarity, weighted).distinct(), "links")
+    # An id with several texts ties their classes together.
+    several = signed.groupBy("doc_id").agg(F.min("digest").alias("one"), F.max("digest").alias("other")).where("one != other").select("doc_id")
+    tied = signed.join(several, "doc_id").join(texts, "digest").select(F.col("doc_id").alias("a"), F.col("node").alias("b")).where("a != b")
+    links = stored(_verify(pairs, sets, similarity, weighted).unionByName(tied).distinct(), "links")
     roots = components(links)
     places = members.select("band", "node").distinct()
 
