@@ -37,7 +37,7 @@ def nearest_mask(points: DataFrame, mask: DataFrame) -> DataFrame:
     out = points
     for name in ("lat", "lon"):
         axis, (width, first, last) = _axis(mask, name)
-        inside = F.least(F.greatest(F.col(name), F.lit(first)), F.lit(last))
+        inside = F.when(F.col(name).isNotNull(), F.least(F.greatest(F.col(name), F.lit(first)), F.lit(last)))
         here = out.withColumn("_x", inside).withColumn("_bucket", F.floor(inside / width))
         on = (F.col("_bucket") == F.col(f"{name}_bucket")) & (F.col(f"{name}_from").isNull() | (F.col("_x") > F.col(f"{name}_from"))) & (F.col(f"{name}_to").isNull() | (F.col("_x") <= F.col(f"{name}_to")))
         out = here.join(_small(axis), on, "left").drop("_x", "_bucket", f"{name}_bucket", f"{name}_from", f"{name}_to")

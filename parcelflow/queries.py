@@ -91,8 +91,7 @@ def gappy_segments(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
 def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     points = fixtures.dense(spark, sf_dir).withColumn("lat", F.round(F.col("lat") * 2 - 0.06) / 2)  # many on edges
     g = Grid(0.5, 480, 240, 0.0, -60.0)
-    both = assign_cell(points, g).withColumn("ok", F.col("ix").isNotNull() & F.col("iy").isNotNull()).withColumns({c: F.when(F.col("ok"), F.col(c)) for c in ("iy", "ix")})
-    return both.select("parcel_id", "step", "iy", "ix", F.round(cell_area(F.col("iy"), g), 1).alias("area"))
+    return assign_cell(points, g).where("ix is not null and iy is not null").select("parcel_id", "step", "iy", "ix", F.round(cell_area(F.col("iy"), g), 1).alias("area"))
 
 
 def arrival_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -287,8 +286,8 @@ SELECT CAST(rel AS BIGINT) AS rel, {_r('kept / CASE WHEN change = 0 THEN 1 ELSE
     "segments_heat_gappy": f"{_thermo_sql('gappy', _DSE)}, {_segments_sql(True)} SELECT CAST(rel AS BIGINT) AS rel, parcel_id, segment, CAST((rel - 40 + segment) * 21600 + 10800 AS BIGINT) AS mid, {_GAPPY_SEGMENTS} FROM seg",
     "segments_moisture_gappy": f"{_thermo_sql('gappy', _DSE)}, {_segments_sql(False)} SELECT CAST(rel AS BIGINT) AS rel, parcel_id, segment, CAST((rel - 41 + segment) * 21600 + 10800 AS BIGINT) AS mid, {_GAPPY_SEGMENTS} FROM seg",
     "assign_cell": f"""WITH {_BASE['dense']}, p AS (SELECT parcel_id, step, lon, round(lat * 2 - 0.06e0) / 2 AS lat FROM d),
-c AS (SELECT parcel_id, step, CASE WHEN lon > 0 AND lon < 240 AND lat > -60 AND lat < 60 AND floor(lon * 2) <> lon * 2 AND floor(lat * 2) <> lat * 2 THEN true END AS ok, lon, lat FROM (SELECT parcel_id, step, lat, ((lon + 360) % 360 + 360) % 360 AS lon FROM p)),
-i AS (SELECT parcel_id, step, CASE WHEN ok THEN CAST(floor((lat + 60) * 2) AS BIGINT) END AS iy, CASE WHEN ok THEN CAST(floor(lon * 2) AS BIGINT) END AS ix FROM c)
+c AS (SELECT parcel_id, step, lat, (lon + 360) % 360 AS lon FROM p),
+i AS (SELECT parcel_id, step, CAST(floor((lat + 60) * 2) AS BIGINT) AS iy, CAST(floor(lon * 2) AS BIGINT) AS ix FROM c WHERE lon > 0 AND lon < 240 AND lat > -60 AND lat < 60 AND floor(lon * 2) <> lon * 2 AND floor(lat * 2) <> lat * 2)
 SELECT parcel_id, CAST(step AS INT) AS step, iy, ix, round({_area(0.5, -60.0)}, 1) AS area FROM i""",
     "arrival_filters": f"""{_thermo_sql('dense', _DSE)}, {_ARRIVED} SELECT parcel_id, 'rain' AS passed FROM arr WHERE q0 - q1 < -0.0002e0 AND (rh0 + rh1) / 2 >= 80
 UNION ALL SELECT parcel_id, 'max' FROM arr WHERE z0 BETWEEN 50 AND greatest(h_max, 500) UNION ALL SELECT parcel_id, 'mean' FROM arr WHERE z0 BETWEEN 50 AND greatest(h_mean, 500) UNION ALL SELECT parcel_id, 'actual' FROM arr WHERE z0 BETWEEN 50 AND greatest(h_actual, 500)""",
