@@ -89,7 +89,7 @@ def gappy_segments(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
 
 
 def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    points = fixtures.dense(spark, sf_dir).withColumn("lat", F.round(F.col("lat") * 2 - 0.06) / 2)  # many on edges
+    points = fixtures.dense(spark, sf_dir).withColumn("lat", F.round(F.col("lat") * 4 - 0.12) / 4)  # many on edges
     g = Grid(0.5, 480, 240, 0.0, -60.0)
     return assign_cell(points, g).where("ix is not null and iy is not null").select("parcel_id", "step", "iy", "ix", F.round(cell_area(F.col("iy"), g), 1).alias("area"))
 
@@ -285,7 +285,7 @@ SELECT CAST(rel AS BIGINT) AS rel, {_r('kept / CASE WHEN change = 0 THEN 1 ELSE
     "thermo": f"{_thermo_sql('dense', _DSE)} SELECT parcel_id, CAST(step AS INT) AS step, {_r('heat_var')} AS dse, {_r(_POT)} AS heat_var, {_r('rh')} AS rh FROM th",
     "segments_heat_gappy": f"{_thermo_sql('gappy', _DSE)}, {_segments_sql(True)} SELECT CAST(rel AS BIGINT) AS rel, parcel_id, segment, CAST((rel - 40 + segment) * 21600 + 10800 AS BIGINT) AS mid, {_GAPPY_SEGMENTS} FROM seg",
     "segments_moisture_gappy": f"{_thermo_sql('gappy', _DSE)}, {_segments_sql(False)} SELECT CAST(rel AS BIGINT) AS rel, parcel_id, segment, CAST((rel - 41 + segment) * 21600 + 10800 AS BIGINT) AS mid, {_GAPPY_SEGMENTS} FROM seg",
-    "assign_cell": f"""WITH {_BASE['dense']}, p AS (SELECT parcel_id, step, lon, round(lat * 2 - 0.06e0) / 2 AS lat FROM d),
+    "assign_cell": f"""WITH {_BASE['dense']}, p AS (SELECT parcel_id, step, lon, round(lat * 4 - 0.12e0) / 4 AS lat FROM d),
 c AS (SELECT parcel_id, step, lat, (lon + 360) % 360 AS lon FROM p),
 i AS (SELECT parcel_id, step, CAST(floor((lat + 60) * 2) AS BIGINT) AS iy, CAST(floor(lon * 2) AS BIGINT) AS ix FROM c WHERE lon > 0 AND lon < 240 AND lat > -60 AND lat < 60 AND floor(lon * 2) <> lon * 2 AND floor(lat * 2) <> lat * 2)
 SELECT parcel_id, CAST(step AS INT) AS step, iy, ix, round({_area(0.5, -60.0)}, 1) AS area FROM i""",
@@ -296,12 +296,12 @@ a AS (SELECT parcel_id, min_by(v, abs(v - lat) * 1e6 + v * 1e-6) AS mlat FROM d,
 SELECT parcel_id FROM a JOIN b USING (parcel_id) WHERE mlat BETWEEN -20 AND 20 AND mlon BETWEEN -60 AND 60""",
     "curvilinear_mask": f"""WITH {_BASE['dense']}, m AS (SELECT s_suppkey AS cell_id, (s_suppkey * 37 % 120) / 1e0 - 60e0 + 0.011e0 * s_suppkey AS mlat, (s_suppkey * 53 % 360) / 1e0 - 180e0 AS mlon, CAST(s_suppkey % 7 AS INT) AS value FROM supplier)
 SELECT parcel_id, cell_id AS mask_cell, value AS mask_value FROM (SELECT parcel_id, cell_id, value, row_number() OVER (PARTITION BY parcel_id ORDER BY pow(lon - mlon, 2) + pow(lat - mlat, 2), cell_id) AS rn FROM d, m WHERE step = 0) WHERE rn = 1""",
-    "missing_inputs": """WITH b AS (SELECT DISTINCT CAST(floor(epoch(ts) / 21600) AS BIGINT) AS b FROM events), s AS (SELECT b AS rel, CAST(k AS INT) AS step, b - k AS at FROM b, (SELECT unnest(range(42)) AS k) WHERE b % 4 = 0)
-SELECT rel, step FROM s WHERE at NOT IN (SELECT b FROM b)""",
+    "missing_inputs": """WITH b AS (SELECT DISTINCT CAST(floor(epoch(ts) / 21600) AS BIGINT) AS b FROM events), s AS (SELECT b AS rel, CAST(k AS INT) AS step, b - k AS slot FROM b, (SELECT unnest(range(42)) AS k) WHERE b % 4 = 0)
+SELECT rel, step FROM s WHERE slot NOT IN (SELECT b FROM b)""",
     "noleap_steps": """WITH r AS (SELECT DISTINCT CAST(epoch(o_orderdate) AS BIGINT) // 21600 AS rel FROM orders WHERE NOT (month(o_orderdate) = 2 AND day(o_orderdate) = 29)),
-s AS (SELECT rel, rel - k AS at FROM r, (SELECT unnest(range(60)) AS k) WHERE NOT (month(make_timestamp((rel - k) * 21600 * 1000000)) = 2 AND day(make_timestamp((rel - k) * 21600 * 1000000)) = 29)),
-f AS (SELECT rel, at FROM (SELECT *, row_number() OVER (PARTITION BY rel ORDER BY at DESC) AS rn FROM s) WHERE rn <= 42)
-SELECT rel, count(*) AS n, min(at) AS oldest, CAST(sum(at) AS BIGINT) AS total FROM f GROUP BY rel""",
+s AS (SELECT rel, rel - k AS slot FROM r, (SELECT unnest(range(60)) AS k) WHERE NOT (month(make_timestamp((rel - k) * 21600 * 1000000)) = 2 AND day(make_timestamp((rel - k) * 21600 * 1000000)) = 29)),
+f AS (SELECT rel, slot FROM (SELECT *, row_number() OVER (PARTITION BY rel ORDER BY slot DESC) AS rn FROM s) WHERE rn <= 42)
+SELECT rel, count(*) AS n, min(slot) AS oldest, CAST(sum(slot) AS BIGINT) AS total FROM f GROUP BY rel""",
     "release_schedule": """WITH r AS (SELECT DISTINCT make_date(y, m, d) + CAST(n AS INT) AS day, h FROM (SELECT unnest([1995, 1996]) AS y), (SELECT unnest([2, 3]) AS m), (SELECT unnest([1, 27]) AS d), (SELECT unnest([0, 12]) AS h), (SELECT unnest(range(4)) AS n)),
 o AS (SELECT CAST(o_orderdate AS DATE) AS day, count(*) AS n FROM orders GROUP BY ALL)
 SELECT CAST(epoch(CAST(day AS TIMESTAMP)) AS BIGINT) // 21600 + h // 6 AS rel, n FROM r JOIN o USING (day)""",
