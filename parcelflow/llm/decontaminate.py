@@ -1,15 +1,17 @@
 """Benchmark decontamination by CGK embeddings.
 
 A CGK walk reads a word sequence and, at each step, writes the word under its pointer and moves on or
-not as a random bit of (step, word) says.  Sequences a few edits apart fall back into step after each
-edit, so edit distance becomes Hamming distance of what they write.  Every word of a document starts an
-item-sized window; a window is a candidate for an item if their walks wrote the same words at a few
-sampled steps, in one of REPEATS walks.  Steps are compared as they come, and the first two samples are
-early, so most windows cost a few steps.  Each candidate is settled by the exact word edit distance of
-the item to the best stretch of the document.
-
-REPEATS and SAMPLES are set for the worst edit rate that counts: the tests measure a recall above 0.95
-on random edits at MAX_EDITS, and passages without edits are found by any walk that stays inside the item.
+not as a random bit of (step, word) says, so walks over equal words write the same.  An item that may
+have e edits is cut into e + 1 pieces of nearly equal length: wherever the edits of a leak are, they
+leave one piece whole.  The walk over a piece ends where it leaves the piece, so what it writes depends
+on all of its words and on no others.  Every word of a document starts a walk, which goes on as long as
+some piece's walk has written the same; where it has written what a whole piece writes, the document is
+a candidate for the piece's item.  Each candidate is settled by the exact word edit distance of the item
+to the best stretch of the document.
+
+So no leak within MAX_EDITS is missed, of any length and with edits at any place, and one walk is enough:
+pieces take the place of the repeated, sampled walks over whole items, whose recall fell with edits at an
+item's start and with its length.
 """
 
 from __future__ import annotations
@@ -29,7 +31,6 @@ from .near_dup import mix
 
 #: Edits (words put in, left out or changed) per word of an item at most.
 MAX_EDITS = 0.1
-REPEATS, SAMPLES = 12, 4
 #: Items that are held at once; more are taken in blocks, each against all documents.
 ITEM_BLOCK = 20_000
 SCHEMA = "doc_id bigint, item_id bigint, n_edits int, start_word bigint, end_word bigint"
@@ -61,117 +62,98 @@ def word_sequences(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return out, ends[offsets]
 
 
-def _moves(words: np.ndarray, walk: int, step: int) -> np.ndarray:
-    """1 where a walk's pointer moves on from a word at a step; never from the end."""
-    seed = np.uint64(((walk << 20) + step + 1) * 0x9E3779B97F4A7C15 & ((1 << 64) - 1))
+def _moves(words: np.ndarray, step: int) -> np.ndarray:
+    """1 where the walk's pointer moves on from a word at a step; never from the end."""
+    seed = np.uint64((step + 1) * 0x9E3779B97F4A7C15 & ((1 << 64) - 1))
     return ((mix(words ^ seed) & np.uint64(1)) * (words != _END)).astype(np.int64)
 
 
+def _among(keys: np.ndarray, table: np.ndarray) -> np.ndarray:
+    return table[np.minimum(np.searchsorted(table, keys), len(table) - 1)] == keys
+
+
 class Items:
-    """Items' words, size classes and what their walks wrote at the sampled steps."""
+    """Items' words, the pieces they are cut into and what the pieces' walks write."""
 
-    def __init__(self, ids: list[int], texts: list[str], repeats: int = REPEATS, samples: int = SAMPLES, max_edits: float = MAX_EDITS):
+    def __init__(self, ids: list[int], texts: list[str], max_edits: float = MAX_EDITS):
         words, offsets = word_sequences(pa.array(texts, pa.string()))
         self.max_edits = max_edits
         self.rows = [(i, words[a:b].tolist()) for i, a, b in zip(ids, offsets.tolist(), offsets[1:].tolist()) if b > a]
         self.masks = []
-        classes: dict[int, list[int]] = defaultdict(list)
+        cuts = []  # item, first word and end of each piece, the latter two in its item
         for k, (_, seq) in enumerate(self.rows):
             mask: dict[int, int] = defaultdict(int)
             for j, w in enumerate(seq):
                 mask[w] |= 1 << j
             self.masks.append(dict(mask))
-            classes[3 << ((len(seq) // 3).bit_length() - 1) if len(seq) >= 3 else 1].append(k)
-        #: Walks by their number and two first samples: [(later samples, keys that may follow, last keys, items)].
-        self.walks: dict[tuple[int, int, int], list] = defaultdict(list)
-        self.first: dict[tuple[int, int, int], tuple[np.ndarray, np.ndarray]] = {}
-        for size, members in sorted(classes.items()):
-            seqs = [self.rows[k][1] for k in members]
-            flat = np.array([w for q in seqs for w in [*q, int(_END)]], np.uint64)
-            starts = np.cumsum([0, *(len(q) + 1 for q in seqs)])[:-1]
-            for r in range(repeats if size > 1 else 1):  # of one or two words none may be edited: all walks agree
-                one, two = (r % 3, 3 + r // 3 % 3) if size > 1 else (0, 1)
-                later = np.arange(two + 1, int(1.6 * size) + 1)
-                later = np.sort(np.random.default_rng([r, size]).choice(later, min(samples - 2, len(later)), replace=False)).tolist()
-                keys = self._walk(r, [one, two, *later], flat, starts)
-                order = np.argsort(keys[-1], kind="stable")
-                self.walks[r, one, two].append((later, [np.unique(k) for k in keys], keys[-1][order], np.array(members)[order]))
-        for w, some in self.walks.items():
-            self.first[w] = tuple(np.unique(np.concatenate([t[1][j] for t in some])) for j in (0, 1))
-
-    @staticmethod
-    def _walk(r: int, samples: list[int], words: np.ndarray, at: np.ndarray) -> list[np.ndarray]:
-        """Keys after each sample of walks that start at ``at``."""
-        key, step, out = np.zeros(len(at), np.uint64), 0, []
-        for sample in samples:
-            for step in range(step, sample):
-                at = at + _moves(words[at], r, step)
-            step = sample
-            key = mix(key ^ words[at])
-            out.append(key)
-        return out
-
-    @staticmethod
-    def _among(keys: np.ndarray, table: np.ndarray) -> np.ndarray:
-        return table[np.minimum(np.searchsorted(table, keys), len(table) - 1)] == keys
+            n = len(seq)
+            parts = min(int(n * max_edits) + 1, n)
+            cuts += [(k, n * p // parts, n * (p + 1) // parts) for p in range(parts)]
+        flat = np.array([w for _, q in self.rows for w in q], np.uint64)
+        first = np.cumsum([0, *(len(q) for _, q in self.rows)])
+        piece, begin, end = np.array(cuts, np.int64).reshape(-1, 3).T
+        at, end, shift = first[piece] + begin, first[piece] + end, begin
+        #: Of each step: (keys that pieces may have, keys with which pieces end, their items, first words in them).
+        self.steps: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
+        key = np.zeros(len(at), np.uint64)
+        while len(at):
+            key = mix(key ^ flat[at])
+            at = at + _moves(flat[at], len(self.steps))
+            out = np.flatnonzero(at >= end)
+            out = out[np.argsort(key[out], kind="stable")]
+            self.steps.append((np.unique(key), key[out], piece[out], shift[out]))
+            on = at < end
+            key, at, end, piece, shift = key[on], at[on], end[on], piece[on], shift[on]
 
     def candidates(self, words: np.ndarray, offsets: np.ndarray) -> dict[tuple[int, int], set[int]]:
-        """(text, item) -> starts of windows, as words of the text, that some walk can't tell from the item."""
+        """(text, item) -> where the item would start, as words of the text, by the pieces of it that are there.
+
+        A start may lie before the text or run past its end, if the outer pieces are edited.
+        """
         texts = len(offsets) - 1
         # An end behind each text holds the pointers of its windows.
         seq = np.insert(words, offsets[1:], _END)
         vocabulary, code = np.unique(seq, return_inverse=True)
-        starts = np.flatnonzero(seq != _END)
         begin = offsets[:-1] + np.arange(texts)
         found: dict[tuple[int, int], set[int]] = defaultdict(set)
-        written = mix(vocabulary)  # the key after a first sample
-        for (r, one, two), classes in self.walks.items():
-            firsts, seconds = self.first[r, one, two]
-            moves = [_moves(vocabulary, r, step) for step in range(two)]
-            at = starts
-            for step in range(one):
-                at = at + moves[step][code[at]]
-            live = np.flatnonzero(self._among(written, firsts)[code[at]])
-            at = at[live]
-            key = written[code[at]]
-            for step in range(one, two):
-                at = at + moves[step][code[at]]
-            key = mix(key ^ vocabulary[code[at]])
-            go = self._among(key, seconds)
-            live, at, key = live[go], at[go], key[go]
-            for later, kept, last, members in classes:
-                go = self._among(key, kept[1])
-                c_live, c_at, c_key, step = live[go], at[go], key[go], two
-                for s, sample in enumerate(later):
-                    for step in range(step, sample):
-                        c_at = c_at + _moves(seq[c_at], r, step)
-                    step = sample
-                    c_key = mix(c_key ^ seq[c_at])
-                    go = self._among(c_key, kept[2 + s])
-                    c_live, c_at, c_key = c_live[go], c_at[go], c_key[go]
-                lo, hi = np.searchsorted(last, c_key, side="left"), np.searchsorted(last, c_key, side="right")
-                for i in np.flatnonzero(hi > lo).tolist():
-                    where = int(starts[c_live[i]])
-                    text = int(np.searchsorted(begin, where, side="right")) - 1
-                    for k in members[lo[i] : hi[i]].tolist():
-                        found[text, k].add(where - int(begin[text]))
+        start = at = key = None
+        for step, (keys, last, members, shifts) in enumerate(self.steps):
+            if at is None:
+                key = mix(vocabulary)
+                start = at = np.flatnonzero(_among(key, keys)[code])
+                key = key[code[at]]
+            else:
+                key = mix(key ^ seq[at])
+                go = _among(key, keys)
+                start, at, key = start[go], at[go], key[go]
+            lo, hi = np.searchsorted(last, key, side="left"), np.searchsorted(last, key, side="right")
+            for i in np.flatnonzero(hi > lo).tolist():
+                where = int(start[i])
+                text = int(np.searchsorted(begin, where, side="right")) - 1
+                for k, shift in zip(members[lo[i] : hi[i]].tolist(), shifts[lo[i] : hi[i]].tolist()):
+                    found[text, k].add(where - int(begin[text]) - shift)
+            if not len(at):
+                break
+            # While many windows are left there are fewer distinct words than windows.
+            at = at + (_moves(vocabulary, step)[code[at]] if len(at) > len(vocabulary) else _moves(seq[at], step))
         return found
 
     def settle(self, k: int, words: list[int], starts: set[int]) -> tuple[int, int, int] | None:
         """(edits, start, end) of the best stretch near ``starts`` for item k, or None beyond the allowed edits."""
         seq, mask = self.rows[k][1], self.masks[k]
         n, most = len(seq), int(len(seq) * self.max_edits)
-        best = None
-        done = -1
+        regions: list[list[int]] = []
         for start in sorted(starts):
-            if start < done:
-                continue
-            if words[start : start + n] == seq:
+            if start >= 0 and words[start : start + n] == seq:
                 return 0, start, start + n
-            # Neighbouring starts share a region.
-            lo, hi = max(0, start - most), start
-            hi = max((s for s in starts if start <= s <= start + n), default=start) + n + most
-            done = hi - n - most + 1
+            # A stretch with a whole piece is shifted and stretched by its edits at most.  Neighbours share a region.
+            lo, hi = max(0, start - most), start + n + most
+            if regions and lo <= regions[-1][1]:
+                regions[-1][1] = hi
+            else:
+                regions.append([lo, hi])
+        best = None
+        for lo, hi in regions if most else []:
             score, end = _distances(words[lo:hi], mask, n)
             if score <= most and (best is None or score < best[0]):
                 best = (score, lo, lo + end)

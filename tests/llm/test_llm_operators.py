@@ -195,6 +195,45 @@ def test_leaks_are_exact_and_found(spark):
     assert len(found) >= 0.95 * len(want)
 
 
+def edited(words, places, rng):
+    """Words with one left out, changed or put in at each of the places."""
+    out = list(words)
+    for at in sorted(places, reverse=True):
+        kind = rng.randrange(3)
+        out[at : at + (kind != 0)] = [] if kind == 2 else [f"new{rng.randint(0, 9999)}"]
+    return out
+
+
+def planted_recall(lengths, places, seed):
+    """Share of items found with no more edits than were made, as many as are allowed, at places(n, edits, rng)."""
+    rng = random.Random(seed)
+    items = [[f"w{rng.randint(0, 2000)}" for _ in range(n)] for n in lengths]
+    noise = lambda: [f"f{rng.randint(0, 999)}" for _ in range(rng.randint(0, 30))]
+    made = [int(len(item) * decontaminate.MAX_EDITS) for item in items]
+    texts = [" ".join(noise() + edited(item, places(len(item), e, rng), rng) + noise()) for item, e in zip(items, made)]
+    hits = {(i, k): edits for i, k, edits, *_ in decontaminate._leaks(decontaminate.Items(list(range(len(items))), [" ".join(x) for x in items]), pa.array(texts))}
+    return sum(hits.get((i, i), e + 1) <= e for i, e in enumerate(made)) / len(items)
+
+
+@pytest.mark.parametrize("where", ["start", "middle", "end"])
+def test_leaks_edited_at_one_place_are_found(where):
+    def places(n, e, rng):
+        return range({"start": 0, "middle": (n - e) // 2, "end": n - e}[where], {"start": e, "middle": (n + e) // 2, "end": n}[where])
+
+    assert planted_recall([n for n in (15, 20, 30, 40, 59) for _ in range(40)], places, 7) == 1
+
+
+def test_leaks_are_exact_at_the_most_edits():
+    """Every leak, its edits and its stretch as by brute force, with edits at any place."""
+    rng = random.Random(9)
+    items = [[f"w{rng.randint(0, 60)}" for _ in range(rng.randint(8, 40))] for _ in range(30)]
+    texts = [[f"w{rng.randint(0, 60)}" for _ in range(20)] + edited(x, rng.sample(range(len(x)), min(len(x), int(len(x) * 0.1) + rng.randint(0, 1))), rng) + [f"w{rng.randint(0, 60)}" for _ in range(20)] for x in items for _ in range(4)]
+    got = decontaminate._leaks(decontaminate.Items(list(range(len(items))), [" ".join(x) for x in items]), pa.array([" ".join(t) for t in texts]))
+    want = {(i, k): d for i, t in enumerate(texts) for k, item in enumerate(items) if (d := distance(t, item)) <= int(len(item) * decontaminate.MAX_EDITS)}
+    assert {(i, k): d for i, k, d, *_ in got} == want
+    assert all(distance(texts[i][a:b], items[k]) == d for i, k, d, a, b in got)
+
+
 def test_leak_query_and_blocks(spark):
     bench = spark.createDataFrame([(1, "One two three four five six."), (2, None), (None, "x"), (3, "!!"), (4, "one TWO three four five six")], "item_id long, text string")
     docs = spark.createDataFrame([(10, "so: one, two three\nfour five six, end"), (11, "one two three"), (None, "one two three four five six"), (12, None), (12, "")], DOCS)
