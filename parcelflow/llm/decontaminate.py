@@ -164,12 +164,15 @@ class Items:
         back: dict[int, int] = defaultdict(int)
         for i, w in enumerate(reversed(seq)):
             back[w] |= 1 << i
-        length = _anchored(list(reversed(words[max(0, end - n - most) : end])), back, n, score)
+        _, length = _distances(list(reversed(words[max(0, end - n - most) : end])), back, n, anchored=True)
         return score, end - length, end
 
 
-def _distances(words: list[int], mask: dict[int, int], n: int) -> tuple[int, int]:
-    """(least edit distance, first end) of a pattern of n words to any stretch of ``words``, bit-parallel."""
+def _distances(words: list[int], mask: dict[int, int], n: int, anchored: bool = False) -> tuple[int, int]:
+    """(least edit distance, first end) of a pattern of n words to any stretch of ``words``, bit-parallel.
+
+    If anchored, to any stretch that starts with the first word.
+    """
     full, top = (1 << n) - 1, 1 << (n - 1)
     pv, mv, score, best, end = full, 0, n, n, 0
     for i, w in enumerate(words):
@@ -182,7 +185,7 @@ def _distances(words: list[int], mask: dict[int, int], n: int) -> tuple[int, int
             score += 1
         elif mh & top:
             score -= 1
-        ph, mh = (ph << 1) & full, (mh << 1) & full
+        ph, mh = (ph << 1 | anchored) & full, (mh << 1) & full
         pv = mh | ~(xv | ph) & full
         mv = ph & xv
         if score < best:
@@ -190,25 +193,6 @@ def _distances(words: list[int], mask: dict[int, int], n: int) -> tuple[int, int
     return best, end
 
 
-def _anchored(words: list[int], mask: dict[int, int], n: int, score: int) -> int:
-    """Least length of a prefix of ``words`` at edit distance ``score`` of a pattern of n words."""
-    pattern = [None] * n
-    for w, bits in mask.items():
-        for i in range(n):
-            if bits >> i & 1:
-                pattern[i] = w
-    column = list(range(n + 1))
-    if column[n] == score:
-        return 0
-    for j, w in enumerate(words):
-        last, column[0] = column[0], j + 1
-        for i in range(n):
-            last, column[i + 1] = column[i + 1], min(last + (pattern[i] != w), column[i] + 1, column[i + 1] + 1)
-        if column[n] == score:
-            return j + 1
-    return len(words)
-
-
 def _leaks(items: Items, texts: pa.Array) -> list[tuple[int, int, int, int, int]]:
     """(text, item id, edits, start word, end word) of all leaks in an array without nulls."""
     words, offsets = word_sequences(texts)

@@ -234,6 +234,11 @@ def test_leaks_are_exact_at_the_most_edits():
     assert all(distance(texts[i][a:b], items[k]) == d for i, k, d, a, b in got)
 
 
+@pytest.mark.parametrize("n", [60, 250, 500, 1000])
+def test_leaks_of_any_size_are_found(n):
+    assert planted_recall([n] * 40, lambda n, e, rng: rng.sample(range(n), e), n) == 1
+
+
 def test_leak_query_and_blocks(spark):
     bench = spark.createDataFrame([(1, "One two three four five six."), (2, None), (None, "x"), (3, "!!"), (4, "one TWO three four five six")], "item_id long, text string")
     docs = spark.createDataFrame([(10, "so: one, two three\nfour five six, end"), (11, "one two three"), (None, "one two three four five six"), (12, None), (12, "")], DOCS)
