@@ -239,6 +239,14 @@ def test_leaks_of_any_size_are_found(n):
     assert planted_recall([n] * 40, lambda n, e, rng: rng.sample(range(n), e), n) == 1
 
 
+def test_one_word_items_are_found():
+    """Each of many words, at the start, in the middle and at the end of a text, and nowhere else."""
+    items = [f"w{i}" for i in range(50)]
+    texts = [t for w in items for t in (f"{w} x y z", f"x y {w} z", f"x y z {w}")] + ["x y z"]
+    got = decontaminate._leaks(decontaminate.Items(list(range(50)), items), pa.array(texts))
+    assert got == [(3 * k + j, k, 0, at, at + 1) for k in range(50) for j, at in enumerate((0, 2, 3))]
+
+
 def test_leak_query_and_blocks(spark):
     bench = spark.createDataFrame([(1, "One two three four five six."), (2, None), (None, "x"), (3, "!!"), (4, "one TWO three four five six")], "item_id long, text string")
     docs = spark.createDataFrame([(10, "so: one, two three\nfour five six, end"), (11, "one two three"), (None, "one two three four five six"), (12, None), (12, "")], DOCS)
