@@ -463,6 +463,14 @@ def read_samples(blocks: bytes, first: int, n: int) -> bytes:
     return blocks[at : at + min(n, total - first)]
 
 
+def read_blocks(blocks: bytes) -> bytes:
+    """All samples of what pcm_blocks wrote, block by block by its table."""
+    count, total = struct.unpack_from("<IQ", blocks, 4)
+    table = np.frombuffer(blocks, np.dtype([("sample", "<u8"), ("at", "<u8")]), count, 16)
+    firsts, at = table["sample"].tolist(), table["at"].tolist()
+    return b"".join(blocks[i : i + end - first] for i, first, end in zip(at, firsts, [*firsts[1:], total]))
+
+
 def pad(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(payloads, offsets): the UTF-8 bytes of each text and zeros up to a positive multiple of 64."""
     data, at = byte_view(texts)
@@ -500,10 +508,10 @@ def decode_media(media: DataFrame, id_col: str = "doc_id", media_col: str = "med
 
 
 def text_media_features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Encode each padded text, decode the stream again and describe both; one row per input row.
+    """Encode each padded text, decode the stream into PCM blocks and describe both; one row per input row.
 
-    payload_* and tail_crc32 (last 64 bytes) are of the decoded samples, media_* of the stream; feature is
-    frames:sum:energy:sign changes of the samples.  Nothing of a row depends on other rows, so equal texts
+    payload_* and tail_crc32 (last 64 bytes) are of the samples read back from the blocks by their table,
+    media_* of the stream; feature is frames:sum:energy:sign changes of the samples read back.  Nothing of a row depends on other rows, so equal texts
     give equal values.  A null text counts as empty (64 zero bytes); null ids and repeated rows are kept;
     other columns are not read.  No shuffle; a worker holds BATCH_BYTES of payload, or one document.
     """
@@ -512,16 +520,21 @@ def text_media_features(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         for part in slices(batches, limit=BATCH_BYTES):
             media = encode(*pad(part.column(1)))
             out, offsets, frames = decode(media)
-            x = out.astype(np.int64) - 128
+            decoded, ends = memoryview(out), offsets.tolist()
+            stored = [pcm_blocks(decoded[a:b]) for a, b in zip(ends, ends[1:])]
+            del out, decoded
+            payloads = [read_blocks(s) for s in stored]
+            raw, offsets = b"".join(payloads), np.cumsum([0, *map(len, payloads)])
+            x = np.frombuffer(raw, np.uint8).astype(np.int64) - 128
             total, energy = (np.concatenate([[0], np.cumsum(v)]) for v in (x, x * x))
             turns = np.concatenate([[0], np.cumsum(np.append(False, (x[1:] < 0) != (x[:-1] < 0)))])
-            raw, ends = memoryview(out.tobytes()), offsets.tolist()
+            ends = offsets.tolist()
             spans = list(zip(ends, ends[1:]))
             feature = [f"{f}:{total[b] - total[a]}:{energy[b] - energy[a]}:{turns[b] - turns[a + 1]}" for f, (a, b) in zip(frames.tolist(), spans)]
             yield pa.record_batch(
                 [
-                    part.column(0), pc.binary_length(part.column(1)).cast(pa.int64()), pa.array(np.diff(offsets)), pa.array([hashlib.sha256(raw[a:b]).hexdigest() for a, b in spans]),
-                    pa.array([zlib.crc32(raw[b - 64 : b]) for _, b in spans], pa.int64()), pa.array([len(m) for m in media], pa.int64()), pa.array([hashlib.sha256(m).hexdigest() for m in media]), pa.array(feature),
+                    part.column(0), pc.binary_length(part.column(1)).cast(pa.int64()), pa.array(np.diff(offsets)), pa.array([hashlib.sha256(p).hexdigest() for p in payloads]),
+                    pa.array([zlib.crc32(read_samples(s, len(p) - 64, 64)) for s, p in zip(stored, payloads)], pa.int64()), pa.array([len(m) for m in media], pa.int64()), pa.array([hashlib.sha256(m).hexdigest() for m in media]), pa.array(feature),
                 ],
                 names=[c.split()[0] for c in SCHEMA.split(", ")],
             )

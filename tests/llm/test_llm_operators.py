@@ -3,9 +3,11 @@
 import hashlib
 import random
 import re
+import struct
 import zlib
 from collections import defaultdict
 from functools import cache
+from unittest.mock import MagicMock
 
 import numpy as np
 import public_tokenizers as P
@@ -352,6 +354,29 @@ def test_flac_kinds_walking_and_damage():
     assert flac.read_samples(blocks, 5000, 300) == (bytes(range(256)) * 50)[5000:5300] and flac.read_samples(blocks, 10**6, 5) == b"" and flac.read_samples(flac.pcm_blocks(b""), 0, 5) == b""
 
 
+def test_media_features_come_from_the_stored_blocks(monkeypatch):
+    """What is described is what the table of the blocks leads to."""
+    docs, write = MagicMock(), flac.pcm_blocks
+
+    def two_blocks_swapped(pcm):
+        """128 samples in blocks of 64, stored in turned order, with the table to match."""
+        blocks = write(bytes(pcm), 64)
+        return blocks[:16] + struct.pack("<QQQQ", 0, 112, 64, 48) + blocks[48 + 64 :] + blocks[48 : 48 + 64]
+
+    batch = pa.record_batch([pa.array([1]), pa.array(["a" * 64 + "b" * 64])], names=["doc_id", "text"])
+    flac.text_media_features(docs)
+    run = docs.select.return_value.mapInArrow.call_args[0][0]
+    (plain,) = run(iter([batch]))
+    monkeypatch.setattr(flac, "pcm_blocks", two_blocks_swapped)
+    (same,) = run(iter([batch]))
+    assert plain.equals(same)
+    monkeypatch.setattr(flac, "pcm_blocks", lambda pcm: write(bytes(pcm)[:-1] + b"c"))
+    got = next(run(iter([batch]))).to_pylist()[0]
+    want = b"a" * 64 + b"b" * 63 + b"c"
+    assert got["payload_sha256"] == hashlib.sha256(want).hexdigest() and got["tail_crc32"] == zlib.crc32(want[-64:])
+    assert got["feature"] != plain.to_pylist()[0]["feature"] and got["media_sha256"] == plain.to_pylist()[0]["media_sha256"]
+
+
 def test_flac_escaped_partition():
     # A frame by hand: fixed order 0, one partition without Rice codes, five raw bits a sample.
     bits = "".join(f"{v:08b}" for v in (0xFF, 0xF8, 0x60, 0x02, 0x00, 63))
