@@ -16,14 +16,20 @@ def trajectories(obs: DataFrame, targets: DataFrame, job: Job, steps: DataFrame
 
     The spine of targets and steps comes first, so that a missing step leaves a gap and later differences
     don't jump over it.  Steps are exploded from the release unless a schedule is given (no-leap runs).
-    Of several observations of a parcel at one time, one counts.
+    Of several observations of a parcel at one time, one counts: the one with the most values, of these
+    the one with the largest in the order of columns.  Only wanted observations are grouped.
     """
     if steps is None:
         spine = targets.select(*KEY, F.explode(F.sequence(F.lit(0), F.lit(job.segments + 1))).alias("step"))
         spine = spine.withColumn("obs_ts", F.expr(f"release_ts - make_interval(0, 0, 0, 0, 0, step * {job.time_step})"))
     else:
         spine = targets.join(steps, "release_ts")
-    return spine.join(obs, ["parcel_id", "obs_ts"], "left")
+    at = ["parcel_id", "obs_ts"]
+    values = [c for c in obs.columns if c not in at]
+    there = sum((F.col(c).isNotNull().cast("int") for c in values), F.lit(0))
+    wanted = obs.join(spine.select(*at), at, "left_semi")
+    one = wanted.groupBy(*at).agg(F.max(F.struct(there.alias("_there"), *values)).alias("_one"))
+    return spine.join(one.select(*at, *(F.col("_one")[c].alias(c) for c in values)), at, "left")
 
 
 def _at(step: int, name: str) -> F.Column:

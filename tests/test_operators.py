@@ -69,6 +69,18 @@ def test_linear_discount_equals_the_fold(spark):
         assert all(0 <= got[p, i] <= max(v or 0, 0) + 1e-12 for i, v in enumerate(c))
 
 
+def test_repeated_observations_count_once(spark):
+    """A snapshot landed twice changes nothing; of two that differ, the one with more values counts, then the larger."""
+    job = Job(tracking_time=1440)
+    schema = "parcel_id int, obs_ts timestamp, lon double, lat double, q double, z double, hmix double, rho double, t_k double"
+    obs = [(p, T0 - dt.timedelta(hours=6 * k), 10.0 + p, 10.0, 0.01 + 0.001 * k, 100.0, 500.0, 1.0, 280.0) for p in (1, 2) for k in range(6)]
+    worse = [(*obs[1][:2], None, *obs[1][3:]), (*obs[2][:2], obs[2][2] - 1, *obs[2][3:])]
+    targets = spark.createDataFrame([(T0, 1), (T0, 2)], "release_ts timestamp, parcel_id int")
+    once = trajectories(spark.createDataFrame(obs, schema), targets, job)
+    again = trajectories(spark.createDataFrame(obs[:4] + worse + obs, schema), targets, job)
+    assert once.columns == again.columns and once.count() == again.count() == 12 and sorted(once.collect(), key=repr) == sorted(again.collect(), key=repr)
+
+
 def test_a_gap_is_not_jumped_over(spark):
     job = Job(tracking_time=1440)
     obs = [(1, T0 - dt.timedelta(hours=6 * k), 10.0, 10.0, 0.01 + 0.001 * k, 100.0, 500.0, 1.0, 280.0) for k in range(6) if k != 3]
