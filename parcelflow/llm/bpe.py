@@ -22,6 +22,7 @@ import regex
 from pyspark.sql import DataFrame
 
 from .chunks import ragged_take, slices, split_distinct, sums
+from .storage import small_batches
 
 #: Pre-tokens remembered by one Python worker; when full, the memory starts anew.
 REMEMBERED = 400_000
@@ -235,6 +236,7 @@ def encode_docs(docs: DataFrame, ranks_file: str, pattern: str, id_col: str = "d
     Each match of ``pattern`` is merged by itself; no special tokens.  A null text counts as empty and
     has no ids; null ids and repeated rows are kept; other columns are not read.  No shuffle.
     """
+    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = _coder(ranks_file, pattern)
@@ -263,6 +265,7 @@ def round_trip_digests(docs: DataFrame, ranks_file: str, pattern: str, id_col: s
 
     Nulls and repeats as in encode_docs.
     """
+    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = _coder(ranks_file, pattern)

@@ -7,7 +7,8 @@ array arithmetic on the codes.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +33,22 @@ def slices(batches: Iterator[pa.RecordBatch], text: int = 1, limit: int = SLICE_
             to = max(at + 1, int(np.searchsorted(ends, done + limit, side="right")))
             yield batch.slice(at, to - at)
             at = to
+    release()
+
+
+def text_flags(batches: Iterator[pa.Array], test: Callable[[pa.Array], np.ndarray], limit: int = SLICE_BYTES) -> Iterator[pa.Array]:
+    """Of each array of texts, what ``test`` says of its bounded slices; nulls are tested as empty texts."""
+    for texts in batches:
+        flags = [test(part.column(0)) for part in slices(iter([pa.record_batch([texts], names=["text"])]), 0, limit)]
+        yield pa.array(np.concatenate(flags) if flags else np.zeros(0, bool))
+
+
+def release() -> None:
+    """Hand freed memory back to the system: Spark keeps Python workers for later stages, which run beside idle ones."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
 
 
 def split_distinct(texts: pa.Array, sep: str = " ") -> tuple[np.ndarray, np.ndarray, pa.Array]:

@@ -26,8 +26,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .chunks import slices, split_distinct
+from .chunks import slices, split_distinct, text_flags
 from .near_dup import mix
+from .storage import small_batches
 
 #: Edits (words put in, left out or changed) per word of an item at most.
 MAX_EDITS = 0.1
@@ -229,6 +230,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     edits is given, as word positions.  Null texts hold nothing; null ids and repeated rows are kept; an
     item without words leaks nowhere; equal items leak alike; other columns are not read.  No shuffle.
     """
+    small_batches(docs.sparkSession)
     rows = docs.select(docs[id_col].cast("bigint").alias("doc_id"), docs[text_col].alias("text"))
 
     def against(items: Items) -> DataFrame:
@@ -248,20 +250,24 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
 
 
 def drop_leaking(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, whole, in which no item leaks; one pass for each block of items."""
-    place = docs.columns.index(text_col)
+    """The rows of ``docs``, whole, in which no item leaks; one pass for each block of items.
+
+    Null and empty texts hold nothing and stay.  Only the texts go to Python, and only flags come back.
+    """
+    small_batches(docs.sparkSession)
 
     def without(items: Items):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                keep = []
-                for part in slices(iter([batch]), text=place):
-                    keep.append(np.ones(part.num_rows, bool))
-                    keep[-1][[h[0] for h in _leaks(items, part.column(place))]] = False
-                yield batch.filter(pa.array(np.concatenate(keep))) if keep else batch
+        def clean(texts: pa.Array) -> np.ndarray:
+            keep = np.ones(len(texts), bool)
+            keep[[h[0] for h in _leaks(items, texts)]] = False
+            return keep
+
+        @F.arrow_udf("boolean")
+        def flags(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+            yield from text_flags(batches, clean)
 
-        return run
+        return flags
 
     for items in item_blocks(benchmark):
-        docs = docs.mapInArrow(without(items), docs.schema)
+        docs = docs.where(without(items)(docs[text_col]))
     return docs

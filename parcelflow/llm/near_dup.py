@@ -1,15 +1,17 @@
 """Near-duplicate classes by DartMinHash.
 
-The shingles of a text are elements with weights.  Hashed darts are thrown at each element's region of
-weight x rank: a dart's place depends on the element and the dart's number alone, and it counts if it
-falls below the element's weight.  About k ln k + 2k darts hit per text, whatever its length; each has a
-coordinate, and the earliest dart of each of the k coordinates makes the signature.  Two signatures agree
-in a coordinate with the probability of the weighted Jaccard similarity.
+The shingles of a text are elements, how often each stands there is its weight.  Hashed darts are thrown
+at each element's region of weight x rank: a dart's place depends on the element and the dart's number
+alone, and it counts if it falls below the element's weight.  About k ln k + 2k darts hit per text,
+whatever its length; each has a coordinate, and the earliest dart of each of the k coordinates makes the
+signature.  Two signatures agree in a coordinate with the probability of the weighted Jaccard similarity.
 
 Signatures are joined in bands.  In a band's bucket every text is compared with two leaders (stars, not
-all pairs) on its real shingles.  Where a bucket then still holds different classes, the texts outside
-the main one meet further leaders for some rounds, and at last all texts of other classes, so no
-candidate of different classes is left out.  Classes are connected components of the links.
+all pairs) on all of its shingles, which are told apart by 64-bit hashes.  Where a bucket then still
+holds different classes, the texts outside the main one meet further leaders for some rounds.  What is
+left is joined on rare shingles: two texts as similar as asked share one of the rarest fifth of either,
+so texts that merely have much in common never meet, however many share a bucket.  No candidate of
+different classes is left out.  Classes are connected components of the links.
 """
 
 from __future__ import annotations
@@ -20,21 +22,21 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .chunks import byte_view, slices, split_distinct
-from .storage import stored
+from .chunks import byte_view, slices, split_distinct, sums
+from .storage import Scratch, free_name, small_batches
 
 WORDS, SIMILARITY = 5, 0.8
 #: 24 bands of 5: a pair at similarity 0.8 shares a bucket with probability 1 - (1 - 0.8^5)^24 = 0.9999.
 BANDS, ROWS = 24, 5
 #: Candidate ids that are broadcast at most; beyond that they are joined by a shuffle.
 BROADCAST_ROWS = 200_000
-#: Rounds in which texts outside their bucket's main class meet further leaders, before the rest is compared in full.
+#: Rounds in which texts outside their bucket's main class meet further leaders, before the rest meets by rare shingles.
 LEADER_ROUNDS = 3
-#: Groups of hashes in which shared shingles are counted to bound an overlap.
-GROUPS = 64
+#: Parts that the pairs of one leader are dealt over; its shingles are sent once to each.
+LEADER_PARTS = 32
 #: Text bytes shingled at once.
 STEP = 2 << 20
 SIGNATURES = "doc_id bigint, digest binary, bands array<bigint>"
@@ -140,7 +142,7 @@ def band_keys(sketch: np.ndarray, bands: int = BANDS) -> np.ndarray:
     return keys
 
 
-def signatures(docs: DataFrame, weighted: bool = False) -> DataFrame:
+def signatures(docs: DataFrame, weighted: bool = True) -> DataFrame:
     """doc_id, digest of the text and band keys (none for a text without words) of (doc_id, text) rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -158,77 +160,98 @@ def signatures(docs: DataFrame, weighted: bool = False) -> DataFrame:
 
 
 def _sets(texts: DataFrame, weighted: bool) -> DataFrame:
-    """node and its shingles (ascending 64-bit hashes and, if ``weighted``, their counts) of (node, text) rows."""
+    """node and its shingles (ascending 64-bit hashes, and their counts unless all are 1) of (node, text) rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, limit=STEP):
             of, h, n = shingles(part.column(1))
             cut = np.searchsorted(of, np.arange(len(part.column(1)) + 1)).tolist()
             blobs = [h[a:b].tobytes() for a, b in zip(cut, cut[1:])]
-            counts = [n[a:b].astype(np.uint32).tobytes() if weighted else b"" for a, b in zip(cut, cut[1:])]
+            counts = [n[a:b].astype(np.uint32).tobytes() if weighted and (n[a:b] > 1).any() else b"" for a, b in zip(cut, cut[1:])]
             yield pa.record_batch([part.column(0), pa.array(blobs, pa.binary()), pa.array(counts, pa.binary())], names=["node", "h", "n"])
 
     return texts.mapInArrow(run, "node bigint, h binary, n binary")
 
 
-def _verify(pairs: DataFrame, sets: DataFrame, similarity: float, weighted: bool) -> DataFrame:
-    """The pairs (a, b) whose real similarity is at least ``similarity``."""
+def _set_arrays(h: pa.Array, n: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hashes, weights, offsets of each set) of columns that _sets made."""
+    sizes = pc.binary_length(h).to_numpy(zero_copy_only=False).astype(np.int64) // 8
+    offsets = np.concatenate([[0], np.cumsum(sizes)])
+    weights = np.ones(int(offsets[-1]), np.int64)
+    for i in np.flatnonzero(pc.binary_length(n).to_numpy(zero_copy_only=False)).tolist():
+        weights[offsets[i] : offsets[i + 1]] = np.frombuffer(n[i].as_buffer(), np.uint32)
+    return np.frombuffer(b"".join(h.to_pylist()), np.uint64), weights, offsets
+
+
+def _verify(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The links (a, b) among ``pairs`` (a, b and lead, which is one of the two): their similarity is at least ``similarity``.
+
+    A leader's shingles go once to each part of its pairs and stand before them there, so they aren't
+    copied for every pair and a leader of many is no one task's work.
+    """
+    node = F.when(F.col("lead") == F.col("a"), F.col("b")).otherwise(F.col("a"))
+    dealt = pairs.select("lead", node.alias("node"), F.pmod(F.xxhash64("a", "b"), F.lit(LEADER_PARTS)).cast("int").alias("part"))
+    leaders = dealt.select("lead", "part").distinct().join(sets.withColumnRenamed("node", "lead"), "lead").select("lead", "part", F.lit(None).cast("bigint").alias("node"), "h", "n")
+    members = dealt.join(sets, "node").select("lead", "part", "node", "h", "n")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: tuple[int, int] | None = None
+        own: list[tuple[np.ndarray, np.ndarray]] = []  # an id with several texts leads by each
         for batch in batches:
-            keep = []
-            ah, an, bh, bn = (batch.column(i) for i in range(2, 6))
-            for row in range(batch.num_rows):
-                x, y = (np.frombuffer(c[row].as_buffer(), np.uint64) for c in (ah, bh))
-                if weighted:
-                    v, w = (np.frombuffer(c[row].as_buffer(), np.uint32).astype(np.int64) for c in (an, bn))
-                    _, i, j = np.intersect1d(x, y, True, True)
-                    both, all_ = int(np.minimum(v[i], w[j]).sum()), int(v.sum() + w.sum())
-                elif min(len(x), len(y)) < similarity * max(len(x), len(y)):
-                    both, all_ = 0, 1
-                else:
-                    joined = np.sort(np.concatenate([x, y]), kind="stable")
-                    both, all_ = int((joined[1:] == joined[:-1]).sum()), len(joined)
-                keep.append(both >= similarity * (all_ - both))
-            yield pa.record_batch([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    side = lambda c: sets.select(F.col("node").alias(c), F.col("h").alias(f"{c}h"), F.col("n").alias(f"{c}n"))
-    joined = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "ah", "an", "bh", "bn")
-    return joined.mapInArrow(run, "a bigint, b bigint")
-
-
-def _common(sets: DataFrame, weighted: bool) -> DataFrame:
-    """(node, size, common, groups): weight of a text's shingles, and of those that another text of ``sets`` has too, also by groups of their hashes.
-
-    A node with several texts is left out.
+            lead, part = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+            follows = batch.column(2).is_valid().to_numpy(zero_copy_only=False)
+            edges = np.unique(np.concatenate([[0, batch.num_rows], np.flatnonzero(~follows), np.flatnonzero(~follows) + 1])).tolist()
+            keep = np.zeros(batch.num_rows, bool)
+            for a, b in zip(edges, edges[1:]):
+                h, n, at = _set_arrays(batch.column(3).slice(a, b - a), batch.column(4).slice(a, b - a))
+                if not follows[a]:
+                    if held != (lead[a], part[a]):
+                        held, own = (lead[a], part[a]), []
+                    own.append((h, n))
+                    continue
+                total = sums(n, at)
+                for x, w in own:
+                    place = np.minimum(np.searchsorted(x, h), len(x) - 1)
+                    both = sums(np.where(x[place] == h, np.minimum(w[place], n), 0), at) if len(x) else np.zeros(b - a)
+                    keep[a:b] |= both >= similarity * (total + w.sum() - both)
+            u, v = lead[keep], batch.column(2).filter(pa.array(keep)).to_numpy(zero_copy_only=False).astype(np.int64)
+            yield pa.record_batch([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v))], names=["a", "b"])
+
+    laid = leaders.unionByName(members).repartition("lead", "part").sortWithinPartitions("lead", "part", F.col("node").asc_nulls_first())
+    return laid.mapInArrow(run, "a bigint, b bigint").distinct()
+
+
+def _rare(sets: DataFrame, similarity: float, scratch: Scratch) -> DataFrame:
+    """(node, h, size, share) of the rarest shingles of each set: two sets as similar as asked share one of them.
+
+    Shingles are ordered by the number of sets that have them.  Those of a set whose weight, with that of
+    all rarer ones, isn't needed for an overlap of ``similarity`` x size are kept, and the first that is:
+    an overlap so large can't do without them all.  share is the part of a set's weight that others have too.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, text=1, limit=STEP):
-            h, n = (b"".join(part.column(i).to_pylist()) for i in (1, 2))
-            n = np.frombuffer(n, np.uint32).astype(np.int64) if weighted else np.ones(len(h) // 8, np.int64)
-            each = pc.binary_length(part.column(1)).to_numpy() // 8
-            yield pa.record_batch([pa.array(np.repeat(part.column(0).to_numpy(), each)), pa.array(np.frombuffer(h, np.int64)), pa.array(n)], names=["node", "h", "w"])
-
-    rows = sets.select("node", "h", "n").mapInArrow(run, "node bigint, h bigint, w bigint")
-    size = rows.groupBy("node").agg(F.sum("w").alias("size"))
-    alone = rows.groupBy("h").agg(F.count("*").alias("times"), F.min("node").alias("node"), F.min("w").alias("w")).where("times = 1").groupBy("node").agg(F.sum("w").alias("alone"))
-    one = sets.groupBy("node").count().where("count = 1").select("node")
-    alone = rows.groupBy("h").agg(F.count("*").alias("times"), F.min("node").alias("node"), F.min("w").alias("w")).where("times = 1")
-    shared = rows.select("node", "h", "w").unionByName(alone.select("node", "h", (-F.col("w")).alias("w")))
-    each = shared.groupBy("node", F.pmod("h", F.lit(GROUPS)).cast("int").alias("g")).agg(F.sum("w").alias("c"))
-    dense = F.transform(F.sequence(F.lit(0), F.lit(GROUPS - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0)))
-    groups = each.groupBy("node").agg(F.sum("c").alias("common"), F.map_from_entries(F.collect_list(F.struct("g", "c"))).alias("m")).select("node", "common", dense.alias("groups"))
-    return size.join(one, "node").join(groups, "node")
-
-
-def components(links: DataFrame) -> DataFrame:
+            h, n, at = _set_arrays(part.column(1), part.column(2))
+            yield pa.record_batch([pa.array(np.repeat(part.column(0).to_numpy(), np.diff(at))), pa.array(h.view(np.int64)), pa.array(n)], names=["node", "h", "w"])
+
+    rows = sets.select("node", "h", "n").mapInArrow(run, "node bigint, h bigint, w bigint").groupBy("node", "h").agg(F.max("w").alias("w"))
+    rows = scratch.stored(rows, "shared")
+    times = scratch.stored(rows.groupBy("h").agg(F.count("*").alias("times")).where("times > 1"), "times")
+    of = Window.partitionBy("node")
+    before = F.sum("w").over(of.orderBy("times", "h").rowsBetween(Window.unboundedPreceding, -1))
+    ranked = rows.join(times, "h", "left").withColumns({"size": F.sum("w").over(of), "common": F.sum(F.when(F.col("times").isNotNull(), F.col("w"))).over(of), "before": F.coalesce(before, F.lit(0))})
+    ranked = ranked.where(F.col("before") <= F.col("size") - F.ceil(similarity * F.col("size") - 1e-6))
+    return ranked.select("node", "h", "size", (F.coalesce("common", F.lit(0)) / F.col("size")).alias("share"))
+
+
+def components(links: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     """(node, root) of the connected components of links (a, b); the root is the least node.
 
     Each round points every neighbour larger than a node at the node's least neighbour, then every smaller
     one; stars form in a logarithmic number of rounds.  Rounds are written to the shared folder.
     """
-    edges = stored(links.where("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
+    scratch = scratch or Scratch(links.sparkSession)
+    edges = scratch.stored(links.where("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
     state = None
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -236,102 +259,109 @@ def components(links: DataFrame) -> DataFrame:
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).where("u != v").distinct()
-        edges = stored(small, "edges")
+        before, edges = edges, scratch.stored(small, "edges")
+        scratch.drop(before)
         now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if now == state:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
         state = now
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, weighted: bool = False) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, weighted: bool = True) -> DataFrame:
     """One row per input row: doc_id and class_id.
 
-    class_id is the least doc_id of the class: texts linked by a similarity (Jaccard of 5-word shingles,
-    of multisets if ``weighted``) of at least ``similarity``, directly or over others, and equal texts.
+    class_id is the least doc_id of the class: texts linked by a similarity of at least ``similarity``,
+    directly or over others, and equal texts.  Similarity is the weighted Jaccard similarity of 5-word
+    shingles: a shingle weighs as often as it stands in a text, or 1 if not ``weighted``.
     Texts without words are in a class with equal texts only.  A null text counts as empty.  Rows with a
     null id have a null class.  Rows that share an id are one document: links of all their texts count.
-    Other columns are not read.
+    Other columns are not read.  The result is a table in the shared folder; all others made on the way
+    are removed.
     """
+    small_batches(docs.sparkSession)
+    scratch = Scratch(docs.sparkSession)
     rows = docs.select(docs[id_col].cast("bigint").alias("doc_id"), F.coalesce(docs[text_col], F.lit("")).alias("text"))
     numbered = rows.where("doc_id is not null")
-    signed = stored(signatures(numbered, weighted), "signatures")
+    signed = scratch.stored(signatures(numbered, weighted), "signatures")
     # Equal texts: the least id stands for all of them.
-    texts = stored(signed.groupBy("digest").agg(F.min("doc_id").alias("node"), F.any_value("bands").alias("bands")), "texts")
+    texts = scratch.stored(signed.groupBy("digest").agg(F.min("doc_id").alias("node"), F.any_value("bands").alias("bands")), "texts")
     bands = texts.select("node", F.explode("bands").alias("band"))
     # Two leaders of each bucket, the nearest and farthest to the band's key in the bits of their ids: any
     # text may lead, and another one in each band.
     turned = F.col("node").bitwiseXOR(F.col("band"))
     buckets = bands.groupBy("band").agg(F.min(turned).alias("lo"), F.max(turned).alias("hi")).where("lo != hi")
-    members = stored(bands.join(buckets, "band").withColumns({c: F.col(c).bitwiseXOR(F.col("band")) for c in ("lo", "hi")}), "buckets")
-    star = lambda df, c: df.where(F.col("node") != F.col(c)).select(F.least("node", c).alias("a"), F.greatest("node", c).alias("b"))
-    pairs = stored(star(members, "lo").unionByName(star(members, "hi")).distinct(), "pairs")
-    nodes = stored(members.select(F.col("node").alias("doc_id")).distinct(), "nodes")
+    members = scratch.stored(bands.join(buckets, "band").withColumns({c: F.col(c).bitwiseXOR(F.col("band")) for c in ("lo", "hi")}), "buckets")
+    star = lambda df, c: df.where(F.col("node") != F.col(c)).select(F.least("node", c).alias("a"), F.greatest("node", c).alias("b"), F.col(c).alias("lead"))
+    stars = lambda df: star(df, "lo").unionByName(star(df, "hi")).groupBy("a", "b").agg(F.min("lead").alias("lead"))
+    pairs = scratch.stored(stars(members), "pairs")
+    nodes = scratch.stored(members.select(F.col("node").alias("doc_id")).distinct(), "nodes")
     wanted = F.broadcast(nodes) if nodes.count() <= BROADCAST_ROWS else nodes
-    sets = stored(_sets(numbered.join(wanted, "doc_id", "left_semi").select(F.col("doc_id").alias("node"), "text"), weighted).dropDuplicates(["node", "h"]), "shingles")
+    sets = scratch.stored(_sets(numbered.join(wanted, "doc_id", "left_semi").select(F.col("doc_id").alias("node"), "text"), weighted).dropDuplicates(["node", "h", "n"]), "shingles")
     # An id with several texts ties their classes together.
     several = signed.groupBy("doc_id").agg(F.min("digest").alias("one"), F.max("digest").alias("other")).where("one != other").select("doc_id")
     tied = signed.join(several, "doc_id").join(texts, "digest").select(F.col("doc_id").alias("a"), F.col("node").alias("b")).where("a != b")
-    links = stored(_verify(pairs, sets, similarity, weighted).unionByName(tied).distinct(), "links")
-    roots = components(links)
+    links = scratch.stored(_verify(pairs, sets, similarity).unionByName(tied).distinct(), "links")
+    roots = components(links, scratch)
     places = members.select("band", "node").distinct()
 
     def unsettled(roots: DataFrame) -> DataFrame:
         """Members of buckets that hold several classes; main is the bucket's least root."""
         placed = places.join(roots, "node", "left").select("band", "node", F.coalesce("root", "node").alias("root"))
         split = placed.groupBy("band").agg(F.min("root").alias("main"), F.max("root").alias("last")).where("main != last").select("band", "main")
-        return stored(placed.join(split, "band"), "unsettled")
+        return scratch.stored(placed.join(split, "band"), "unsettled")
 
-    # Shingles that no other text has can't be shared, which bounds a text's similarity to any other.
     rest = unsettled(roots)
-    common = stored(_common(sets.join(rest.select("node").distinct(), "node", "left_semi"), weighted), "common")
+    rare = scratch.stored(_rare(sets.join(rest.select("node").distinct(), "node", "left_semi"), similarity, scratch), "rare")
+    shares = rare.groupBy("node").agg(F.max("share").alias("share"))
     for _ in range(LEADER_ROUNDS):
         # Texts outside a bucket's main class meet the least edited text of that class, and of the others.
-        held = rest.join(common, "node", "left").withColumn("best", F.struct(F.coalesce(F.col("common") / F.col("size"), F.lit(0.0)).alias("share"), "node"))
+        held = rest.join(shares, "node", "left").withColumn("best", F.struct(F.coalesce("share", F.lit(0.0)).alias("share"), "node"))
         leaders = held.groupBy("band").agg(F.max(F.when(F.col("root") == F.col("main"), F.col("best")))["node"].alias("lo"), F.max(F.when(F.col("root") != F.col("main"), F.col("best")))["node"].alias("hi"))
         led = rest.where("root != main").join(leaders, "band")
-        new = stored(star(led, "lo").unionByName(star(led, "hi")).distinct().join(pairs, ["a", "b"], "left_anti"), "pairs")
+        new = scratch.stored(stars(led).join(pairs, ["a", "b"], "left_anti"), "pairs")
         if new.isEmpty():
             break
         pairs = pairs.unionByName(new)
-        found = stored(_verify(new, sets, similarity, weighted).distinct(), "links")
+        found = scratch.stored(_verify(new, sets, similarity), "links")
         if not found.isEmpty():
             links = links.unionByName(found)
-            roots = components(links)
+            roots = components(links, scratch)
             rest = unsettled(roots)
-    # What is left is compared in full: the texts outside the main class with all of other classes.
-    # Two texts meet in the first bucket that both are in.
-    own = rest.groupBy("node").agg(F.collect_set("band").alias("bands"))
-    rest = rest.join(common, "node", "left").join(own, "node")
-    side = lambda df, c: df.select("band", F.col("node").alias(c), *(F.col(x).alias(f"{c}_{x}") for x in ("root", "size", "common", "groups", "bands")))
-    # Shared shingles are equal hashes, so they fall into the same group: a group's lesser count bounds them.
-    both = F.aggregate(F.zip_with("x_groups", "y_groups", lambda a, b: F.least(a, b)), F.lit(0).cast("bigint"), lambda a, c: a + c)
-    first = F.array_min(F.array_intersect("x_bands", "y_bands")) == F.col("band")
-    possible = F.coalesce(both >= similarity * (F.col("x_size") + F.col("y_size") - both), F.lit(True))
-    minor, others = side(rest.where("root != main"), "x"), side(rest, "y").withColumnRenamed("band", "y_band")
-    minor = minor.where(F.coalesce(F.col("x_common") >= similarity * F.col("x_size"), F.lit(True)))
-    more = minor.join(others, (F.col("band") == F.col("y_band")) & (F.col("x_root") != F.col("y_root")) & possible & first)
-    more = stored(more.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti"), "pairs")
+    # What is left meets by rare shingles: the texts outside a main class and all of other classes.
+    classes = rest.groupBy("node", "root").agg(F.max((F.col("root") != F.col("main")).cast("int")).alias("minor"))
+    open_ = scratch.stored(rare.select("node", "h", "size").join(classes, "node"), "open")
+    side = lambda df, c: df.select("h", *(F.col(x).alias(f"{c}_{x}") for x in ("node", "root", "size")))
+    meet = side(open_.where("minor = 1"), "x").join(side(open_, "y"), "h").where(F.col("x_root") != F.col("y_root"))
+    meet = meet.where((F.col("x_size") >= similarity * F.col("y_size")) & (F.col("y_size") >= similarity * F.col("x_size")))
+    more = meet.groupBy(F.least("x_node", "y_node").alias("a"), F.greatest("x_node", "y_node").alias("b")).agg(F.min("x_node").alias("lead"))
+    more = scratch.stored(more.join(pairs, ["a", "b"], "left_anti"), "pairs")
     if not more.isEmpty():
-        found = stored(_verify(more, sets, similarity, weighted).distinct(), "links")
+        found = scratch.stored(_verify(more, sets, similarity), "links")
         if not found.isEmpty():
-            roots = components(links.unionByName(found))
+            roots = components(links.unionByName(found), scratch)
     classes = texts.select("digest", "node").join(roots, "node", "left").select("digest", F.coalesce("root", "node").alias("class_id"))
     out = signed.select("doc_id", "digest").join(classes, "digest").select("doc_id", "class_id")
-    return out.unionByName(rows.where("doc_id is null").select("doc_id", F.lit(None).cast("bigint").alias("class_id")))
+    out = scratch.stored(out.unionByName(rows.where("doc_id is null").select("doc_id", F.lit(None).cast("bigint").alias("class_id"))), "classes")
+    scratch.clear(keep=out)
+    return out
 
 
 def keep_one_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, whole, without those whose class has a smaller doc_id; of rows that share an id one stays.
+    """The rows of ``docs``, whole, without those whose class has a smaller doc_id.
 
-    Rows with a null id stay.
+    Rows with a null id stay.  Of rows that share both id and text one stays, the least by a hash of its
+    columns; rows that share an id but not the text are parts of one document and all stay.
     """
     classes = near_duplicates(docs, id_col, text_col)
-    losers = stored(classes.where("doc_id != class_id").select(F.col("doc_id").alias("lost_id")).distinct(), "losers")
-    twice = stored(classes.where("doc_id = class_id").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("lost_id")), "twice")
+    key, rank = free_name(docs, "id"), free_name(docs, "rank")
+    scratch = Scratch(docs.sparkSession)
+    losers = scratch.stored(classes.where("doc_id != class_id").select(F.col("doc_id").alias(key)).distinct(), "losers")
+    twice = scratch.stored(classes.where("doc_id = class_id").groupBy(F.col("doc_id").alias(key)).count().where("count > 1").select(key), "twice")
     gone = losers.unionByName(twice)
     small = gone.count() <= BROADCAST_ROWS
-    out = docs.join(F.broadcast(gone) if small else gone, docs[id_col].cast("bigint") == F.col("lost_id"), "left_anti")
+    out = docs.join(F.broadcast(gone) if small else gone, docs[id_col].cast("bigint") == F.col(key), "left_anti")
     if not twice.isEmpty():
-        again = docs.join(twice, docs[id_col].cast("bigint") == F.col("lost_id"), "left_semi").dropDuplicates([id_col])
-        out = out.unionByName(again)
+        again = docs.join(twice, docs[id_col].cast("bigint") == F.col(key), "left_semi")
+        first = Window.partitionBy(id_col, text_col).orderBy(F.xxhash64(*(F.col(f"`{c}`") for c in docs.columns)))
+        out = out.unionByName(again.withColumn(rank, F.row_number().over(first)).where(F.col(rank) == 1).drop(rank))
     return out

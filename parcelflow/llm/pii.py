@@ -15,8 +15,10 @@ from collections.abc import Iterator
 import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from .chunks import slices
+from .chunks import release, slices
+from .storage import small_batches
 
 #: Kinds in the order of their ties; the first four are the base.
 KINDS = ["email", "ip", "card", "phone", "login_url", "account", "secret"]
@@ -142,6 +144,8 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     are kept; other columns are not read.  No shuffle.
     """
 
+    small_batches(docs.sparkSession)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         finder = _finder()
         for part in slices(batches):
@@ -170,13 +174,14 @@ def redact_text(text: str, finder: Finder) -> str:
 
 
 def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """The same rows and columns with ``text_col`` redacted; null texts stay null."""
-    place = docs.columns.index(text_col)
+    """The same rows and columns with ``text_col`` redacted; null texts stay null and empty ones empty."""
+    small_batches(docs.sparkSession)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    @F.arrow_udf("string")
+    def redacted(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         finder = _finder()
-        for batch in batches:
-            texts = [None if t is None else redact_text(t, finder) for t in batch.column(place).to_pylist()]
-            yield batch.set_column(place, batch.schema.field(place), pa.array(texts, batch.schema.field(place).type))
+        for texts in batches:
+            yield pa.array([None if t is None else redact_text(t, finder) for t in texts.to_pylist()], pa.string())
+        release()
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.withColumn(text_col, redacted(docs[text_col]))

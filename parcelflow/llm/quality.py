@@ -16,7 +16,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .chunks import byte_view, slices, split_distinct, sums
+from .chunks import byte_view, slices, split_distinct, sums, text_flags
+from .storage import small_batches
 
 #: Bound of the labelled rows that are learned from: those of the smallest hashes of doc_id.
 SAMPLE = 20_000
@@ -161,6 +162,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     Only the text goes into a score; a null or empty text has zero statistics and a score as any other.
     Null ids are not held out; repeated rows are kept; other columns are not read.
     """
+    small_batches(docs.sparkSession)
     trees = train(docs, labels, id_col, text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -174,13 +176,16 @@ def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """The rows of ``docs``, whole, whose predicted quality is 1, in one pass after the training."""
+    """The rows of ``docs``, whole, whose predicted quality is 1, in one pass after the training.
+
+    A null or empty text is scored like any other.  Only the texts go to Python, and only flags come back.
+    """
+    small_batches(docs.sparkSession)
     trees = train(docs, labels, id_col, text_col)
-    place = docs.columns.index(text_col)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = [trees.score(features(part.column(place))) >= THRESHOLD for part in slices(iter([batch]), text=place)]
-            yield batch.filter(pa.array(np.concatenate(keep))) if keep else batch
+    @F.arrow_udf("boolean")
+    def good(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for keep in text_flags(batches, lambda texts: trees.score(features(texts)) >= THRESHOLD):
+            yield keep
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.where(good(docs[text_col]))

@@ -13,43 +13,43 @@ URL_RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+    return token_counts.count_tokens(table(spark, sf_dir, "documents", spread=True), public_tokenizers.path("piece_bpe_32k.model"))
 
 
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return decontaminate.find_leaks(table(spark, sf_dir, "documents", spread=True), table(spark, sf_dir, "benchmark"))
 
 
 def op3_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_dup.near_duplicates(table(spark, sf_dir, "documents"))
+    return near_dup.near_duplicates(table(spark, sf_dir, "documents", spread=True))
 
 
 def op4_flac_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return flac.text_media_features(table(spark, sf_dir, "documents"))
+    return flac.text_media_features(table(spark, sf_dir, "documents", spread=True))
 
 
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return url_filter.judge_urls(table(spark, sf_dir, "pages"), URL_RULES)
+    return url_filter.judge_urls(table(spark, sf_dir, "pages", spread=True), URL_RULES)
 
 
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_files.token_file_index(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end=1)
+    return token_files.token_file_index(table(spark, sf_dir, "documents", spread=True), public_tokenizers.path("word_bpe_49k.json"), end=1)
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return quality.score_quality(table(spark, sf_dir, "documents", spread=True), table(spark, sf_dir, "labels"))
 
 
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix_dedup.dedup(table(spark, sf_dir, "documents"))
+    return suffix_dedup.dedup(table(spark, sf_dir, "documents", spread=True))
 
 
 def op9_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.find_pii(table(spark, sf_dir, "documents"))
+    return pii.find_pii(table(spark, sf_dir, "documents", spread=True))
 
 
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.round_trip_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    return bpe.round_trip_digests(table(spark, sf_dir, "documents", spread=True), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
 QUERIES = {f.__name__: f for f in (op1_token_counts, op2_decontaminate, op3_near_dup, op4_flac_media, op5_url_filter, op6_token_files, op7_quality, op8_suffix_dedup, op9_pii_spans, op10_byte_bpe)}

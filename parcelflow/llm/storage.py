@@ -10,15 +10,31 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+#: Bytes of an Arrow batch between the JVM and Python, at most; a longer row is a batch of its own.
+ARROW_BYTES = 8 << 20
+
+
+def table(spark: SparkSession, sf_dir: str, name: str, spread: bool = False) -> DataFrame:
+    """A given table; with ``spread`` one of fewer partitions than there are cores is dealt over all of them."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if spread and df.rdd.getNumPartitions() < cores else df
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bound Arrow batches by ARROW_BYTES for what the session runs from here on, unless it has a smaller bound."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(spark.conf.get(name).rstrip("b")) not in range(1, ARROW_BYTES):
+        spark.conf.set(name, str(ARROW_BYTES))
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir, which every executor sees; a local one of our own only where it is unset."""
+    """The folder of spark.checkpoint.dir, which every executor sees; a local one of our own only in a local session without it."""
     if not (where := spark.sparkContext.getConf().get("spark.checkpoint.dir")):
         where = spark.sparkContext.getCheckpointDir()
     if not where:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         where = Path(tempfile.mkdtemp(prefix="spark-")).as_uri()
         spark.sparkContext.setCheckpointDir(where)
     return where
@@ -29,13 +45,48 @@ def fresh(spark: SparkSession, what: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, what: str) -> DataFrame:
+def stored(df: DataFrame, what: str, path: str | None = None) -> DataFrame:
     """``df`` written to the shared folder and read back: a short lineage that outlives executors."""
-    path = fresh(df.sparkSession, what)
+    path = path or fresh(df.sparkSession, what)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """Tables of one computation in the shared folder, to be removed when they have served."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+        self.paths: list[tuple[DataFrame, str]] = []
+
+    def stored(self, df: DataFrame, what: str) -> DataFrame:
+        path = fresh(self.spark, what)
+        self.paths.append((out := stored(df, what, path), path))
+        return out
+
+    def drop(self, df: DataFrame) -> None:
+        """Remove one table; nothing that still has to run may read it."""
+        for own, path in self.paths:
+            if own is df:
+                system, at = file_system(path)
+                system.delete_dir(at)
+        self.paths = [x for x in self.paths if x[0] is not df]
+
+    def clear(self, keep: DataFrame) -> None:
+        """Remove all tables but one."""
+        for own, _ in list(self.paths):
+            if own is not keep:
+                self.drop(own)
+
+
+def free_name(df: DataFrame, base: str) -> str:
+    """A column name that ``df`` doesn't have, in any case."""
+    taken, name = {c.lower() for c in df.columns}, f"_{base}"
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def partitions(spark: SparkSession, at_least: int = 1) -> int:
     return max(at_least, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
