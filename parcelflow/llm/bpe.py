@@ -25,9 +25,9 @@ from .chunks import ragged_take, slices, split_distinct, sums
 from .storage import small_batches
 
 #: Pre-tokens remembered by one Python worker; when full, the memory starts anew.
-REMEMBERED = 400_000
+REMEMBERED = 300_000
 #: Text bytes whose pre-tokens share one queue.
-ENCODE_BYTES = 16 << 20
+ENCODE_BYTES = 4 << 20
 ENCODED = "doc_id bigint, n_tokens bigint, ids binary"
 DIGESTS = "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string"
 
@@ -39,11 +39,14 @@ class RankQueue:
         self.low = [0] * ((ranks >> 6) + 1)
         self.mid = [0] * ((ranks >> 12) + 1)
         self.top = 0
-        self.buckets: dict[int, list[int]] = {}
+        self.buckets: dict[int, list[int] | np.ndarray] = {}
 
-    def push(self, rank: int, positions: list[int]) -> None:
+    def push(self, rank: int, positions: list[int] | np.ndarray) -> None:
+        """Positions in an array wait as such until others join them."""
         bucket = self.buckets.get(rank)
         if bucket is not None:
+            if isinstance(bucket, np.ndarray):
+                bucket = self.buckets[rank] = bucket.tolist()
             bucket.extend(positions)
             return
         self.buckets[rank] = positions
@@ -52,7 +55,7 @@ class RankQueue:
         self.mid[word >> 6] |= 1 << (word & 63)
         self.top |= 1 << (word >> 6)
 
-    def pop(self) -> tuple[int, list[int]]:
+    def pop(self) -> tuple[int, list[int] | np.ndarray]:
         """The lowest rank that waits and its bucket, which leaves the queue; -1 if none waits."""
         top = self.top
         if not top:
@@ -93,7 +96,7 @@ class ByteBPE:
 
     def _pair(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Rank of each pair of ids, -1 where they don't merge or one of them is -1."""
-        keys = left * self.size + right
+        keys = left.astype(np.int64) * self.size + right
         at = np.minimum(np.searchsorted(self.pair_keys, keys), len(self.pair_keys) - 1)
         return np.where((self.pair_keys[at] == keys) & (left >= 0) & (right >= 0), self.pair_ranks[at], -1)
 
@@ -105,13 +108,14 @@ class ByteBPE:
         if not n:
             return np.zeros(0, np.int64), lengths
         # Linked list of symbols; position n is the end, and stands between pre-tokens too.
-        owner = np.repeat(np.arange(len(tokens)), lengths)
-        symbol = np.append(self.byte_ids[data], -1)
-        after, before = np.arange(1, n + 2), np.arange(-1, n)
+        kind = np.int32 if n < 1 << 31 else np.int64
+        owner = np.repeat(np.arange(len(tokens), dtype=kind), lengths)
+        symbol = np.append(self.byte_ids[data], -1).astype(kind)
+        after, before = np.arange(1, n + 2, dtype=kind), np.arange(-1, n, dtype=kind)
         ends = np.cumsum(lengths)[lengths > 0]
         after[ends - 1] = n
         before[np.concatenate([[0], ends[:-1]])] = n
-        due = np.append(self._pair(symbol[:n], symbol[after[:n]]), -1)  # rank of the pair that starts here, as it stands
+        due = np.append(self._pair(symbol[:n], symbol[after[:n]]), -1).astype(kind)  # rank of the pair that starts here, as it stands
         queue = RankQueue(self.size)
 
         def wait(positions: np.ndarray) -> None:
@@ -123,7 +127,7 @@ class ByteBPE:
         start = np.flatnonzero(due >= 0)
         order = start[np.argsort(due[start], kind="stable")]
         for group in np.split(order, np.flatnonzero(np.diff(due[order])) + 1) if len(order) else ():
-            queue.push(int(due[group[0]]), group.tolist())
+            queue.push(int(due[group[0]]), group.astype(kind))
         while True:
             rank, bucket = queue.pop()
             if rank < 0:

@@ -15,7 +15,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Text bytes handled at once by a Python worker; one longer document is a slice of its own.
-SLICE_BYTES = 6 << 20
+SLICE_BYTES = 3 << 20
 
 
 def slices(batches: Iterator[pa.RecordBatch], text: int = 1, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:

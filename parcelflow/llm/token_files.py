@@ -6,15 +6,14 @@ search, and decompresses that frame only.
 
 Layout (little-endian): frames | table (frames x [first entry u64, byte offset u64, byte length u32,
 ids u32, xxh64 of the frame's bytes u64]) | entries (documents x [doc_id i64, ids before it in the file
-u64, ids u32]) | tail [entries u64, frames u64, id width u32, xxh64 of table and entries u64, magic 8s].
-Entries stand in the order written, which is ascending doc_id.
+u64, ids u32, 1 if there is an id u8]) | tail [entries u64, frames u64, id width u32, xxh64 of table and
+entries u64, magic 8s].  Entries stand in the order written, which is ascending doc_id, those without one first.
 """
 
 from __future__ import annotations
 
 import struct
 import zlib
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,19 +25,23 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .chunks import ragged_take, slices, split_distinct, sums
-from .storage import file_system, fresh, partitions, stored
+from .storage import file_system, fresh, partitions, small_batches, stored
 
-MAGIC = b"TOKSEEK1"
+MAGIC = b"TOKSEEK2"
 TAIL = struct.Struct("<QQIQ8s")
 FRAME = np.dtype([("entry", "<u8"), ("at", "<u8"), ("size", "<u4"), ("ids", "<u4"), ("check", "<u8")])
-ENTRY = np.dtype([("doc_id", "<i8"), ("start", "<u8"), ("ids", "<u4")])
+ENTRY = np.dtype([("doc_id", "<i8"), ("start", "<u8"), ("ids", "<u4"), ("has_id", "u1")])
 #: Ids after which a frame is closed; a longer document is a frame of its own.
 FRAME_IDS = 1 << 16
 #: Forms of words remembered by one Python worker; when full, the memory before it goes and those still met move on.
 REMEMBERED = 300_000
-#: Text bytes of a file, about; the number of files follows the input.
-FILE_BYTES = 24 << 20
-MANIFEST = "bucket int, path string, n_docs bigint, n_ids bigint"
+#: Ids after which a file is closed and the next one begun.
+FILE_IDS = 8 << 20
+#: Words that go through the library as one text, and the last letter they may have for that.
+TOGETHER, LATIN_END = 256, "\u024f"
+#: Text bytes encoded at once.
+ENCODE_BYTES = 6 << 20
+MANIFEST = "bucket int, part int, path string, n_docs bigint, n_ids bigint"
 READ = "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint"
 
 
@@ -54,13 +57,13 @@ class Writer:
         self.first = self.n = 0
         self.press = zstandard.ZstdCompressor(level=1, write_checksum=True, write_content_size=True)
 
-    def add(self, doc_ids: np.ndarray, ids: np.ndarray, offsets: np.ndarray) -> None:
+    def add(self, doc_ids: np.ndarray, has_id: np.ndarray, ids: np.ndarray, offsets: np.ndarray) -> None:
         """Documents in order; ids[offsets[i]:offsets[i+1]] are those of document i."""
         at, n = 0, len(doc_ids)
         while at < n:
             to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + FRAME_IDS - self.waiting, side="right")) - 1)
             entry = np.zeros(to - at, ENTRY)
-            entry["doc_id"], entry["ids"] = doc_ids[at:to], np.diff(offsets[at : to + 1])
+            entry["doc_id"], entry["has_id"], entry["ids"] = doc_ids[at:to], has_id[at:to], np.diff(offsets[at : to + 1])
             entry["start"] = self.ids + offsets[at:to] - offsets[at]
             self.entries.append(entry)
             self.parts.append(ids[offsets[at] : offsets[to]].astype(f"<u{self.width}"))
@@ -120,7 +123,8 @@ class Reader:
 
     def get(self, doc_id: int) -> list[np.ndarray]:
         """Ids of every entry of a document; only the frames that hold it are decompressed."""
-        lo, hi = (int(np.searchsorted(self.entries["doc_id"], doc_id, side=s)) for s in ("left", "right"))
+        none = int(np.searchsorted(self.entries["has_id"], 1))
+        lo, hi = (none + int(np.searchsorted(self.entries["doc_id"][none:], doc_id, side=s)) for s in ("left", "right"))
         out, held = [], {}
         for e in range(lo, hi):
             i = int(np.searchsorted(self.frames["entry"], e, side="right")) - 1
@@ -136,7 +140,8 @@ class ChunkEncoder:
     For a tokenizer that lower-cases and whose pre-tokenizer drops white space, a text's ids are those of
     its chunks between white space.  A chunk of plain Latin letters is looked up in lower case, and the
     marks behind its last letter or digit, where a pre-token ends, by themselves.  Each distinct form goes
-    through the library once and is remembered.
+    through the library once and is remembered; Latin forms go many at a time, with a letter of another
+    script between them whose one id tells them apart again.
     """
 
     LATIN = r"^[\x21-\x7e\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{ff}]*$"
@@ -153,6 +158,7 @@ class ChunkEncoder:
         if a != b:
             raise ValueError("the tokenizer keeps white space or case: texts can't be encoded chunk by chunk")
         self.width = 2 if self.model.get_vocab_size() <= 1 << 16 else 4
+        self.between = next(((c, i[0]) for c in "日人大の中и" if len(i := self.model.encode(c, add_special_tokens=False).ids) == 1 and self.model.encode(f"it's {c} one", add_special_tokens=False).ids == [*self.model.encode("it's", add_special_tokens=False).ids, *i, *self.model.encode("one", add_special_tokens=False).ids]), None)
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
@@ -161,9 +167,20 @@ class ChunkEncoder:
             self.known, self.older = {}, self.known
         known, older = self.known, self.older
         known.update((w, older[w]) for w in forms if w not in known and w in older)
-        if new := [w for w in forms if w not in known]:
-            kind = "H" if self.width == 2 else "I"
-            known.update((w, array(kind, e.ids).tobytes()) for w, e in zip(new, self.model.encode_batch_fast(new, add_special_tokens=False)))
+        new = list(dict.fromkeys(w for w in forms if w not in known))
+        kind = np.dtype(f"<u{self.width}")
+        plain = [w for w in new if (w.isascii() or max(w) <= LATIN_END) and "<" not in w] if self.between else []
+        if plain:
+            letter, mark = self.between
+            parts = [plain[i : i + TOGETHER] for i in range(0, len(plain), TOGETHER)]
+            for words, e in zip(parts, self.model.encode_batch_fast([f" {letter} ".join(p) for p in parts], add_special_tokens=False)):
+                ids = np.array([*e.ids, mark], kind)
+                cut = np.flatnonzero(ids == mark)
+                raw, ends = ids.tobytes(), (cut * self.width).tolist()
+                known.update(zip(words, (raw[x:y] for x, y in zip([0, *(e + self.width for e in ends)], ends)), strict=True))
+            new = [w for w in new if w not in known]
+        if new:
+            known.update((w, np.array(e.ids, kind).tobytes()) for w, e in zip(new, self.model.encode_batch_fast(new, add_special_tokens=False)))
         return [known[w] for w in forms]
 
     def encode(self, texts: pa.Array, end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -191,56 +208,54 @@ class ChunkEncoder:
 _encoders: dict[str, ChunkEncoder] = {}
 
 
-def write_token_files(docs: DataFrame, tokenizer: str, out: str, end: int | None = None, id_col: str = "doc_id", text_col: str = "text", file_bytes: int = FILE_BYTES) -> DataFrame:
-    """Encode every text and write files in ascending doc_id order; returns the manifest (bucket, path, n_docs, n_ids).
+def write_token_files(docs: DataFrame, tokenizer: str, out: str, end: int | None = None, id_col: str = "doc_id", text_col: str = "text", file_ids: int = FILE_IDS) -> DataFrame:
+    """Encode every text and write files in ascending doc_id order; returns the manifest (bucket, part, path, n_docs, n_ids).
 
-    Buckets are ranges of doc_id cut at quantiles, so the files in bucket order hold ascending ids; rows
-    with the same id stand side by side.  A null text counts as empty; rows with a null id are written
-    first, as id -1 << 63.  Other columns are not read.  One shuffle (of ids and texts, by bucket).  A
-    task that runs again writes files of new names; the manifest names those that count.
+    Spark deals the documents over ranges of doc_id by its sampled bounds, and a task cuts its range into
+    files of ``file_ids`` ids, about, so the files in order of bucket and part hold ascending ids.  Rows
+    with the same id stand side by side in the order of the input, and may be split over ranges, however
+    many they are.  A null text counts as empty; rows with a null id come first.  Other columns are not
+    read.  One shuffle (of ids and texts, by range).  A task that runs again writes files of new names;
+    the manifest names those that count.
     """
-    spark = docs.sparkSession
-    rows = docs.select(F.coalesce(docs[id_col].cast("bigint"), F.lit(-(1 << 63))).alias("doc_id"), docs[text_col].alias("text"))
-    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = max(1, round(size / file_bytes))
-    cuts = sorted(set(rows.select(F.col("doc_id")).approxQuantile("doc_id", [i / n for i in range(1, n)], min(0.01, 0.1 / n)))) if n > 1 else []
-    cuts = F.array(*[F.lit(int(c)).cast("bigint") for c in cuts]) if cuts else F.array().cast("array<bigint>")
-    bucket = F.size(F.filter(cuts, lambda c: c <= F.col("doc_id")))
+    small_batches(docs.sparkSession)
+    rows = docs.select(docs[id_col].cast("bigint").alias("doc_id"), F.monotonically_increasing_id().alias("place"), docs[text_col].alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import uuid
 
-        coder = _encoders.get(tokenizer) or _encoders.setdefault(tokenizer, ChunkEncoder(tokenizer))
-        now = file = writer = path = None
-        done = []
+        from pyspark import TaskContext
 
-        def finish() -> None:
-            writer.close()
-            file.close()
-            done.append((now, path, writer.n, writer.ids))
-
-        for part in slices(batches, text=2):
-            ids, offsets = coder.encode(part.column(2), end)
-            buckets = part.column(0).to_numpy()
-            doc_ids = part.column(1).to_numpy()
-            edges = [0, *(np.flatnonzero(np.diff(buckets)) + 1).tolist(), len(buckets)]
-            for a, b in zip(edges, edges[1:]):
-                if buckets[a] != now:
-                    if writer:
-                        finish()
-                    now = int(buckets[a])
-                    path = f"{out}/{now:06d}-{uuid.uuid4().hex}.tok"
-                    system, at = file_system(path)
-                    system.create_dir(at.rpartition("/")[0])
-                    file = system.open_output_stream(at)
+        coder = _encoders.get(tokenizer) or _encoders.setdefault(tokenizer, ChunkEncoder(tokenizer))
+        bucket, writer, done = TaskContext.get().partitionId(), None, []
+        for part in slices(batches, limit=ENCODE_BYTES):
+            ids, offsets = coder.encode(part.column(1), end)
+            has_id = part.column(0).is_valid().to_numpy(zero_copy_only=False)
+            doc_ids = pc.fill_null(part.column(0), 0).to_numpy()
+            at = 0
+            while at < len(doc_ids):
+                if writer is None:
+                    path = f"{out}/{bucket:06d}-{len(done):04d}-{uuid.uuid4().hex}.tok"
+                    system, where = file_system(path)
+                    system.create_dir(where.rpartition("/")[0])
+                    file = system.open_output_stream(where)
                     writer = Writer(file, coder.width)
-                writer.add(doc_ids[a:b], ids, offsets[a : b + 1])
+                to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + file_ids - writer.ids, side="right")) - 1)
+                writer.add(doc_ids[at:to], has_id[at:to], ids, offsets[at : to + 1])
+                at = to
+                if writer.ids >= file_ids or at < len(doc_ids):
+                    writer.close()
+                    file.close()
+                    done.append((path, writer.n, writer.ids))
+                    writer = None
         if writer:
-            finish()
-        for row in done:
-            yield pa.record_batch([pa.array([row[0]], pa.int32()), pa.array([row[1]]), pa.array([row[2]]), pa.array([row[3]])], names=["bucket", "path", "n_docs", "n_ids"])
+            writer.close()
+            file.close()
+            done.append((path, writer.n, writer.ids))
+        for i, (path, n, ids) in enumerate(done):
+            yield pa.record_batch([pa.array([bucket], pa.int32()), pa.array([i], pa.int32()), pa.array([path]), pa.array([n]), pa.array([ids])], names=[c.split()[0] for c in MANIFEST.split(", ")])
 
-    laid = rows.select(bucket.alias("bucket"), "doc_id", "text").repartitionById(max(1, n), F.col("bucket")).sortWithinPartitions("bucket", "doc_id")
+    laid = rows.repartitionByRange(F.col("doc_id").asc_nulls_first(), F.col("place")).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "place").select("doc_id", "text")
     return stored(laid.mapInArrow(run, MANIFEST), "token-manifest")
 
 
@@ -250,8 +265,11 @@ def read_token_files(manifest: DataFrame) -> DataFrame:
     The crc32 is that of the ids as little-endian unsigned 32-bit integers; frames are read one at a time
     and their checksums verified.  An empty manifest gives no rows.
     """
-    # One row per file: few, whatever the number of documents.
-    placed = manifest.withColumn("base", F.coalesce(F.sum("n_ids").over(Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    # Ids before a file: those before its bucket (one row per task that wrote) and before it in the bucket.
+    totals = manifest.groupBy("bucket").agg(F.sum("n_ids").alias("ids"))
+    earlier = totals.select("bucket", (F.sum("ids").over(Window.orderBy("bucket")) - F.col("ids")).alias("earlier"))
+    within = F.sum("n_ids").over(Window.partitionBy("bucket").orderBy("part")) - F.col("n_ids")
+    placed = manifest.withColumn("within", within).join(earlier, "bucket").select("path", (F.col("earlier") + F.col("within")).alias("base"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -265,14 +283,12 @@ def read_token_files(manifest: DataFrame) -> DataFrame:
                         starts = (entries["start"] - entries["start"][0]).astype(np.int64) * 4
                         ends = starts + entries["ids"].astype(np.int64) * 4
                         crc = [zlib.crc32(raw[a:b]) for a, b in zip(starts.tolist(), ends.tolist())]
-                        doc_ids = pa.array(entries["doc_id"])
                         yield pa.record_batch(
-                            [pc.if_else(pc.equal(doc_ids, -(1 << 63)), None, doc_ids), pa.array(base + entries["start"].astype(np.int64)), pa.array(entries["ids"].astype(np.int64)), pa.array(crc, pa.int64())],
+                            [pa.array(entries["doc_id"], mask=entries["has_id"] == 0), pa.array(base + entries["start"].astype(np.int64)), pa.array(entries["ids"].astype(np.int64)), pa.array(crc, pa.int64())],
                             names=["doc_id", "start", "n_tokens", "ids_crc32"],
                         )
 
-    n = partitions(manifest.sparkSession)
-    return placed.select("path", "base").repartition(n).mapInArrow(run, READ)
+    return placed.repartition(partitions(manifest.sparkSession)).mapInArrow(run, READ)
 
 
 def token_file_index(docs: DataFrame, tokenizer: str, end: int | None = None, **names) -> DataFrame:

@@ -124,25 +124,25 @@ def test_file_ids_are_the_librarys(texts):
 
 
 def test_token_files_seek_and_notice_damage(spark, tmp_path):
-    docs = spark.createDataFrame([(i * 7 % 101, "word " * (i % 9) + str(i)) for i in range(101)] + [(3, "again"), (None, "none"), (50, "long " * 70_000)], DOCS)
-    manifest = token_files.write_token_files(docs, P.path("word_bpe_49k.json"), tmp_path.as_uri(), end=1, file_bytes=100_000)
-    assert manifest.count() > 1
+    docs = spark.createDataFrame([(i * 7 % 101, "word " * (i % 9) + str(i)) for i in range(101)] + [(3, "again"), (None, "none"), (50, "long " * 70_000), (-(1 << 63), "least")], DOCS)
+    manifest = token_files.write_token_files(docs, P.path("word_bpe_49k.json"), tmp_path.as_uri(), end=1, file_ids=20_000)
+    assert manifest.count() > 1 and manifest.where("part > 0").count() > 0
     got = token_files.read_token_files(manifest).orderBy("start").collect()
     texts = defaultdict(list)
     for r in docs.collect():
         texts[r.doc_id].append(r.text or "")
-    assert len(got) == 104 and got[0].doc_id is None and [r.doc_id for r in got[1:]] == sorted(i for i in texts if i is not None for _ in texts[i])
+    assert len(got) == 105 and got[0].doc_id is None and got[1].doc_id == -(1 << 63) and [r.doc_id for r in got[1:]] == sorted(i for i in texts if i is not None for _ in texts[i])
     start = 0
     for r in got:
         want = {zlib.crc32(np.array([*chunked().model.encode(t, add_special_tokens=False).ids, 1], "<u4").tobytes()) for t in texts[r.doc_id]}
         assert r.start == start and r.ids_crc32 in want
         start += r.n_tokens
-    path = next(r.path for r in manifest.collect())
+    path = max(manifest.collect(), key=lambda r: (r.n_docs, r.path)).path
     system, at = token_files.file_system(path)
     raw = bytearray(system.open_input_file(at).read())
     with system.open_input_file(at) as f:
         reader = token_files.Reader(f)
-        one = int(reader.entries["doc_id"][1])
+        one = int(reader.entries["doc_id"][len(reader.entries) // 2])
         assert [x.tolist() for x in reader.get(one)] == [[*chunked().model.encode(t, add_special_tokens=False).ids, 1] for t in texts[one]]
         assert reader.get(10**9) == []
     raw[10] ^= 1
@@ -153,6 +153,15 @@ def test_token_files_seek_and_notice_damage(spark, tmp_path):
         token_files.Reader(pa.BufferReader(bytes(raw)))
 
 
+def test_one_id_may_hold_most_rows(spark, tmp_path):
+    """The ranges split even rows of one id, which keep the order of the input."""
+    docs = spark.range(4000).selectExpr("if(id % 3 > 0, 7, id) as doc_id", "concat('word ', id, repeat(' and more', 300)) as text")
+    manifest = token_files.write_token_files(docs.repartition(4), P.path("word_bpe_49k.json"), tmp_path.as_uri(), file_ids=1 << 30)
+    got = token_files.read_token_files(manifest).orderBy("start").collect()
+    assert len(got) == 4000 and [r.doc_id for r in got] == sorted(r.doc_id for r in docs.collect())
+    assert manifest.count() > 1 and manifest.agg({"n_docs": "max"}).first()[0] < 2400
+
+
 def test_token_queries_on_odd_rows(spark):
     for df in (token_counts.count_tokens(odd(spark), P.path("piece_bpe_32k.model")), bpe.round_trip_digests(odd(spark), P.path("byte_bpe_50k.tiktoken"), P.PATTERN), token_files.token_file_index(odd(spark), P.path("word_bpe_49k.json"), end=1)):
         assert len(df.collect()) == len(ODD)
