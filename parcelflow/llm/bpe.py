@@ -269,7 +269,7 @@ def round_trip_digests(docs: DataFrame, ranks_file: str, pattern: str, id_col: s
 
     Nulls and repeats as in encode_docs.
     """
-    small_batches(docs.sparkSession)
+    small_batches(docs.sparkSession, ENCODE_BYTES)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = _coder(ranks_file, pattern)

@@ -485,7 +485,7 @@ def pad(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def encode_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, n_bytes and media, the FLAC stream of the padded text; a null text counts as empty."""
-    small_batches(docs.sparkSession)
+    small_batches(docs.sparkSession, 2 * BATCH_BYTES)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, limit=BATCH_BYTES):
@@ -517,7 +517,7 @@ def text_media_features(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     give equal values.  A null text counts as empty (64 zero bytes); null ids and repeated rows are kept;
     other columns are not read.  No shuffle; a worker holds BATCH_BYTES of payload, or one document.
     """
-    small_batches(docs.sparkSession)
+    small_batches(docs.sparkSession, 2 * BATCH_BYTES)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, limit=BATCH_BYTES):

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 #: Bytes of an Arrow batch between the JVM and Python, at most; a longer row is a batch of its own.
-ARROW_BYTES = 8 << 20
+ARROW_BYTES = 2 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, spread: bool = False) -> DataFrame:
@@ -21,11 +21,9 @@ def table(spark: SparkSession, sf_dir: str, name: str, spread: bool = False) ->
     return df.repartition(cores) if spread and df.rdd.getNumPartitions() < cores else df
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Bound Arrow batches by ARROW_BYTES for what the session runs from here on, unless it has a smaller bound."""
-    name = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if int(spark.conf.get(name).rstrip("b")) not in range(1, ARROW_BYTES):
-        spark.conf.set(name, str(ARROW_BYTES))
+def small_batches(spark: SparkSession, size: int = ARROW_BYTES) -> None:
+    """Bound the Arrow batches of what the session runs from here on: both sides hold one or two at a time."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
 
 
 def shared_dir(spark: SparkSession) -> str:

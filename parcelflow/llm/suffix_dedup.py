@@ -476,7 +476,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     what earlier documents have.  Other columns are not read.
     """
     spark = docs.sparkSession
-    small_batches(spark)
+    small_batches(spark, 4 << 20)
     rows = docs.select(docs[id_col].cast("bigint").alias("doc_id"), F.coalesce(docs[text_col], F.lit("")).alias("text"))
     numbered = rows.where("doc_id is not null")
     size = numbered.agg(F.sum(F.octet_length("text"))).first()[0] or 0

@@ -17,7 +17,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from .chunks import slices, split_distinct, sums
+from .chunks import SLICE_BYTES, slices, split_distinct, sums
 from .storage import small_batches
 
 MARK = "▁"
@@ -79,7 +79,7 @@ def count_tokens(docs: DataFrame, model_file: str, limit: int = 4096, id_col: st
     A null text counts as empty: 0 bytes, 0 tokens.  Null ids and repeated rows are kept as they are;
     other columns are not read.  No shuffle: each row is counted where it is scanned.
     """
-    small_batches(docs.sparkSession)
+    small_batches(docs.sparkSession, SLICE_BYTES)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = _counters.get(model_file) or _counters.setdefault(model_file, PieceCounter(model_file))

@@ -218,7 +218,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, out: str, end: int | None
     read.  One shuffle (of ids and texts, by range).  A task that runs again writes files of new names;
     the manifest names those that count.
     """
-    small_batches(docs.sparkSession)
+    small_batches(docs.sparkSession, ENCODE_BYTES)
     rows = docs.select(docs[id_col].cast("bigint").alias("doc_id"), F.monotonically_increasing_id().alias("place"), docs[text_col].alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
