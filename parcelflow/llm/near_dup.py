@@ -9,9 +9,9 @@ signature.  Two signatures agree in a coordinate with the probability of the wei
 Signatures are joined in bands.  In a band's bucket every text is compared with two leaders (stars, not
 all pairs) on all of its shingles, which are told apart by 64-bit hashes.  Where a bucket then still
 holds different classes, the texts outside the main one meet further leaders for some rounds.  What is
-left is joined on rare shingles: two texts as similar as asked share one of the rarest fifth of either,
-so texts that merely have much in common never meet, however many share a bucket.  No candidate of
-different classes is left out.  Classes are connected components of the links.
+left meets the texts of other classes in its bucket, under an exact bound of what the two can share, so
+texts that merely have much in common are told apart without their shingles.  No candidate of different
+classes is left out.  Classes are connected components of the links.
 """
 
 from __future__ import annotations
@@ -33,8 +33,10 @@ WORDS, SIMILARITY = 5, 0.8
 BANDS, ROWS = 24, 5
 #: Candidate ids that are broadcast at most; beyond that they are joined by a shuffle.
 BROADCAST_ROWS = 200_000
-#: Rounds in which texts outside their bucket's main class meet further leaders, before the rest meets by rare shingles.
+#: Rounds in which texts outside their bucket's main class meet further leaders, before the rest is compared in full.
 LEADER_ROUNDS = 3
+#: Groups of hashes in which shared shingles are counted to bound an overlap.
+GROUPS = 64
 #: Parts that the pairs of one leader are dealt over; its shingles are sent once to each.
 LEADER_PARTS = 32
 #: Text bytes shingled at once.
@@ -221,12 +223,10 @@ def _verify(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return laid.mapInArrow(run, "a bigint, b bigint").distinct()
 
 
-def _rare(sets: DataFrame, similarity: float, scratch: Scratch) -> DataFrame:
-    """(node, h, size, share) of the rarest shingles of each set: two sets as similar as asked share one of them.
+def _common(sets: DataFrame) -> DataFrame:
+    """(node, size, common, groups): weight of a text's shingles, and of those that another text of ``sets`` has too, also by groups of their hashes.
 
-    Shingles are ordered by the number of sets that have them.  Those of a set whose weight, with that of
-    all rarer ones, isn't needed for an overlap of ``similarity`` x size are kept, and the first that is:
-    an overlap so large can't do without them all.  share is the part of a set's weight that others have too.
+    A node with several texts is left out.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -234,14 +234,15 @@ def _rare(sets: DataFrame, similarity: float, scratch: Scratch) -> DataFrame:
             h, n, at = _set_arrays(part.column(1), part.column(2))
             yield pa.record_batch([pa.array(np.repeat(part.column(0).to_numpy(), np.diff(at))), pa.array(h.view(np.int64)), pa.array(n)], names=["node", "h", "w"])
 
-    rows = sets.select("node", "h", "n").mapInArrow(run, "node bigint, h bigint, w bigint").groupBy("node", "h").agg(F.max("w").alias("w"))
-    rows = scratch.stored(rows, "shared")
-    times = scratch.stored(rows.groupBy("h").agg(F.count("*").alias("times")).where("times > 1"), "times")
-    of = Window.partitionBy("node")
-    before = F.sum("w").over(of.orderBy("times", "h").rowsBetween(Window.unboundedPreceding, -1))
-    ranked = rows.join(times, "h", "left").withColumns({"size": F.sum("w").over(of), "common": F.sum(F.when(F.col("times").isNotNull(), F.col("w"))).over(of), "before": F.coalesce(before, F.lit(0))})
-    ranked = ranked.where(F.col("before") <= F.col("size") - F.ceil(similarity * F.col("size") - 1e-6))
-    return ranked.select("node", "h", "size", (F.coalesce("common", F.lit(0)) / F.col("size")).alias("share"))
+    rows = sets.select("node", "h", "n").mapInArrow(run, "node bigint, h bigint, w bigint")
+    size = rows.groupBy("node").agg(F.sum("w").alias("size"))
+    one = sets.groupBy("node").count().where("count = 1").select("node")
+    alone = rows.groupBy("h").agg(F.count("*").alias("times"), F.min("node").alias("node"), F.min("w").alias("w")).where("times = 1")
+    shared = rows.select("node", "h", "w").unionByName(alone.select("node", "h", (-F.col("w")).alias("w")))
+    each = shared.groupBy("node", F.pmod("h", F.lit(GROUPS)).cast("int").alias("g")).agg(F.sum("w").alias("c"))
+    dense = F.transform(F.sequence(F.lit(0), F.lit(GROUPS - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0)))
+    groups = each.groupBy("node").agg(F.sum("c").alias("common"), F.map_from_entries(F.collect_list(F.struct("g", "c"))).alias("m")).select("node", "common", dense.alias("groups"))
+    return size.join(one, "node").join(groups, "node")
 
 
 def components(links: DataFrame, scratch: Scratch | None = None) -> DataFrame:
@@ -310,12 +311,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         split = placed.groupBy("band").agg(F.min("root").alias("main"), F.max("root").alias("last")).where("main != last").select("band", "main")
         return scratch.stored(placed.join(split, "band"), "unsettled")
 
+    # Shingles that no other text has can't be shared, which bounds a text's similarity to any other.
     rest = unsettled(roots)
-    rare = scratch.stored(_rare(sets.join(rest.select("node").distinct(), "node", "left_semi"), similarity, scratch), "rare")
-    shares = rare.groupBy("node").agg(F.max("share").alias("share"))
+    common = scratch.stored(_common(sets.join(rest.select("node").distinct(), "node", "left_semi")), "common")
     for _ in range(LEADER_ROUNDS):
         # Texts outside a bucket's main class meet the least edited text of that class, and of the others.
-        held = rest.join(shares, "node", "left").withColumn("best", F.struct(F.coalesce("share", F.lit(0.0)).alias("share"), "node"))
+        held = rest.join(common, "node", "left").withColumn("best", F.struct(F.coalesce(F.col("common") / F.col("size"), F.lit(0.0)).alias("share"), "node"))
         leaders = held.groupBy("band").agg(F.max(F.when(F.col("root") == F.col("main"), F.col("best")))["node"].alias("lo"), F.max(F.when(F.col("root") != F.col("main"), F.col("best")))["node"].alias("hi"))
         led = rest.where("root != main").join(leaders, "band")
         new = scratch.stored(stars(led).join(pairs, ["a", "b"], "left_anti"), "pairs")
@@ -327,13 +328,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             links = links.unionByName(found)
             roots = components(links, scratch)
             rest = unsettled(roots)
-    # What is left meets by rare shingles: the texts outside a main class and all of other classes.
-    classes = rest.groupBy("node", "root").agg(F.max((F.col("root") != F.col("main")).cast("int")).alias("minor"))
-    open_ = scratch.stored(rare.select("node", "h", "size").join(classes, "node"), "open")
-    side = lambda df, c: df.select("h", *(F.col(x).alias(f"{c}_{x}") for x in ("node", "root", "size")))
-    meet = side(open_.where("minor = 1"), "x").join(side(open_, "y"), "h").where(F.col("x_root") != F.col("y_root"))
-    meet = meet.where((F.col("x_size") >= similarity * F.col("y_size")) & (F.col("y_size") >= similarity * F.col("x_size")))
-    more = meet.groupBy(F.least("x_node", "y_node").alias("a"), F.greatest("x_node", "y_node").alias("b")).agg(F.min("x_node").alias("lead"))
+    # What is left is compared in full: the texts outside the main class with all of other classes.
+    # Two texts meet in the first bucket that both are in.
+    own = rest.groupBy("node").agg(F.collect_set("band").alias("bands"))
+    rest = rest.join(common, "node", "left").join(own, "node")
+    side = lambda df, c: df.select("band", F.col("node").alias(c), *(F.col(x).alias(f"{c}_{x}") for x in ("root", "size", "common", "groups", "bands")))
+    # Shared shingles are equal hashes, so they fall into the same group: a group's lesser weight bounds them.
+    both = F.aggregate(F.zip_with("x_groups", "y_groups", lambda a, b: F.least(a, b)), F.lit(0).cast("bigint"), lambda a, c: a + c)
+    first = F.array_min(F.array_intersect("x_bands", "y_bands")) == F.col("band")
+    possible = F.coalesce(both >= similarity * (F.col("x_size") + F.col("y_size") - both), F.lit(True))
+    minor, others = side(rest.where("root != main"), "x"), side(rest, "y").withColumnRenamed("band", "y_band")
+    minor = minor.where(F.coalesce(F.col("x_common") >= similarity * F.col("x_size"), F.lit(True)))
+    meet = minor.join(others, (F.col("band") == F.col("y_band")) & (F.col("x_root") != F.col("y_root")) & possible & first)
+    more = meet.groupBy(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).agg(F.min("x").alias("lead"))
     more = scratch.stored(more.join(pairs, ["a", "b"], "left_anti"), "pairs")
     if not more.isEmpty():
         found = scratch.stored(_verify(more, sets, similarity), "links")
