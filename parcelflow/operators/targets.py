@@ -48,22 +48,32 @@ def nearest_mask(points: DataFrame, mask: DataFrame) -> DataFrame:
 def nearest_mask_curvilinear(points: DataFrame, mask: DataFrame, key: list[str], bucket: float = 2.0) -> DataFrame:
     """As nearest_mask for a mask whose cells (cell_id, lat, lon, value) lie anywhere; ``key`` names a point.
 
-    Cells in the 3 x 3 buckets around a point are compared first; a point with none nearer than a
-    bucket's width is compared with every cell, held as one array.  Ties go to the smaller cell_id.
+    Cells in the 3 x 3 buckets around a point are compared; points with none nearer than a bucket's width
+    go on to buckets twice as wide, until each has one, so every round is an equi-join.  Ties go to the
+    smaller cell_id.  A point or cell with a missing coordinate is near nothing; without cells all are null.
     """
     shifts = F.array(*[F.lit(i).cast("bigint") for i in (-1, 0, 1)])
-    cells = mask.select(F.struct("cell_id", "lat", "lon", "value").alias("c"), F.floor(F.col("lon") / bucket).alias("bx"), F.floor(F.col("lat") / bucket).alias("by"))
-    near = points.withColumn("dx", F.explode(shifts)).withColumn("dy", F.explode(shifts))
-    near = near.withColumns({"bx": F.floor(F.col("lon") / bucket) + F.col("dx"), "by": F.floor(F.col("lat") / bucket) + F.col("dy")}).join(_small(cells), ["bx", "by"])
+    mask = mask.where("lon is not null and lat is not null")
+    left = points.select(*key, "lon", "lat").where("lon is not null and lat is not null")
     far = lambda c: F.pow(F.col("lon") - c["lon"], 2) + F.pow(F.col("lat") - c["lat"], 2)
-    best = near.groupBy(*key, "lon", "lat").agg(F.min(F.struct(far(F.col("c")).alias("d2"), F.col("c.cell_id").alias("cell_id"), F.col("c.value").alias("value"))).alias("best"))
-    sure = best.where(F.col("best.d2") <= bucket**2)
-    rest = points.join(sure.select(*key), key, "left_anti")
-    whole = mask.agg(F.collect_list(F.struct("cell_id", "lat", "lon", "value")).alias("cells")).withColumn("_one", F.lit(1))
-    least = F.array_min(F.transform("cells", lambda c: F.struct(far(c).alias("d2"), c["cell_id"].alias("cell_id"), c["value"].alias("value"))))
-    slow = rest.withColumn("_one", F.lit(1)).join(whole, "_one").select(*key, least.alias("best"))
-    both = sure.select(*key, "best").unionByName(slow)
-    return points.join(both.select(*key, F.col("best.cell_id").alias("mask_cell"), F.col("best.value").alias("mask_value")), key, "left")
+    found = None
+    last = mask.agg(F.max(F.abs("lon")), F.max(F.abs("lat"))).first()
+    reach = None if last[0] is None else max(last) + 720.0
+    while reach is not None:
+        cells = mask.select(F.struct("cell_id", "lat", "lon", "value").alias("c"), F.floor(F.col("lon") / bucket).alias("bx"), F.floor(F.col("lat") / bucket).alias("by"))
+        near = left.withColumn("dx", F.explode(shifts)).withColumn("dy", F.explode(shifts))
+        near = near.withColumns({"bx": F.floor(F.col("lon") / bucket) + F.col("dx"), "by": F.floor(F.col("lat") / bucket) + F.col("dy")}).join(_small(cells), ["bx", "by"])
+        best = near.groupBy(*key, "lon", "lat").agg(F.min(F.struct(far(F.col("c")).alias("d2"), F.col("c.cell_id").alias("cell_id"), F.col("c.value").alias("value"))).alias("best"))
+        sure = best.where(F.col("best.d2") <= bucket**2).select(*key, "best")
+        found = sure if found is None else found.unionByName(sure)
+        left = left.join(sure.select(*key), key, "left_anti")
+        if bucket > 2 * reach or left.isEmpty():
+            break
+        bucket *= 2
+    if found is None:
+        kinds = dict(mask.dtypes)
+        return points.withColumns({"mask_cell": F.lit(None).cast(kinds["cell_id"]), "mask_value": F.lit(None).cast(kinds["value"])})
+    return points.join(found.select(*key, F.col("best.cell_id").alias("mask_cell"), F.col("best.value").alias("mask_value")), key, "left")
 
 
 def select_targets(arrivals: DataFrame, mask: DataFrame, value: int = 1) -> DataFrame:

@@ -37,9 +37,12 @@ def _at(step: int, name: str) -> F.Column:
 
 
 def arrivals(traj: DataFrame) -> DataFrame:
-    """One row per parcel: what the arrival filters need, in a single pass over its trajectory."""
-    late = F.when(F.col("step") < 4, F.col("hmix"))
-    return traj.groupBy(*KEY).agg(
+    """One row per parcel: what the arrival filters need, from its last four steps alone.
+
+    Missing values are skipped; of rows repeated for a step the largest values count.
+    """
+    late = F.col("hmix")
+    return traj.where("step < 4").groupBy(*KEY).agg(
         _at(0, "q").alias("q0"), _at(1, "q").alias("q1"), _at(0, "rh").alias("rh0"), _at(1, "rh").alias("rh1"), _at(0, "z").alias("z0"),
         F.max(late).alias("h_max"), F.avg(late).alias("h_mean"), _at(0, "hmix").alias("h_actual"),
     )

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.geo import assign_cell, cell_area, output_grid
+from ..functions.geo import assign_cell, cell_area
 from ..functions.thermo import with_thermo
 from ..operators.schedule import day_before_arrival
 from ..operators.trajectory import KEY, arrivals, filter_arrival_pbl, filter_precipitating, segments
@@ -82,29 +82,30 @@ def grid_integrated(daily: DataFrame) -> DataFrame:
 
 
 def densify(daily: DataFrame, run: Tracked) -> DataFrame:
-    """One row per release, day and cell, zeros included; the days and cells are exploded, not joined."""
-    spark = daily.sparkSession
+    """One row per release, day and cell, zeros included; days and cells are exploded, not joined, and centres follow from the cell."""
+    half = run.grid.resolution / 2
     days = daily.select("release_ts").distinct().withColumn("day", F.explode(F.sequence(F.lit(-run.job.days), F.lit(-1))))
     cells = days.withColumn("iy", F.explode(F.sequence(F.lit(0), F.lit(run.grid.ny - 1)))).withColumn("ix", F.explode(F.sequence(F.lit(0), F.lit(run.grid.nx - 1))))
     filled = cells.select("release_ts", "day", F.col("iy").cast("bigint"), F.col("ix").cast("bigint")).join(daily.select("release_ts", "day", "iy", "ix", "flux"), ["release_ts", "day", "iy", "ix"], "left").na.fill(0.0, ["flux"])
-    return filled.join(F.broadcast(output_grid(spark, run.grid).select("iy", "ix", "lat", "lon")), ["iy", "ix"])
+    return filled.withColumns({"lat": run.grid.lat0 + F.col("iy") * run.grid.resolution + half, "lon": run.grid.lon0 + F.col("ix") * run.grid.resolution + half})
 
 
 def parcel_summary(run: Tracked) -> DataFrame:
     """One row per arrived parcel: what it kept, whether it took up anything, and (discounted) its residence time.
 
-    The residence time in minutes is the mean nominal age of its uptakes, weighted by what is left.
+    The residence time in minutes is the mean nominal age of its uptakes, weighted by what is left; where
+    no more than rounding errors are left there is none (older results divided by such errors too).
     """
     job = run.job
     f = F.col("kept") * F.col("flag")
     lag = -(job.tracking_time + job.time_step - F.col("segment") * job.time_step - job.time_step / 2)
     none = F.lit(999.9) if job.compat else F.lit(None).cast("double")
-    weight = F.sum(f)
+    # Losses that just use up the gains may leave a rounding error, which is no weight to divide by.
+    weight, least = F.sum(f), F.sum(F.abs("value")) * 1e-12
     out = run.segments.groupBy(*KEY).agg(
         F.sum("kept").alias("kept"), F.sum(F.abs("value")).alias("moved"), F.max("flag").alias("any_flag"),
-        F.when(weight > 0, F.abs(F.sum(lag * f) / weight)).otherwise(none).alias("residence_minutes"),
+        F.when(weight > least, F.abs(F.sum(lag * f) / weight)).otherwise(none).alias("residence_minutes"),
     )
-    # Losses that just use up the gains may leave a rounding error.
     took = F.col("kept") > F.col("moved") * 1e-12 if run.method.discount else F.col("any_flag") == 1
     return out.withColumn("uptake", took).drop("moved", "any_flag")
 

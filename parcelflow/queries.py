@@ -53,7 +53,7 @@ def integrated(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def dense_field(spark: SparkSession, sf_dir: str) -> DataFrame:
-    run = track(_trajectories(spark, sf_dir, "dense"), MOISTURE["SOD08"], JOB, Grid(10.0, 36, 18))
+    run = _run(spark, sf_dir, MOISTURE["SOD08"])
     return densify(to_flux(grid_sum(run), run), run).select("day", "iy", "ix", "lat", "lon", _round("flux"))
 
 
@@ -117,7 +117,7 @@ def curvilinear_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def needed_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
     obs = fixtures.gappy(spark, sf_dir)
-    releases = obs.where("b % 4 = 0").select(F.col("obs_ts").alias("release_ts")).distinct()
+    releases = obs.select(F.col("obs_ts").alias("release_ts")).distinct()
     return _rel(missing_inputs(step_schedule(releases, JOB), obs)).select("rel", "step")
 
 
@@ -242,7 +242,7 @@ def _daily_sql(method, kind: str = "dense") -> str:
 def _summary_sql(method, kind: str) -> str:
     took = "sum(kept) > sum(abs(value)) * 1e-12" if method.discount else "max(flag) = 1"
     return f"""{_run_sql(method, kind)}, per AS (SELECT rel, parcel_id, sum(kept) AS kept, {took} AS uptake,
- CASE WHEN sum(kept * flag) > 0 THEN abs(sum(-(14400 + 360 - segment * 360 - 180) * kept * flag) / sum(kept * flag)) END AS residence_minutes FROM res GROUP BY ALL)"""
+ CASE WHEN sum(kept * flag) > sum(abs(value)) * 1e-12 THEN abs(sum(-(14400 + 360 - segment * 360 - 180) * kept * flag) / sum(kept * flag)) END AS residence_minutes FROM res GROUP BY ALL)"""
 
 
 def _stats_sql(method, kind: str = "dense") -> str:
@@ -274,8 +274,8 @@ ORACLE_SQL = {
     "moisture_sj05_gappy": _daily_sql(MOISTURE["SJ05"], "gappy"),
     "heat_sch20_gappy": _daily_sql(HEAT["SCH20"], "gappy"),
     "integrated_sod08": f"{_run_sql(_SOD, 'dense')}, {_grid_sql()} SELECT CAST(rel AS BIGINT) AS rel, iy, ix, CAST(sum(n) AS BIGINT) AS n, {_r(f'sum({_flux(_SOD, _area())})')} AS flux FROM day_sum GROUP BY rel, iy, ix",
-    "dense_field_sod08": f"""{_run_sql(_SOD, 'dense')}, {_grid_sql(10.0, 36, 18)}, every AS (SELECT CAST(dd AS INT) - 10 AS day, y AS iy, x AS ix FROM (SELECT unnest(range(10)) AS dd), (SELECT unnest(range(18)) AS y), (SELECT unnest(range(36)) AS x))
-SELECT day, iy, ix, iy * 10e0 - 85e0 AS lat, ix * 10e0 - 175e0 AS lon, {_r(f"coalesce({_flux(_SOD, _area(10.0))}, 0e0)")} AS flux FROM every LEFT JOIN day_sum USING (day, iy, ix)""",
+    "dense_field_sod08": f"""{_run_sql(_SOD, 'dense')}, {_grid_sql()}, every AS (SELECT CAST(dd AS INT) - 10 AS day, y AS iy, x AS ix FROM (SELECT unnest(range(10)) AS dd), (SELECT unnest(range(180)) AS y), (SELECT unnest(range(360)) AS x))
+SELECT day, iy, ix, iy - 89.5e0 AS lat, ix - 179.5e0 AS lon, {_r(f"coalesce({_flux(_SOD, _area())}, 0e0)")} AS flux FROM every LEFT JOIN day_sum USING (day, iy, ix)""",
     "stats_sch20": _stats_sql(HEAT["SCH20"]), "stats_sod08": _stats_sql(_SOD), "stats_apa22_gappy": _stats_sql(_APA, "gappy"),
     "parcel_summary_sod08": f"{_summary_sql(_SOD, 'dense')} SELECT parcel_id, {_r('kept', 9)} AS kept, {_r('residence_minutes', 4)} AS residence_minutes, uptake FROM per",
     "contribution_sod08": f"{_run_sql(_SOD, 'dense')}, {_grid_sql()} SELECT day, iy, ix, {_r('100 * total / (SELECT sum(q1) FROM keep)', 8)} AS pct FROM day_sum",
@@ -296,7 +296,7 @@ a AS (SELECT parcel_id, min_by(v, abs(v - lat) * 1e6 + v * 1e-6) AS mlat FROM d,
 SELECT parcel_id FROM a JOIN b USING (parcel_id) WHERE mlat BETWEEN -20 AND 20 AND mlon BETWEEN -60 AND 60""",
     "curvilinear_mask": f"""WITH {_BASE['dense']}, m AS (SELECT s_suppkey AS cell_id, (s_suppkey * 37 % 120) / 1e0 - 60e0 + 0.011e0 * s_suppkey AS mlat, (s_suppkey * 53 % 360) / 1e0 - 180e0 AS mlon, CAST(s_suppkey % 7 AS INT) AS value FROM supplier)
 SELECT parcel_id, cell_id AS mask_cell, value AS mask_value FROM (SELECT parcel_id, cell_id, value, row_number() OVER (PARTITION BY parcel_id ORDER BY pow(lon - mlon, 2) + pow(lat - mlat, 2), cell_id) AS rn FROM d, m WHERE step = 0) WHERE rn = 1""",
-    "missing_inputs": """WITH b AS (SELECT DISTINCT CAST(floor(epoch(ts) / 21600) AS BIGINT) AS b FROM events), s AS (SELECT b AS rel, CAST(k AS INT) AS step, b - k AS slot FROM b, (SELECT unnest(range(42)) AS k) WHERE b % 4 = 0)
+    "missing_inputs": """WITH b AS (SELECT DISTINCT CAST(floor(epoch(ts) / 21600) AS BIGINT) AS b FROM events), s AS (SELECT b AS rel, CAST(k AS INT) AS step, b - k AS slot FROM b, (SELECT unnest(range(42)) AS k))
 SELECT rel, step FROM s WHERE slot NOT IN (SELECT b FROM b)""",
     "noleap_steps": """WITH r AS (SELECT DISTINCT CAST(epoch(o_orderdate) AS BIGINT) // 21600 AS rel FROM orders WHERE NOT (month(o_orderdate) = 2 AND day(o_orderdate) = 29)),
 s AS (SELECT rel, rel - k AS slot FROM r, (SELECT unnest(range(60)) AS k) WHERE NOT (month(make_timestamp((rel - k) * 21600 * 1000000)) = 2 AND day(make_timestamp((rel - k) * 21600 * 1000000)) = 29)),

@@ -1,35 +1,48 @@
-"""Results as Parquet tables, one partition per release date; a release written again replaces itself."""
+"""Results as Parquet tables, one partition per release; a release written again replaces itself and no other."""
 
 from __future__ import annotations
 
 import json
-from dataclasses import asdict
+from dataclasses import asdict, replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geo import output_grid
 from ..operators.trajectory import KEY
-from ..plans.attribute import Tracked, grid_integrated, grid_sum, run_stats, to_flux
 from ..params import Heat
+from ..plans.attribute import Tracked, grid_integrated, grid_sum, run_stats, to_flux
 
 
 def _write(df: DataFrame, path: str) -> None:
-    df.withColumns({"release_date": F.to_date("release_ts")}).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("release_date").parquet(path)
+    named = df.withColumn("release", F.date_format("release_ts", "yyyyMMddHHmmss"))
+    named.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("release").parquet(path)
+
 
+def write_results(run: Tracked, path: str, segments: bool = True, trajectories: DataFrame | None = None) -> str:
+    """daily, integrated, stats, grid and metadata below ``path``/heat or ``path``/moisture, which is returned.
 
-def write_results(run: Tracked, path: str, segments: bool = True, trajectories: DataFrame | None = None) -> None:
-    """daily, integrated, stats, grid and metadata below ``path``; segments by default, trajectories if given."""
+    Segments are written by default, and the rest is then read off them; trajectories are written if given.
+    A run without releases writes no partition and replaces none; equal rows stay apart.
+    """
+    path = f"{path}/{'heat' if isinstance(run.method, Heat) else 'moisture'}"
+    if segments:
+        _write(run.segments, f"{path}/segments")
+        spark = run.segments.sparkSession
+        ours = run.targets.select("release_ts").distinct()
+        read = spark.read.schema(run.segments.schema).parquet(f"{path}/segments").join(F.broadcast(ours), "release_ts", "left_semi")
+        run = replace(run, segments=read)
     daily = to_flux(grid_sum(run), run)
     _write(daily, f"{path}/daily")
     _write(grid_integrated(daily), f"{path}/integrated")
     _write(run_stats(run), f"{path}/stats")
-    if segments:
-        _write(run.segments.select(*KEY, "segment", "day", "mid_ts", "lon", "lat", "dq", "dheat", "value", "kept", "flag"), f"{path}/segments")
     if trajectories is not None:
-        _write(trajectories, f"{path}/trajectories")
+        _write(trajectories.select(*KEY, *(c for c in trajectories.columns if c not in KEY)), f"{path}/trajectories")
     spark = daily.sparkSession
     output_grid(spark, run.grid).write.mode("overwrite").parquet(f"{path}/grid")
     unit = "W/m2" if isinstance(run.method, Heat) else "mm"
-    text = json.dumps({"method": asdict(run.method), "job": asdict(run.job), "grid": asdict(run.grid), "unit": unit})
+    days = {str(d): f"day {-d} before arrival" for d in range(-run.job.days, 0)}
+    units = {"flux": unit, "lat": "degrees_north", "lon": "degrees_east", "area": "m2", "residence_days": "days", "pct_filtered": "%", "pct_no_uptake": "%"}
+    text = json.dumps({"method": asdict(run.method), "job": asdict(run.job), "grid": asdict(run.grid), "unit": unit, "units": units, "days": days})
     spark.range(1).select(F.lit(text).alias("parameters"), F.lit(unit).alias("unit")).write.mode("overwrite").json(f"{path}/metadata")
+    return path

@@ -3,6 +3,7 @@
 import datetime as dt
 import gzip
 import random
+from dataclasses import replace
 
 import numpy as np
 import pytest
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 
 from parcelflow.functions.geo import assign_cell, mean_longitude, output_grid
 from parcelflow.operators.schedule import missing_inputs, release_schedule, step_schedule
-from parcelflow.operators.targets import nearest_mask
+from parcelflow.operators.targets import nearest_mask, nearest_mask_curvilinear
 from parcelflow.operators.trajectory import segments, trajectories
 from parcelflow.operators.uptake import linear_discount, linear_discount_fold
 from parcelflow.params import HEAT, MOISTURE, Grid, Heat, Job, heat_method
@@ -168,6 +169,31 @@ def test_snapshots_and_results(spark, tmp_path):
     assert read_observations(spark, str(tmp_path / "obs"), obs.select("obs_ts")).count() == 12
     run = dense_run(spark, MOISTURE["APA22"], 5)
     for _ in range(2):  # written again, a release replaces itself
-        write_results(run, str(tmp_path / "out"))
-    out = spark.read.parquet(str(tmp_path / "out/daily"))
-    assert out.count() == grid_sum(run).count() and spark.read.parquet(str(tmp_path / "out/stats")).count() == 1
+        where = write_results(run, str(tmp_path / "out"))
+    out = spark.read.parquet(f"{where}/daily")
+    assert out.count() == grid_sum(run).count() and spark.read.parquet(f"{where}/stats").count() == 1
+
+
+def test_releases_of_one_day_and_both_methods_stay(spark, tmp_path):
+    run = dense_run(spark, MOISTURE["APA22"], 5)
+    later = lambda df: df.withColumn("release_ts", F.expr("release_ts + interval 6 hours"))
+    write_results(run, str(tmp_path))
+    where = write_results(replace(run, targets=later(run.targets), arrived=later(run.arrived), segments=later(run.segments)), str(tmp_path))
+    heat = write_results(dense_run(spark, HEAT["SCH20"], 5), str(tmp_path))
+    for table in ("daily", "integrated", "stats", "segments"):
+        rows = spark.read.parquet(f"{where}/{table}").groupBy("release_ts").count().collect()
+        assert {r.release_ts.hour for r in rows} == {0, 6} and len({r["count"] for r in rows}) == 1
+    assert heat != where and spark.read.parquet(f"{heat}/stats").count() == 1
+
+
+def test_curvilinear_mask_far_and_missing(spark):
+    """Brute force on points near, far and without coordinates, and on cells that tie."""
+    rng = random.Random(5)
+    cells = [(i, rng.uniform(-20, 20), rng.uniform(-20, 20), i % 3) for i in range(40)] + [(90, 0.0, 1.0, 1), (91, 0.0, 1.0, 2), (92, None, 1.0, 1)]
+    points = [(i, rng.uniform(-180, 180), rng.uniform(-90, 90)) for i in range(60)] + [(100, 1.0, 0.0), (101, None, 0.0), (102, 3.0, None)]
+    mask = spark.createDataFrame(cells, "cell_id int, lat double, lon double, value int")
+    got = {r.id: (r.mask_cell, r.mask_value) for r in nearest_mask_curvilinear(spark.createDataFrame(points, "id int, lon double, lat double"), mask, ["id"]).collect()}
+    for i, lon, lat in points:
+        near = min(((lon - x) ** 2 + (lat - y) ** 2, c, v) for c, y, x, v in cells if y is not None)[1:] if lon is not None and lat is not None else (None, None)
+        assert got[i] == near
+    assert nearest_mask_curvilinear(spark.createDataFrame(points, "id int, lon double, lat double"), mask.where("false"), ["id"]).where("mask_cell is not null").count() == 0
