@@ -49,7 +49,7 @@ def nearest_mask_curvilinear(points: DataFrame, mask: DataFrame, key: list[str],
     """As nearest_mask for a mask whose cells (cell_id, lat, lon, value) lie anywhere; ``key`` names a point.
 
     Cells in the 3 x 3 buckets around a point are compared; points with none nearer than a bucket's width
-    go on to buckets twice as wide, until each has one, so every round is an equi-join.  Ties go to the
+    go on to buckets four times as wide, until each has one, so every round is an equi-join.  Ties go to the
     smaller cell_id.  A point or cell with a missing coordinate is near nothing; without cells all are null.
     """
     shifts = F.array(*[F.lit(i).cast("bigint") for i in (-1, 0, 1)])
@@ -57,8 +57,10 @@ def nearest_mask_curvilinear(points: DataFrame, mask: DataFrame, key: list[str],
     left = points.select(*key, "lon", "lat").where("lon is not null and lat is not null")
     far = lambda c: F.pow(F.col("lon") - c["lon"], 2) + F.pow(F.col("lat") - c["lat"], 2)
     found = None
-    last = mask.agg(F.max(F.abs("lon")), F.max(F.abs("lat"))).first()
-    reach = None if last[0] is None else max(last) + 720.0
+    n, west, east, south, north = mask.agg(F.count("*"), F.min("lon"), F.max("lon"), F.min("lat"), F.max("lat")).first()
+    # From about one cell a bucket on; beyond the mask's reach every cell lies in the buckets around.
+    bucket = max(bucket, ((east - west) * (north - south) / n) ** 0.5) if n else bucket
+    reach = max(map(abs, (west, east, south, north))) + 720.0 if n else None
     while reach is not None:
         cells = mask.select(F.struct("cell_id", "lat", "lon", "value").alias("c"), F.floor(F.col("lon") / bucket).alias("bx"), F.floor(F.col("lat") / bucket).alias("by"))
         near = left.withColumn("dx", F.explode(shifts)).withColumn("dy", F.explode(shifts))
@@ -69,7 +71,7 @@ def nearest_mask_curvilinear(points: DataFrame, mask: DataFrame, key: list[str],
         left = left.join(sure.select(*key), key, "left_anti")
         if bucket > 2 * reach or left.isEmpty():
             break
-        bucket *= 2
+        bucket *= 4
     if found is None:
         kinds = dict(mask.dtypes)
         return points.withColumns({"mask_cell": F.lit(None).cast(kinds["cell_id"]), "mask_value": F.lit(None).cast(kinds["value"])})
