@@ -36,7 +36,7 @@ _DOTTED = re.compile(r"([0-9]+)\.([0-9]+)\.([0-9]+)\.([0-9]+)")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _LOGIN = re.compile(r"[^\s/?#@:\"'<>]+:[^\s/?#@\"'<>]+@[^\s/?#\"'<>]+")
-_IDENTIFIER = re.compile(r"(?:[ \t]*(?:number|no\.?|nr\.?|id)\b)?[ \t]*[:=#]?[ \t]*([A-Za-z0-9][A-Za-z0-9-]{4,}[A-Za-z0-9](?: [A-Z0-9]{2,4}\b)*)", re.IGNORECASE)
+_IDENTIFIER = re.compile(r"(?:[ \t]*+(?:number|no\.?|nr\.?|id)\b)?[ \t]*+[:=#]?[ \t]*+([A-Za-z0-9][A-Za-z0-9-]{4,}[A-Za-z0-9](?: [A-Z0-9]{2,4}\b)*)", re.IGNORECASE)
 _SECRET = re.compile(r"[\"']?[ \t]*[:=][ \t]*[\"']?([^\s\"',;]{6,})")
 
 

@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 import struct
+import time
 import zlib
 from collections import defaultdict
 from functools import cache
@@ -551,6 +552,13 @@ def test_base_spans_are_the_patterns(t):
     assert [s for s in pii._finder().spans(t) if s[1] < pii.BASE] == base_spans(t)
 
 
+def test_cues_before_very_long_blanks_take_linear_time():
+    began = time.process_time()
+    assert pii._finder().spans("iban" + " \t" * 500_000 + "!") == []
+    assert [k for _, k, _ in pii._finder().spans("iban" + " " * 100_000 + "DE89370400440532013000")] == [5]
+    assert time.process_time() - began < 5
+
+
 def test_added_kinds_and_redaction(spark):
     t = "see ftp://bob:pw1@h.org/x, IBAN DE89 3704 0044 0532 0130 00. password=b7db7aa4a5; account number: 12-345678 x@y.zz"
     names = {(pii.KINDS[k], t[a:b]) for a, k, b in pii._finder().spans(t)}
