@@ -39,6 +39,8 @@ LEADER_ROUNDS = 3
 GROUPS = 64
 #: Parts that the pairs of one leader are dealt over; its shingles are sent once to each.
 LEADER_PARTS = 32
+#: Darts thrown at once where elements are few.
+DARTS = 1 << 15
 #: Text bytes shingled at once.
 STEP = 2 << 20
 SIGNATURES = "doc_id bigint, digest binary, bands array<bigint>"
@@ -60,7 +62,7 @@ def shingles(texts: pa.Array, width: int = WORDS) -> tuple[np.ndarray, np.ndarra
     """
     flat = pc.replace_substring_regex(texts, r"[\s\x{85}\p{Z}]", " ")
     offsets, codes, words = split_distinct(flat)
-    hashes = np.array([xxhash.xxh64_intdigest(w.lower()) for w in words.to_pylist()], np.uint64)
+    hashes = np.fromiter(map(xxhash.xxh64_intdigest, map(str.lower, words.to_pylist())), np.uint64, len(words))
     full = (pc.binary_length(words).to_numpy(zero_copy_only=False) > 0)[codes]
     of = np.repeat(np.arange(len(texts)), np.diff(offsets))[full]
     h = hashes[codes[full]]
@@ -69,13 +71,18 @@ def shingles(texts: pa.Array, width: int = WORDS) -> tuple[np.ndarray, np.ndarra
     # Position in the text and words left from there decide where a shingle starts.
     left = n[of] - (np.arange(len(of)) - first[of])
     start = (left >= width) | ((n[of] < width) & (left == n[of]))
-    value, at = np.zeros(int(start.sum()), np.uint64), np.flatnonzero(start)
-    size = np.minimum(width, n[of[at]])
+    value, at = np.zeros(len(h), np.uint64), np.flatnonzero(start)
+    for j in range(min(width, len(h))):
+        value[: len(h) - j] = mix(value[: len(h) - j] * _M1 + h[j:])
+    value, size = value[at], np.minimum(width, n[of[at]])
+    short = np.flatnonzero(size < width)
+    value[short] = 0
     for j in range(width):
-        has = j < size
-        value[has] = mix(value[has] * _M1 + h[at[has] + j])
+        short = short[size[short] > j]
+        value[short] = mix(value[short] * _M1 + h[at[short] + j])
     of = of[at]
-    order = np.lexsort((value, of))
+    order = np.argsort(value)
+    order = order[np.argsort(of[order].astype(np.min_scalar_type(len(texts))), kind="stable")]
     of, value = of[order], value[order]
     new = np.append(True, (of[1:] != of[:-1]) | (value[1:] != value[:-1])) if len(of) else np.zeros(0, bool)
     at = np.flatnonzero(new)
@@ -107,29 +114,33 @@ def dart_sketch(of: np.ndarray, elements: np.ndarray, weights: np.ndarray, texts
             rank, seed, number = np.zeros(len(e_of)), mix(e_h ^ np.uint64(level)), 0
             t_of, t_w, limit = e_of, e_w, reach[e_of]
             while len(t_of):
-                number += 1
-                dart = mix(seed ^ np.uint64(number))
-                rank = rank - np.log(((dart >> np.uint64(11)).astype(float) + 0.5) * scale) / (high - low)
-                go = rank < limit
-                t_of, t_w, limit, rank, seed, dart = t_of[go], t_w[go], limit[go], rank[go], seed[go], dart[go]
+                # Few elements throw many darts at once, so that texts of few words take few rounds too.
+                many = int(min(max(1, DARTS // len(t_of)), np.max(limit - rank) * (high - low) + 8))
+                dart = mix(seed[:, None] ^ np.arange(number + 1, number + many + 1, dtype=np.uint64))
+                number += many
+                ranks = np.log(((dart >> np.uint64(11)).astype(float) + 0.5) * scale) / (low - high)
+                ranks[:, 0] += rank
+                ranks = np.cumsum(ranks, axis=1)
+                row, column = np.nonzero(ranks < limit[:, None])
+                dart, thrown = dart[row, column], ranks[row, column]
                 place = low + (mix(dart ^ _M1) >> np.uint64(11)).astype(float) * scale * (high - low)
-                hit = place < t_w
-                got_of.append(t_of[hit])
-                got_rank.append(rank[hit])
-                got_id.append(mix(dart ^ _M2))
-                got_id[-1] = got_id[-1][hit]
+                hit = place < t_w[row]
+                got_of.append(t_of[row[hit]])
+                got_rank.append(thrown[hit])
+                got_id.append(mix(dart[hit] ^ _M2))
+                rank = ranks[:, -1]
+                go = rank < limit
+                t_of, t_w, limit, rank, seed = t_of[go], t_w[go], limit[go], rank[go], seed[go]
             low, high, level = high, high * 2, level + 1
             more = e_w > low
             e_of, e_h, e_w = e_of[more], e_h[more], e_w[more]
         d_of, d_rank, d_id = np.concatenate(got_of), np.concatenate(got_rank), np.concatenate(got_id)
         cell = d_of * k + (d_id % np.uint64(k)).astype(np.int64)
-        order = np.lexsort((d_rank, cell))
-        cell = cell[order]
-        at = np.flatnonzero(np.append(True, cell[1:] != cell[:-1])) if len(cell) else np.zeros(0, np.int64)
-        filled = np.bincount(cell[at] // k, minlength=texts)
-        done = busy & (filled == k)
-        keep = at[done[cell[at] // k]]
-        out.reshape(-1)[cell[keep]] = d_id[order[keep]]
+        best = np.full(texts * k, np.inf)
+        np.minimum.at(best, cell, d_rank)
+        done = busy & np.isfinite(best).reshape(texts, k).all(axis=1)
+        keep = np.flatnonzero((d_rank == best[cell]) & done[d_of])
+        out.reshape(-1)[cell[keep]] = d_id[keep]
         pending = np.flatnonzero(busy & ~done)
         reach[pending] *= 2
     return out
