@@ -6,7 +6,7 @@ import re
 import struct
 import time
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 from functools import cache
 from unittest.mock import MagicMock
 
@@ -14,6 +14,7 @@ import numpy as np
 import public_tokenizers as P
 import pyarrow as pa
 import pytest
+import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -334,6 +335,44 @@ def test_dart_sketch_estimates_similarity(n, common, weighted):
     assert abs((s[0] == s[1]).mean() - real) < 0.06 and (s != 0).all()
 
 
+def test_dart_sketch_does_not_depend_on_the_block_of_darts(monkeypatch):
+    rng = np.random.default_rng(2)
+    sizes = [1, 2, 5, 0, 400, 3000]
+    of = np.repeat(np.arange(len(sizes)), sizes)
+    h, w = rng.integers(0, 2**63, len(of)).astype(np.uint64), rng.integers(1, 20, len(of))
+    want = near_dup.dart_sketch(of, h, w, len(sizes))
+    for block in (1, 100):
+        monkeypatch.setattr(near_dup, "DARTS", block)
+        assert np.array_equal(near_dup.dart_sketch(of, h, w, len(sizes)), want)
+    monkeypatch.undo()
+    alone = [near_dup.dart_sketch(np.zeros(n, int), h[of == i], w[of == i], 1)[0] for i, n in enumerate(sizes)]
+    assert np.array_equal(np.array(alone), want)
+    assert not want[3].any()
+
+
+@pytest.mark.parametrize("width", [1, 2, 5])
+def test_shingles_are_those_of_a_plain_loop(width):
+    rng = np.random.default_rng(3)
+    texts = ["", " ", "a", "A  b", "a b c d", "a b c d e", "a b c d e a b c d e"] + [" ".join(rng.choice(list("abc"), n)) for n in (3, 7, 40, 200)]
+    of, h, n = near_dup.shingles(pa.array(texts), width)
+    name = {}
+    for i, text in enumerate(texts):
+        words = text.lower().split()
+        starts = range(max(1, len(words) - width + 1)) if words else []
+        want = Counter(tuple(words[k : k + width]) for k in starts)
+        got = dict(zip(h[of == i].tolist(), n[of == i].tolist()))
+        assert list(got) == sorted(got) and sorted(got.values()) == sorted(want.values())
+        for value, shingle in ((naive_shingle(s), s) for s in want):
+            assert got[value] == want[shingle] and name.setdefault(value, shingle) == shingle
+
+
+def naive_shingle(words):
+    value = np.zeros(1, np.uint64)
+    for word in words:
+        value = near_dup.mix(value * np.uint64(0xBF58476D1CE4E5B9) + np.uint64(xxhash.xxh64_intdigest(word)))
+    return int(value[0])
+
+
 # 4: media
 
 
