@@ -26,7 +26,7 @@ BASE = 4
 #: Words that announce an identifier or a secret.
 ACCOUNT_CUES = ["iban", "account", "acct", "ssn", "passport", "konto", "compte", "cuenta"]
 SECRET_CUES = ["password", "passwd", "pwd", "secret", "api_key", "apikey", "api-key", "access_key", "token"]
-SCHEMA = "doc_id bigint, n_email bigint, n_ip bigint, n_card bigint, n_phone bigint, base_sha256 string, spans string"
+SCHEMA = "doc_id bigint, n_email bigint, n_ip bigint, n_card bigint, n_phone bigint, base_sha256 string, spans string, n_login_url bigint, n_account bigint, n_secret bigint"
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _WORD = re.compile(r"\w")
@@ -37,6 +37,7 @@ _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _LOGIN = re.compile(r"[^\s/?#@:\"'<>]+:[^\s/?#@\"'<>]+@[^\s/?#\"'<>]+")
 _IDENTIFIER = re.compile(r"(?:[ \t]*+(?:number|no\.?|nr\.?|id)\b)?[ \t]*+[:=#]?[ \t]*+([A-Za-z0-9][A-Za-z0-9-]{4,}[A-Za-z0-9](?: [A-Z0-9]{2,4}\b)*)", re.IGNORECASE)
+_IBAN = re.compile(r"(?:[ \t]*+(?:number|no\.?|nr\.?)(?![A-Za-z]))?[ \t]*+[:=#]?[ \t]*+([A-Za-z]{2}[0-9]{2}(?:[ -]?[A-Za-z0-9]){11,30})", re.IGNORECASE | re.ASCII)
 _SECRET = re.compile(r"[\"']?[ \t]*[:=][ \t]*[\"']?([^\s\"',;]{6,})")
 
 
@@ -60,6 +61,21 @@ def _luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
+def _iban_end(text: str, start: int, end: int) -> int:
+    """Where an IBAN that begins at ``start`` ends: its longest form before ``end`` that stops at a boundary and leaves 1 modulo 97; 0 if none does."""
+    while end > start:
+        value = text[start:end].replace(" ", "").replace("-", "")
+        if len(value) < 15:
+            return 0
+        whole = end == len(text) or not _WORD.match(text[end])
+        if whole and int("".join(str(int(c, 36)) for c in value[4:] + value[:4])) % 97 == 1:
+            return end
+        end -= 1
+        while text[end - 1] in " -":
+            end -= 1
+    return 0
+
+
 class Finder:
     """Finds (start, kind, end) spans, in code points, by start and then kind."""
 
@@ -113,7 +129,10 @@ class Finder:
                 start = last + 1 - size
                 if start and _WORD.match(text[start - 1]) and text[start - 1] != "_":
                     continue
-                if code == 4 and start >= account_end and (m := _IDENTIFIER.match(text, last + 1)) and sum(c.isdigit() for c in m[1]) >= 4:
+                if code == 4 and start >= account_end and (m := _IBAN.match(text, last + 1)) and (end := _iban_end(text, *m.span(1))):
+                    account_end = end
+                    out.append((m.start(1), 5, end))
+                elif code == 4 and start >= account_end and (m := _IDENTIFIER.match(text, last + 1)) and sum(c.isdigit() for c in m[1]) >= 4:
                     account_end = m.end(1)
                     out.append((m.start(1), 5, account_end))
                 elif code == 5 and start >= secret_end and (m := _SECRET.match(text, last + 1)):
@@ -137,7 +156,10 @@ def _joined(spans: list[tuple[int, int, int]]) -> str:
 
 
 def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: doc_id, counts of the base kinds, base_sha256 and spans.
+    """One row per input row: doc_id, counts of the base kinds, base_sha256, spans and counts of the added kinds.
+
+    An IBAN behind a cue, in groups or not, ends where its check digits hold; other identifiers behind
+    cues have no check digits of their own and count with four digits or more.
 
     Spans are kind:start:end in code points, end exclusive, by start and then kind, joined by commas;
     base_sha256 is of the base spans alone.  A null or empty text has none.  Null ids and repeated rows
@@ -149,16 +171,16 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         finder = _finder()
         for part in slices(batches):
-            counts: list[list[int]] = [[], [], [], []]
+            counts: list[list[int]] = [[] for _ in KINDS]
             digests, strings = [], []
             for text in part.column(1).to_pylist():
                 spans = finder.spans(text)
                 base = [s for s in spans if s[1] < BASE]
-                for k in range(BASE):
-                    counts[k].append(sum(s[1] == k for s in base))
+                for k in range(len(KINDS)):
+                    counts[k].append(sum(s[1] == k for s in spans))
                 digests.append(hashlib.sha256(_joined(base).encode()).hexdigest())
                 strings.append(_joined(spans))
-            yield pa.record_batch([part.column(0), *(pa.array(c, pa.int64()) for c in counts), pa.array(digests, pa.string()), pa.array(strings, pa.string())], names=[c.split()[0] for c in SCHEMA.split(", ")])
+            yield pa.record_batch([part.column(0), *(pa.array(c, pa.int64()) for c in counts[:BASE]), pa.array(digests, pa.string()), pa.array(strings, pa.string()), *(pa.array(c, pa.int64()) for c in counts[BASE:])], names=[c.split()[0] for c in SCHEMA.split(", ")])
 
     return docs.select(docs[id_col].cast("bigint").alias("doc_id"), docs[text_col].alias("text")).mapInArrow(run, SCHEMA)
 

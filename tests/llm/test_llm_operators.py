@@ -598,6 +598,14 @@ def test_cues_before_very_long_blanks_take_linear_time():
     assert time.process_time() - began < 5
 
 
+@pytest.mark.parametrize("iban", ["DE89370400440532013000", "DE89 3704 0044 0532 0130 00", "GB82 WEST 1234 5698 7654 32", "gb82west12345698765432", "GB82-WEST-1234-5698-7654-32"])
+def test_pii_ends_ibans_where_their_check_digits_hold(iban):
+    for before, after in (("IBAN: ", ""), ("my iban no. ", " and so on 12"), ("Iban ", " 1234 5678."), ("iban=", "-")):
+        t = before + iban + after
+        assert pii._finder().spans(t.replace("8", "\u017f")) is not None
+        assert [t[a:b] for a, k, b in pii._finder().spans(t) if k == 5] == [iban]
+
+
 def test_added_kinds_and_redaction(spark):
     t = "see ftp://bob:pw1@h.org/x, IBAN DE89 3704 0044 0532 0130 00. password=b7db7aa4a5; account number: 12-345678 x@y.zz"
     names = {(pii.KINDS[k], t[a:b]) for a, k, b in pii._finder().spans(t)}
