@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, flac, near_dup, pii, quality, suffix_dedup, token_counts, token_files, url_filter
+from . import bpe, conversations, decontaminate, flac, language, near_dup, pii, quality, runs, suffix_dedup, token_counts, token_files, url_filter
 from .storage import table
 
 #: Fixed rules that the url query judges by.
@@ -52,7 +52,20 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip_digests(table(spark, sf_dir, "documents", spread=True), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_decontaminate, op3_near_dup, op4_flac_media, op5_url_filter, op6_token_files, op7_quality, op8_suffix_dedup, op9_pii_spans, op10_byte_bpe)}
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.run_digests(runs.repeat_tails(table(spark, sf_dir, "documents", spread=True)))
+
+
+def op12_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify(table(spark, sf_dir, "documents", spread=True))
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    given = table(spark, sf_dir, "conversations")
+    return conversations.report(conversations.damaged(given), given)
+
+
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_decontaminate, op3_near_dup, op4_flac_media, op5_url_filter, op6_token_files, op7_quality, op8_suffix_dedup, op9_pii_spans, op10_byte_bpe, op11_periodic_runs, op12_language_id, op13_conversation_repair)}
 
 ORACLE_SQL = {
     "op5_url_filter": """
