@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 #: Rows of a mask's axes or of a curvilinear mask that are broadcast at most; larger ones are shuffled.
 BROADCAST_ROWS = 1_000_000
+#: Cells of a closed box of the pyramid at most, and its levels; each cuts a box in 4 x 4.
+LEAF, DEPTH = 16, 12
 
 
 def _small(df: DataFrame) -> DataFrame:
@@ -45,37 +47,77 @@ def nearest_mask(points: DataFrame, mask: DataFrame) -> DataFrame:
     return out.join(_small(cells), ["mask_lat", "mask_lon"], "left")
 
 
-def nearest_mask_curvilinear(points: DataFrame, mask: DataFrame, key: list[str], bucket: float = 2.0) -> DataFrame:
+def _box(level: F.Column) -> F.Column:
+    """The number of the box of a level that a cell of codes (cx, cy) lies in; level 0 is one box."""
+    shift = lambda c: F.floor(F.col(c) / F.pow(F.lit(4.0), DEPTH - level)).cast("bigint")
+    return level.cast("bigint") * (1 << 4 * DEPTH) + shift("cx") * (1 << 2 * DEPTH) + shift("cy")
+
+
+def _pyramid(cells: DataFrame, west: float, south: float, side: float) -> tuple[DataFrame, DataFrame]:
+    """(below, leaves) of cells (lon, lat, ...): the boxes in each open box with their extents, and the cells with their closed box.
+
+    A box is closed if it holds LEAF cells at most, or at DEPTH; an open one is cut in 4 x 4.  Only boxes that
+    hold cells are there, with the extents of their cells.  A closed box is below itself.
+    """
+    code = lambda c, low: F.least(F.floor((F.col(c) - low) / side * 4.0**DEPTH), F.lit(4**DEPTH - 1)).cast("bigint")
+    coded = cells.withColumns({"cx": code("lon", west), "cy": code("lat", south)})
+    levels = coded.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(DEPTH))))
+    levels = levels.withColumns({"box": _box(F.col("level")), "parent": F.when(F.col("level") > 0, _box(F.col("level") - 1))})
+    boxes = levels.groupBy("box", "parent", "level").agg(F.count("*").alias("n"), *(f(c).alias(f"{c}_{n}") for c in ("lon", "lat") for n, f in (("lo", F.min), ("hi", F.max))))
+    open_ = (F.col("n") > LEAF) & (F.col("level") < DEPTH)
+    parents = boxes.where(open_).select(F.col("box").alias("parent"))
+    tree = boxes.join(parents, "parent", "left_semi").unionByName(boxes.where("level = 0"))
+    child = F.struct("box", "lon_lo", "lon_hi", "lat_lo", "lat_hi").alias("child")
+    closed = tree.where(~open_)
+    below = tree.where("level > 0").select("parent", child).unionByName(closed.select(F.col("box").alias("parent"), child))
+    below = below.groupBy("parent").agg(F.collect_list("child").alias("children"))  # 16 at most
+    return below, levels.drop("cx", "cy", "level", "parent").join(closed.select("box"), "box")
+
+
+def nearest_mask_curvilinear(points: DataFrame, mask: DataFrame, key: list[str]) -> DataFrame:
     """As nearest_mask for a mask whose cells (cell_id, lat, lon, value) lie anywhere; ``key`` names a point.
 
-    Cells in the 3 x 3 buckets around a point are compared; points with none nearer than a bucket's width
-    go on to buckets four times as wide, until each has one, so every round is an equi-join.  Ties go to the
-    smaller cell_id.  A point or cell with a missing coordinate is near nothing; without cells all are null.
+    A pyramid of boxes is searched from its top for all points at once: each round opens the boxes that a
+    point still has, and keeps those that may be nearer than some cell surely is (every side of a box touches
+    a cell).  What is left are closed boxes of few cells, which are compared.  A point may be as far from all
+    cells as it likes.  Ties go to the smaller cell_id; a point or cell with a missing coordinate is near
+    nothing; without cells all are null.  Rounds keep a point's boxes in one task, without a shuffle.
     """
-    shifts = F.array(*[F.lit(i).cast("bigint") for i in (-1, 0, 1)])
-    mask = mask.where("lon is not null and lat is not null")
-    left = points.select(*key, "lon", "lat").where("lon is not null and lat is not null")
-    far = lambda c: F.pow(F.col("lon") - c["lon"], 2) + F.pow(F.col("lat") - c["lat"], 2)
-    found = None
-    n, west, east, south, north = mask.agg(F.count("*"), F.min("lon"), F.max("lon"), F.min("lat"), F.max("lat")).first()
-    # From about one cell a bucket on; beyond the mask's reach every cell lies in the buckets around.
-    bucket = max(bucket, ((east - west) * (north - south) / n) ** 0.5) if n else bucket
-    reach = max(map(abs, (west, east, south, north))) + 720.0 if n else None
-    while reach is not None:
-        cells = mask.select(F.struct("cell_id", "lat", "lon", "value").alias("c"), F.floor(F.col("lon") / bucket).alias("bx"), F.floor(F.col("lat") / bucket).alias("by"))
-        near = left.withColumn("dx", F.explode(shifts)).withColumn("dy", F.explode(shifts))
-        near = near.withColumns({"bx": F.floor(F.col("lon") / bucket) + F.col("dx"), "by": F.floor(F.col("lat") / bucket) + F.col("dy")}).join(_small(cells), ["bx", "by"])
-        best = near.groupBy(*key, "lon", "lat").agg(F.min(F.struct(far(F.col("c")).alias("d2"), F.col("c.cell_id").alias("cell_id"), F.col("c.value").alias("value"))).alias("best"))
-        sure = best.where(F.col("best.d2") <= bucket**2).select(*key, "best")
-        found = sure if found is None else found.unionByName(sure)
-        left = left.join(sure.select(*key), key, "left_anti")
-        if bucket > 2 * reach or left.isEmpty():
-            break
-        bucket *= 4
-    if found is None:
+    here = lambda df: df.where("lon is not null and lat is not null and not isnan(lon) and not isnan(lat)")
+    cells = here(mask.select("cell_id", F.col("lat").cast("double").alias("lat"), F.col("lon").cast("double").alias("lon"), "value"))
+    cells = cells.groupBy("lon", "lat").agg(F.min(F.struct("cell_id", "value")).alias("cell"))
+    n, west, east, south, north = cells.agg(F.count("*"), F.min("lon"), F.max("lon"), F.min("lat"), F.max("lat")).first()
+    if not n:
         kinds = dict(mask.dtypes)
         return points.withColumns({"mask_cell": F.lit(None).cast(kinds["cell_id"]), "mask_value": F.lit(None).cast(kinds["value"])})
-    return points.join(found.select(*key, F.col("best.cell_id").alias("mask_cell"), F.col("best.value").alias("mask_value")), key, "left")
+    state = _descend(here(points.select(*key, F.col("lon").cast("double").alias("lon"), F.col("lat").cast("double").alias("lat"))), cells, key, n, west, south, max(east - west, north - south) or 1.0)
+    d2 = F.pow(F.col("lon") - F.col("cell_lon"), 2) + F.pow(F.col("lat") - F.col("cell_lat"), 2)
+    best = state.groupBy(*key, "lon", "lat").agg(F.min(F.struct(d2.alias("d2"), F.col("cell.cell_id").alias("cell_id"), F.col("cell.value").alias("value"))).alias("best"))
+    return points.join(best.select(*key, F.col("best.cell_id").alias("mask_cell"), F.col("best.value").alias("mask_value")), key, "left")
+
+
+def _descend(points: DataFrame, cells: DataFrame, key: list[str], n: int, west: float, south: float, side: float) -> DataFrame:
+    """Each point with every cell of the closed boxes that are left for it."""
+    below, leaves = _pyramid(cells, west, south, side)
+    rounds = leaves.agg(F.max(F.floor(F.col("box") / (1 << 4 * DEPTH)))).first()[0]
+    held = F.broadcast if n <= BROADCAST_ROWS else (lambda df: df)
+    below, leaves = held(below.withColumnRenamed("parent", "box")), held(leaves.select("box", F.col("lon").alias("cell_lon"), F.col("lat").alias("cell_lat"), "cell"))
+    state = points.repartition(*key).select(*key, "lon", "lat", F.lit(0).cast("bigint").alias("box"), F.lit(float("inf")).alias("bound"))
+    square = lambda x: x * x
+    for _ in range(rounds):
+        each = state.join(below, "box").select(*key, "lon", "lat", "bound", F.explode("children").alias("c"))
+        far, near, out = {}, {}, {}
+        for x in ("lon", "lat"):
+            lo, hi = F.col("c")[f"{x}_lo"], F.col("c")[f"{x}_hi"]
+            out[x] = square(F.greatest(lo - F.col(x), F.col(x) - hi, F.lit(0.0)))  # to the box
+            a, b = square(F.col(x) - lo), square(F.col(x) - hi)
+            near[x], far[x] = F.least(a, b), F.greatest(a, b)  # to its nearer and its farther side
+        sure = F.least(near["lon"] + far["lat"], far["lon"] + near["lat"])
+        each = each.select(*key, "lon", "lat", F.least("bound", sure).alias("sure"), F.struct(F.col("c.box").alias("box"), (out["lon"] + out["lat"]).alias("least")).alias("b"))
+        kept = each.groupBy(*key, "lon", "lat").agg(F.min("sure").alias("bound"), F.collect_list("b").alias("boxes"))
+        # A hair's breadth for rounding.
+        state = kept.select(*key, "lon", "lat", "bound", F.explode(F.expr("filter(boxes, b -> b.least <= bound * (1 + 1e-9D))")).alias("b")).select(*key, "lon", "lat", F.col("b.box").alias("box"), "bound")
+    return state.join(leaves, "box")
 
 
 def select_targets(arrivals: DataFrame, mask: DataFrame, value: int = 1) -> DataFrame:
