@@ -44,13 +44,16 @@ def cell_area(iy: Column, grid: Grid) -> Column:
     return F.abs(F.radians(F.lit(1.0)) * EARTH_RADIUS**2 * (F.sin(F.radians(lo)) - F.sin(F.radians(hi)))) * grid.resolution
 
 
-def assign_cell(points: DataFrame, grid: Grid, wrap: bool = True) -> DataFrame:
+def assign_cell(points: DataFrame, grid: Grid, wrap: bool | Column = True) -> DataFrame:
     """Add ix and iy; a point on a cell's edge, outside the grid or nowhere has a null in either or both.
 
     Cells are found by division, so no join with the grid is needed; close to an edge the edge itself
-    decides, as division may round over it.
+    decides, as division may round over it.  ``wrap`` (for some rows, if a column) puts longitudes into
+    0..360 on grids that run over 180 degrees.
     """
-    x = wrap_longitude(F.col("lon")) if wrap and grid.centred_180 else F.col("lon")
+    x = F.col("lon")
+    if grid.centred_180 and wrap is not False:
+        x = wrap_longitude(x) if wrap is True else F.when(wrap, wrap_longitude(x)).otherwise(x)
     axes = {"ix": (x, grid.lon0, grid.nx), "iy": (F.col("lat"), grid.lat0, grid.ny)}
     # A generated row of the coordinates: filters on cells stay above it, so their long expressions aren't written out for each use.
     out = points.select("*", F.inline(F.array(F.struct(*(value.alias(f"_{name}") for name, (value, _, _) in axes.items())))))

@@ -61,6 +61,15 @@ def missing_inputs(steps: DataFrame, available: DataFrame) -> DataFrame:
     return steps.join(available.select("obs_ts").distinct(), "obs_ts", "left_anti").select("release_ts", "step", "obs_ts")
 
 
+def gate(releases: DataFrame, steps: DataFrame, available: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(releases of which every step is available, steps that are missing): a release that lacks a time doesn't run.
+
+    Both are by times alone; nulls among the available times count for nothing, repeated ones once.
+    """
+    missing = missing_inputs(steps, available)
+    return releases.join(missing.select("release_ts").distinct(), "release_ts", "left_anti"), missing
+
+
 def day_before_arrival(segment: F.Column, job: Job) -> F.Column:
     """-1 for the day that ends at arrival, -2 before it, ...; segment 0 is the oldest."""
     return (F.floor(segment / job.per_day) - job.days).cast("int")

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 #: Rows of a mask's axes or of a curvilinear mask that are broadcast at most; larger ones are shuffled.
 BROADCAST_ROWS = 1_000_000
+#: Lines of an axis that go into the plan as a sorted list at most.
+AXIS_LINES = 50_000
 #: Cells of a closed box of the pyramid at most, and its levels; each cuts a box in 4 x 4.
 LEAF, DEPTH = 16, 12
 
@@ -16,37 +18,60 @@ def _small(df: DataFrame) -> DataFrame:
 
 
 def _axis(mask: DataFrame, name: str) -> tuple[DataFrame, float]:
-    """Values of an axis, each with the stretch it is nearest to, in buckets of the least spacing."""
+    """Values of an axis, each with the stretch it is nearest to, in buckets of the least spacing, but no more than eight a value."""
     values = mask.select(F.col(name).alias("value")).distinct()
     w = Window.orderBy("value")  # an axis: as many rows as a mask has lines
     near = values.select("value", F.lag("value").over(w).alias("before"), F.lead("value").over(w).alias("after"))
     near = near.select("value", ((F.col("before") + F.col("value")) / 2).alias("lo"), ((F.col("value") + F.col("after")) / 2).alias("hi"), (F.col("value") - F.col("before")).alias("gap"))
-    width = near.agg(F.min("gap")).first()[0] or 1.0
-    first, last = near.agg(F.min("value"), F.max("value")).first()
+    n, gap, first, last = near.agg(F.count("*"), F.min("gap"), F.min("value"), F.max("value")).first()
+    width = max(gap or 1.0, (last - first) / (8 * n))
     bounded = near.select("value", "lo", "hi", F.coalesce("lo", F.lit(first)).alias("from"), F.coalesce("hi", F.lit(last)).alias("to"))
     buckets = bounded.select("value", "lo", "hi", F.explode(F.sequence(F.floor(F.col("from") / width), F.floor(F.col("to") / width))).alias(f"{name}_bucket"))
     return buckets.select(F.col("value").alias(f"mask_{name}"), F.col("lo").alias(f"{name}_from"), F.col("hi").alias(f"{name}_to"), f"{name}_bucket"), (width, first, last)
 
 
+def _line(x: F.Column, lines: list[float]) -> F.Column:
+    """The line nearest to x, by halving: the number of midpoints below x is built up from its highest bit."""
+    array = lambda values: F.split(F.lit(",".join(map(repr, values))), ",").cast("array<double>")
+    middles = [(a + b) / 2 for a, b in zip(lines, lines[1:])]
+    steps = [1 << k for k in reversed(range(len(middles).bit_length()))]
+    at = F.lit(0)
+    if steps:
+        held = array(middles)
+        at = F.aggregate(F.array(*map(F.lit, steps)), at, lambda below, step: F.when(F.get(held, below + step - 1) < x, below + step).otherwise(below))
+    return F.when(x.isNotNull() & ~F.isnan(x), F.get(array(lines), at))
+
+
 def nearest_mask(points: DataFrame, mask: DataFrame) -> DataFrame:
     """Add mask_lat, mask_lon and mask_value of the mask cell nearest to (lon, lat) in plain degrees.
 
-    For a rectilinear mask (lat, lon, value) the nearest line of each axis is independent of the other:
-    two equi-joins on buckets of the axes, and one on the cell.  There is no largest distance; of two as
-    near the smaller coordinate counts; points without coordinates get nulls.  Not wrapped at the
-    antimeridian.
+    For a rectilinear mask (lat, lon, value) the nearest line of each axis is independent of the other: it is
+    found in the sorted lines (beyond AXIS_LINES of them by joins on buckets of the axis), then one equi-join
+    finds the cell.  There is no largest distance; of two as near the smaller coordinate counts; of repeated
+    cells the least value; points without coordinates, and all points of an empty mask, get nulls; mask rows
+    without coordinates are no cells.  Not wrapped at the antimeridian.
     """
+    mask = mask.select(F.col("lat").cast("double").alias("lat"), F.col("lon").cast("double").alias("lon"), "value").where("lat is not null and lon is not null and not isnan(lat) and not isnan(lon)")
     out = points
     for name in ("lat", "lon"):
-        axis, (width, first, last) = _axis(mask, name)
-        inside = F.when(F.col(name).isNotNull(), F.least(F.greatest(F.col(name), F.lit(first)), F.lit(last)))
-        here = out.withColumn("_x", inside).withColumn("_bucket", F.floor(inside / width))
-        on = (F.col("_bucket") == F.col(f"{name}_bucket")) & (F.col(f"{name}_from").isNull() | (F.col("_x") > F.col(f"{name}_from"))) & (F.col(f"{name}_to").isNull() | (F.col("_x") <= F.col(f"{name}_to")))
-        out = here.join(_small(axis), on, "left").drop("_x", "_bucket", f"{name}_bucket", f"{name}_from", f"{name}_to")
+        lines = [r[0] for r in mask.select(name).distinct().orderBy(name).limit(AXIS_LINES + 1).collect()]
+        if len(lines) > AXIS_LINES:
+            out = _by_buckets(out, mask, name)
+        else:
+            out = out.withColumn(f"mask_{name}", _line(F.col(name).cast("double"), lines) if lines else F.lit(None).cast("double"))
     cells = mask.groupBy("lat", "lon").agg(F.min("value").alias("mask_value")).select(F.col("lat").alias("mask_lat"), F.col("lon").alias("mask_lon"), "mask_value")
     return out.join(_small(cells), ["mask_lat", "mask_lon"], "left")
 
 
+def _by_buckets(points: DataFrame, mask: DataFrame, name: str) -> DataFrame:
+    """Add the nearest of very many lines of an axis, by an equi-join on buckets."""
+    axis, (width, first, last) = _axis(mask, name)
+    inside = F.when(F.col(name).isNotNull() & ~F.isnan(F.col(name).cast("double")), F.least(F.greatest(F.col(name), F.lit(first)), F.lit(last)))
+    here = points.withColumn("_x", inside).withColumn("_bucket", F.floor(inside / width))
+    on = (F.col("_bucket") == F.col(f"{name}_bucket")) & (F.col(f"{name}_from").isNull() | (F.col("_x") > F.col(f"{name}_from"))) & (F.col(f"{name}_to").isNull() | (F.col("_x") <= F.col(f"{name}_to")))
+    return here.join(_small(axis), on, "left").drop("_x", "_bucket", f"{name}_bucket", f"{name}_from", f"{name}_to")
+
+
 def _box(level: F.Column) -> F.Column:
     """The number of the box of a level that a cell of codes (cx, cy) lies in; level 0 is one box."""
     shift = lambda c: F.floor(F.col(c) / F.pow(F.lit(4.0), DEPTH - level)).cast("bigint")

@@ -9,27 +9,36 @@ from ..functions.geo import mean_longitude
 from ..params import Job
 
 KEY = ["release_ts", "parcel_id"]
+#: The same for windows: sorts compare parcels first, which differ more often than releases.
+BY = ["parcel_id", "release_ts"]
 
 
-def trajectories(obs: DataFrame, targets: DataFrame, job: Job, steps: DataFrame | None = None) -> DataFrame:
+def trajectories(obs: DataFrame, targets: DataFrame, job: Job, steps: DataFrame | None = None, buckets: int | None = None) -> DataFrame:
     """Every target at every step, with its observation or nulls: (release_ts, parcel_id, step, obs_ts, ...).
 
     The spine of targets and steps comes first, so that a missing step leaves a gap and later differences
     don't jump over it.  Steps are exploded from the release unless a schedule is given (no-leap runs).
     Of several observations of a parcel at one time, one counts: the one with the most values, of these
-    the one with the largest in the order of columns.  Only wanted observations are grouped.
+    the one with the largest in the order of columns.  Only wanted observations are grouped.  Columns of
+    ``obs`` that are called like the spine's (release_ts, step) are left out; targets with nulls have no
+    observations.  ``buckets`` lays the spine out as a store of so many buckets by parcel_id is, so that its
+    observations stay where they are.
     """
+    obs = obs.drop("release_ts", "step")
     if steps is None:
         spine = targets.select(*KEY, F.explode(F.sequence(F.lit(0), F.lit(job.segments + 1))).alias("step"))
         spine = spine.withColumn("obs_ts", F.expr(f"release_ts - make_interval(0, 0, 0, 0, 0, step * {job.time_step})"))
     else:
-        spine = targets.join(steps, "release_ts")
+        spine = targets.select(*KEY).join(steps.select("release_ts", "step", "obs_ts"), "release_ts")
+    if buckets:
+        spine = spine.withColumn("parcel_id", F.col("parcel_id").cast(obs.schema["parcel_id"].dataType)).repartition(buckets, "parcel_id")
     at = ["parcel_id", "obs_ts"]
     values = [c for c in obs.columns if c not in at]
-    there = sum((F.col(c).isNotNull().cast("int") for c in values), F.lit(0))
+    there = sum((F.col(f"`{c}`").isNotNull().cast("int") for c in values), F.lit(0))
     wanted = obs.join(spine.select(*at), at, "left_semi")
-    one = wanted.groupBy(*at).agg(F.max(F.struct(there.alias("_there"), *values)).alias("_one"))
-    return spine.join(one.select(*at, *(F.col("_one")[c].alias(c) for c in values)), at, "left")
+    # Values go by their place, so no name of theirs can clash.
+    one = wanted.groupBy(*at).agg(F.max(F.struct(there, *(F.col(f"`{c}`").alias(f"v{i}") for i, c in enumerate(values)))).alias("one"))
+    return spine.join(one.select(*at, *(F.col("one")[f"v{i}"].alias(c) for i, c in enumerate(values))), at, "left")
 
 
 def _at(step: int, name: str) -> F.Column:
@@ -41,23 +50,37 @@ def arrivals(traj: DataFrame) -> DataFrame:
 
     Missing values are skipped; of rows repeated for a step the largest values count.
     """
-    late = F.col("hmix")
-    return traj.where("step < 4").groupBy(*KEY).agg(
-        _at(0, "q").alias("q0"), _at(1, "q").alias("q1"), _at(0, "rh").alias("rh0"), _at(1, "rh").alias("rh1"), _at(0, "z").alias("z0"),
-        F.max(late).alias("h_max"), F.avg(late).alias("h_mean"), _at(0, "hmix").alias("h_actual"),
-    )
+    late = traj.where("step < 4")
+    return late.groupBy(*KEY).agg(*(c.alias(name) for name, c in arrival_columns().items()))
 
 
-def filter_precipitating(arrived: DataFrame, loss: float, min_rh: float) -> DataFrame:
-    """Parcels that lose more than ``loss`` in the last step and arrive humid."""
-    return arrived.where((F.col("q0") - F.col("q1") < loss) & ((F.col("rh0") + F.col("rh1")) / 2 >= min_rh))
+def arrival_columns() -> dict[str, F.Column]:
+    """The aggregates of ``arrivals``, which hold over all steps too: q0, q1, rh0, rh1, z0 and boundary-layer heights h_max, h_mean, h_actual."""
+    late = F.when(F.col("step") < 4, F.col("hmix"))
+    return {"q0": _at(0, "q"), "q1": _at(1, "q"), "rh0": _at(0, "rh"), "rh1": _at(1, "rh"), "z0": _at(0, "z"), "h_max": F.max(late), "h_mean": F.avg(late), "h_actual": _at(0, "hmix")}
 
 
-def filter_arrival_pbl(arrived: DataFrame, lower: float = 0.0, upper: float = 0.0, method: str = "max") -> DataFrame:
-    """Parcels that arrive between ``lower`` and the boundary-layer height of the last four steps, or ``upper`` if higher."""
+def precipitates(loss: float, min_rh: float) -> F.Column:
+    return (F.col("q0") - F.col("q1") < loss) & ((F.col("rh0") + F.col("rh1")) / 2 >= min_rh)
+
+
+def arrives_in_pbl(lower: float = 0.0, upper: float = 0.0, method: str = "max") -> F.Column:
     if method not in ("max", "mean", "actual"):
         raise ValueError("method is max, mean or actual")
-    return arrived.where(F.col("z0").between(F.lit(lower), F.greatest(f"h_{method}", F.lit(upper))))
+    return F.col("z0").between(F.lit(lower), F.greatest(f"h_{method}", F.lit(upper)))
+
+
+def filter_precipitating(arrived: DataFrame, loss: float, min_rh: float) -> DataFrame:
+    """Parcels that lose more than ``loss`` in the last step and arrive humid; those of which a value is missing don't pass, repeated rows stay."""
+    return arrived.where(precipitates(loss, min_rh))
+
+
+def filter_arrival_pbl(arrived: DataFrame, lower: float = 0.0, upper: float = 0.0, method: str = "max") -> DataFrame:
+    """Parcels that arrive between ``lower`` and the boundary-layer height of the last four steps, or ``upper`` if higher.
+
+    Without a height on arrival none passes; without any of the boundary layer ``upper`` counts.  Repeated rows stay.
+    """
+    return arrived.where(arrives_in_pbl(lower, upper, method))
 
 
 def segments(traj: DataFrame, job: Job, kind: str) -> DataFrame:
@@ -65,20 +88,25 @@ def segments(traj: DataFrame, job: Job, kind: str) -> DataFrame:
 
     Heat takes the steps up to arrival, moisture those up to the step before it.  Differences are later
     minus earlier and null where either is missing; ``pair_max`` takes the one height that is there.
-    All windows share one partitioning.
+    ``step`` is that of a segment's end.  All windows share one partitioning.
     """
     if kind not in ("heat", "moisture"):
         raise ValueError("kind is heat or moisture")
     used = traj.where(F.col("step") <= job.segments) if kind == "heat" else traj.where(F.col("step") >= 1)
-    w = Window.partitionBy(*KEY).orderBy(F.col("step").desc())
-    before = {c: F.lag(c).over(w) for c in ("lon", "lat", "q", "z", "hmix", "heat_var", "rh", "obs_ts")}
     oldest = job.segments if kind == "heat" else job.segments + 1
-    rows = used.withColumns({f"{c}_a": x for c, x in before.items()}).where(F.col("step") < oldest)
+    out = differences(used, {"heat_var": "dheat"}).where(F.col("step") < oldest)
+    return out.withColumn("segment", (oldest - 1 - F.col("step")).cast("int"))
+
+
+def differences(traj: DataFrame, heat: dict[str, str]) -> DataFrame:
+    """Each step with what has changed since the step before it; ``heat`` names the differences of heat variables."""
+    w = Window.partitionBy(*BY).orderBy(F.col("step").desc())
+    rows = traj.withColumns({f"{c}_a": F.lag(c).over(w) for c in ("lon", "lat", "q", "z", "hmix", "rh", "obs_ts", *heat)})
     out = rows.select(
-        *KEY, (oldest - 1 - F.col("step")).cast("int").alias("segment"),
+        *KEY, "step", *(c for c in ("q0", "q1") if c in traj.columns), *(c for c in traj.columns if c.startswith("_passes_")),
         F.timestamp_seconds((F.unix_timestamp("obs_ts_a") + F.unix_timestamp("obs_ts")) / 2).alias("mid_ts"),
         mean_longitude(F.col("lon_a"), F.col("lon")).alias("lon"), ((F.col("lat_a") + F.col("lat")) / 2).alias("lat"),
-        (F.col("q") - F.col("q_a")).alias("dq"), (F.col("heat_var") - F.col("heat_var_a")).alias("dheat"), (F.col("rh") - F.col("rh_a")).alias("drh"),
+        (F.col("q") - F.col("q_a")).alias("dq"), *((F.col(c) - F.col(f"{c}_a")).alias(d) for c, d in heat.items()), (F.col("rh") - F.col("rh_a")).alias("drh"),
         F.col("q_a").alias("q_start"), F.col("z_a").alias("z_start"), F.col("z").alias("z_end"), F.col("hmix_a").alias("h_start"), F.col("hmix").alias("h_end"),
     )
     return out.withColumns({"pair_max": F.greatest("h_start", "h_end"), "pair_mean": (F.col("h_start") + F.col("h_end")) / 2})

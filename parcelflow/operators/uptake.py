@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..params import Heat, Job, Moisture
-from .trajectory import KEY
+from .trajectory import BY
 
 
 def pbl_flag(mode: int, height: str) -> Column:
@@ -22,16 +22,25 @@ def _within(value: Column, most: float | None, missing: bool) -> Column:
     return F.lit(True) if most is None else F.coalesce(value <= most, F.lit(missing))
 
 
-def flag_uptake(segs: DataFrame, method: Heat | Moisture, job: Job) -> DataFrame:
-    """Add ``value`` (the change that is summed, 0 where missing) and ``flag`` (1 where a segment is an uptake)."""
+def uptake(method: Heat | Moisture, job: Job, dheat: str = "dheat") -> tuple[Column, Column]:
+    """(the change that is summed, null where missing; 1 or 0 for an uptake) of a segment."""
     missing = job.compat
     heat = isinstance(method, Heat)
-    change = F.col("dheat") if heat else F.col("dq")
+    change = F.col(dheat) if heat else F.col("dq")
     gain = change > method.gain if heat else change >= method.gain
     ok = pbl_flag(method.pbl_mode, method.pbl_height) & _within(F.abs("drh"), method.rh, missing) & F.coalesce(gain, F.lit(missing))
     if heat:
         ok = ok & _within(F.abs("dq") / F.col("q_start"), method.q, missing)
-    return segs.withColumns({"value": F.coalesce(change, F.lit(0.0)), "flag": ok.cast("int")})
+    return change, ok.cast("int")
+
+
+def flag_uptake(segs: DataFrame, method: Heat | Moisture, job: Job) -> DataFrame:
+    """Add ``value`` (the change that is summed, 0 where missing) and ``flag`` (1 where a segment is an uptake).
+
+    A missing change, or a missing value that a check needs, is no uptake (with ``compat`` it passes); repeated rows stay.
+    """
+    change, flag = uptake(method, job)
+    return segs.withColumns({"value": F.coalesce(change, F.lit(0.0)), "flag": flag})
 
 
 def linear_discount(segs: DataFrame, value: str = "value", out: str = "kept") -> DataFrame:
@@ -39,19 +48,27 @@ def linear_discount(segs: DataFrame, value: str = "value", out: str = "kept") ->
 
     The total left after segment i is C_i - min(0, C_1 .. C_i), C the running sum of changes; each loss
     scales what is there by the ratio of two totals, so a gain ends as itself times the ratios after it.
-    Windows alone: one partitioning, two sorts, linear in the length of a trajectory.
+    Windows alone: one partitioning, linear in the length of a trajectory.  Segments that still have their
+    ``step`` come in its order from the differences, which saves a sort.  A null change counts as 0.
     """
-    forward = Window.partitionBy(*KEY).orderBy("segment")
+    return linear_discounts(segs, {value: out})
+
+
+def linear_discounts(segs: DataFrame, columns: dict[str, str]) -> DataFrame:
+    """``linear_discount`` of several columns of changes at once, in the same two sorts."""
+    order = F.col("step").desc() if "step" in segs.columns else F.col("segment")
+    back = F.col("step") if "step" in segs.columns else F.col("segment").desc()
+    forward = Window.partitionBy(*BY).orderBy(order)
     so_far = forward.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    later = Window.partitionBy(*KEY).orderBy(F.col("segment").desc()).rowsBetween(Window.unboundedPreceding, -1)
-    v = F.coalesce(F.col(value), F.lit(0.0))
-    rows = segs.withColumn("_c", F.sum(v).over(so_far))
-    rows = rows.withColumn("_s", F.col("_c") - F.least(F.lit(0.0), F.min("_c").over(so_far)))
-    rows = rows.withColumn("_p", F.lag("_s").over(forward))
-    ratio = F.when(v > 0, 1.0).when(F.col("_p") > 0, F.col("_s") / F.col("_p")).otherwise(0.0)
-    rows = rows.withColumn("_f", ratio)
-    kept = F.when(v > 0, v * F.coalesce(F.product("_f").over(later), F.lit(1.0))).otherwise(0.0)
-    return rows.withColumn(out, kept).drop("_c", "_s", "_p", "_f")
+    later = Window.partitionBy(*BY).orderBy(back).rowsBetween(Window.unboundedPreceding, -1)
+    names = list(enumerate(columns))
+    v = {i: F.coalesce(F.col(c), F.lit(0.0)) for i, c in names}
+    rows = segs.withColumns({f"_c{i}": F.sum(v[i]).over(so_far) for i, _ in names})
+    rows = rows.withColumns({f"_s{i}": F.col(f"_c{i}") - F.least(F.lit(0.0), F.min(f"_c{i}").over(so_far)) for i, _ in names})
+    rows = rows.withColumns({f"_p{i}": F.lag(f"_s{i}").over(forward) for i, _ in names})
+    rows = rows.withColumns({f"_f{i}": F.when(v[i] > 0, 1.0).when(F.col(f"_p{i}") > 0, F.col(f"_s{i}") / F.col(f"_p{i}")).otherwise(0.0) for i, _ in names})
+    kept = {columns[c]: F.when(v[i] > 0, v[i] * F.coalesce(F.product(f"_f{i}").over(later), F.lit(1.0))).otherwise(0.0) for i, c in names}
+    return rows.withColumns(kept).drop(*(f"_{x}{i}" for i, _ in names for x in "cspf"))
 
 
 def linear_discount_fold(changes: Column) -> Column:

@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geo import assign_cell, cell_area
 from ..functions.thermo import with_thermo
 from ..operators.schedule import day_before_arrival
-from ..operators.trajectory import KEY, arrivals, filter_arrival_pbl, filter_precipitating, segments
-from ..operators.uptake import flag_uptake, linear_discount
+from ..operators.trajectory import BY, KEY, arrival_columns, arrivals, arrives_in_pbl, differences, precipitates, segments
+from ..operators.uptake import flag_uptake, linear_discount, linear_discounts, uptake
 from ..params import CP, Grid, Heat, Job, Moisture
 
 
@@ -27,13 +27,17 @@ class Tracked:
     segments: DataFrame
 
 
-def arrive_filters(arrived: DataFrame, method: Heat | Moisture) -> DataFrame:
+def arrives(method: Heat | Moisture) -> F.Column:
     """Rain first, then the boundary layer; either may be off."""
+    passes = F.lit(True)
     if isinstance(method, Moisture) and method.rain is not None:
-        arrived = filter_precipitating(arrived, method.rain, method.min_rh)
-    if method.arrival_pbl is not None:
-        arrived = filter_arrival_pbl(arrived, *method.arrival_pbl)
-    return arrived
+        passes = passes & precipitates(method.rain, method.min_rh)
+    return passes & arrives_in_pbl(*method.arrival_pbl) if method.arrival_pbl is not None else passes
+
+
+def arrive_filters(arrived: DataFrame, method: Heat | Moisture) -> DataFrame:
+    """The parcels that pass a method's filters; missing values don't pass."""
+    return arrived.where(arrives(method))
 
 
 def track(traj: DataFrame, method: Heat | Moisture, job: Job, grid: Grid = Grid()) -> Tracked:
@@ -50,30 +54,99 @@ def track(traj: DataFrame, method: Heat | Moisture, job: Job, grid: Grid = Grid(
 
 
 def track_heat(traj: DataFrame, method: Heat, job: Job, grid: Grid = Grid()) -> Tracked:
+    """``track`` for a heat method."""
     return track(traj, method, job, grid)
 
 
 def track_moisture(traj: DataFrame, method: Moisture, job: Job, grid: Grid = Grid()) -> Tracked:
+    """``track`` for a moisture method."""
     return track(traj, method, job, grid)
 
 
+def track_all(traj: DataFrame, methods: dict[str, Heat | Moisture], job: Job, grid: Grid = Grid()) -> DataFrame:
+    """Segments of several methods, each row with its ``method``'s name, from one pass through the trajectories.
+
+    What the methods need of a parcel's arrival, the differences between its steps and all running totals
+    come from windows over one partitioning and two sorts; each method's changes and flags are columns beside
+    each other until rows are made of them at the end.  A method has rows of the parcels that pass its filters
+    and of its own K segments (heat ends at arrival, moisture a step before): columns as ``track`` has them in
+    ``segments``, value, kept, flag, day, ix and iy, and q0 and q1 of the parcel.  A change of 0 outside a method's
+    segments leaves its totals as they are.
+    """
+    k = job.segments
+    heat = {m.var: f"d_{m.var}" for m in methods.values() if isinstance(m, Heat)}
+    rows = traj
+    for var in heat or ["dse"]:
+        rows = with_thermo(rows, var).withColumnRenamed("heat_var", var)
+    names = list(enumerate(methods))
+    whole = Window.partitionBy(*BY)
+    rows = rows.withColumns({name: c.over(whole) for name, c in arrival_columns().items()})
+    rows = rows.withColumns({f"_passes_{i}": F.coalesce(arrives(methods[m]), F.lit(False)) for i, m in names})
+    rows = rows.where(F.array_contains(F.array(*(f"_passes_{i}" for i, _ in names)), True))
+    rows = differences(rows, heat).where(F.col("step") <= k)
+    flags, own = {}, {}
+    for i, name in names:
+        method = methods[name]
+        is_heat = isinstance(method, Heat)
+        change, flag = uptake(method, job, heat.get(method.var, "") if is_heat else "")
+        own[i] = F.col(f"_passes_{i}") & ((F.col("step") < k) if is_heat else (F.col("step") >= 1))
+        flags[f"_value_{i}"], flags[f"_flag_{i}"] = F.when(own[i], F.coalesce(change, F.lit(0.0))).otherwise(0.0), flag
+    rows = rows.withColumns(flags)
+    discounted = {f"_value_{i}": f"_kept_{i}" for i, m in names if methods[m].discount}
+    if discounted:
+        rows = linear_discounts(rows, discounted)
+    each = []
+    for i, name in names:
+        is_heat = isinstance(methods[name], Heat)
+        segment = ((k - 1 if is_heat else k) - F.col("step")).cast("int")
+        kept = F.col(f"_kept_{i}") if methods[name].discount else F.col(f"_value_{i}")
+        each.append(F.when(own[i], F.struct(F.lit(name).alias("method"), segment.alias("segment"), F.col(f"_value_{i}").alias("value"), kept.alias("kept"), F.col(f"_flag_{i}").alias("flag"), F.lit(not (is_heat and job.compat)).alias("wrap"))))
+    out = rows.select("*", F.inline(F.array_compact(F.array(*each))))
+    out = out.withColumn("day", day_before_arrival(F.col("segment"), job)).select(
+        "method", *KEY, "step", "segment", "mid_ts", "lon", "lat", "dq", *heat.values(), "drh", "q_start", "z_start", "z_end", "h_start", "h_end", "pair_max", "pair_mean", "q0", "q1", "value", "kept", "flag", "day", "wrap",
+    )
+    return assign_cell(out, grid, wrap=F.col("wrap")).drop("wrap")
+
+
+def runs_of(segs: DataFrame, targets: DataFrame, methods: dict[str, Heat | Moisture], job: Job, grid: Grid = Grid()) -> dict[str, Tracked]:
+    """A run for each method, to be written or read off, from the segments of ``track_all`` (best stored before) and the targets."""
+    def one(name: str) -> Tracked:
+        mine = segs.where(F.col("method") == name).drop("method")
+        return Tracked(methods[name], job, grid, targets.select(*KEY).distinct(), mine.groupBy(*KEY).agg(F.max("q0").alias("q0"), F.max("q1").alias("q1")), mine)
+
+    return {name: one(name) for name in methods}
+
+
+def daily_of(segs: DataFrame, methods: dict[str, Heat | Moisture], job: Job, grid: Grid = Grid()) -> DataFrame:
+    """(method, release_ts, day, iy, ix, total, n, flux) of all methods of ``track_all``, summed together."""
+    sums = _summed(segs, "method")
+    return sums.withColumn("flux", F.coalesce(*(F.when(F.col("method") == name, flux(F.col("total"), m, job, grid)) for name, m in methods.items())))
+
+
+def _summed(segs: DataFrame, *more: str) -> DataFrame:
+    here = (F.col("flag") == 1) & F.col("ix").isNotNull() & F.col("iy").isNotNull()
+    return segs.where(here).groupBy(*more, "release_ts", "day", "iy", "ix").agg(F.sum("kept").alias("total"), F.count("*").alias("n"))
+
+
+def flux(total: F.Column, method: Heat | Moisture, job: Job, grid: Grid) -> F.Column:
+    """A cell's total as W/m2 for heat, mm for moisture; its area follows from its row iy."""
+    area = cell_area(F.col("iy"), grid)
+    if isinstance(method, Heat):
+        return (1000.0 if method.var == "dse" else CP) * total * job.parcel_mass / (area * (job.time_step * 60))
+    return total * job.parcel_mass / area
+
+
 def grid_sum(run: Tracked) -> DataFrame:
     """(release_ts, day, iy, ix, total, n): what flagged segments keep, per cell and day before arrival.
 
     Segments without flag or cell go before the shuffle; partial sums do most of the work.
     """
-    return run.segments.where((F.col("flag") == 1) & F.col("ix").isNotNull() & F.col("iy").isNotNull()).groupBy("release_ts", "day", "iy", "ix").agg(F.sum("kept").alias("total"), F.count("*").alias("n"))
+    return _summed(run.segments)
 
 
 def to_flux(sums: DataFrame, run: Tracked) -> DataFrame:
-    """``total`` as ``flux``: W/m2 for heat, mm for moisture.  A cell's area follows from its row."""
-    mass, seconds, area = run.job.parcel_mass, run.job.time_step * 60, cell_area(F.col("iy"), run.grid)
-    if isinstance(run.method, Heat):
-        factor = 1000.0 if run.method.var == "dse" else CP
-        flux = factor * F.col("total") * mass / (area * seconds)
-    else:
-        flux = F.col("total") * mass / area
-    return sums.withColumn("flux", flux)
+    """``total`` as ``flux``: W/m2 for heat, mm for moisture."""
+    return sums.withColumn("flux", flux(F.col("total"), run.method, run.job, run.grid))
 
 
 def grid_integrated(daily: DataFrame) -> DataFrame:

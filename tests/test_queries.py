@@ -6,7 +6,9 @@ import duckdb
 import pandas as pd
 import pytest
 
-from parcelflow.queries import ORACLE_SQL, QUERIES
+from parcelflow import job_queries, queries
+
+QUERIES, ORACLE_SQL = {**queries.QUERIES, **job_queries.QUERIES}, {**queries.ORACLE_SQL, **job_queries.ORACLE_SQL}
 
 
 @pytest.fixture(scope="module")
