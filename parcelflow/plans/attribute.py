@@ -79,7 +79,8 @@ def track_all(traj: DataFrame, methods: dict[str, Heat | Moisture], job: Job, gr
     for var in heat or ["dse"]:
         rows = with_thermo(rows, var).withColumnRenamed("heat_var", var)
     names = list(enumerate(methods))
-    whole = Window.partitionBy(*BY)
+    # Ordered as the differences are, so that both need one sort.
+    whole = Window.partitionBy(*BY).orderBy(F.col("step").desc()).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     rows = rows.withColumns({name: c.over(whole) for name, c in arrival_columns().items()})
     rows = rows.withColumns({f"_passes_{i}": F.coalesce(arrives(methods[m]), F.lit(False)) for i, m in names})
     rows = rows.where(F.array_contains(F.array(*(f"_passes_{i}" for i, _ in names)), True))

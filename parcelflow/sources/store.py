@@ -30,7 +30,13 @@ def write_store(obs: DataFrame, table: str, path: str, buckets: int = 64) -> Non
     rows = obs.where("obs_ts is not null and parcel_id is not null").withColumn("obs_date", F.to_date("obs_ts"))
     if spark.catalog.tableExists(table):
         have = spark.table(table)
-        rows.select(*have.columns).repartition(buckets_of(spark, table), "parcel_id").write.option("partitionOverwriteMode", "dynamic").insertInto(table, overwrite=True)
+        # An insert heeds the session alone: by days, not the whole table.
+        before = spark.conf.get("spark.sql.sources.partitionOverwriteMode")
+        spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
+        try:
+            rows.select(*have.columns).repartition(buckets_of(spark, table), "parcel_id").write.insertInto(table, overwrite=True)
+        finally:
+            spark.conf.set("spark.sql.sources.partitionOverwriteMode", before)
         return
     # The columns' order is the table's: partition columns last.
     rows = rows.select(*(c for c in rows.columns if c != "obs_date"), "obs_date").repartition(buckets, "parcel_id")
@@ -45,7 +51,9 @@ def stored_trajectories(spark: SparkSession, table: str, targets: DataFrame, job
     """``trajectories`` of targets (release_ts, parcel_id) over a store, without shuffling its observations.
 
     Only the days of the targets' steps are opened; at most FEW_PARCELS targets' parcels are named in the scan too.
+    The session is told that joins on (parcel_id, obs_ts) may meet where both sides lie by parcel_id alone.
     """
+    spark.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
     releases = targets.select("release_ts").distinct()
     steps = step_schedule(releases, job)
     obs = spark.table(table).where(F.col("obs_date").isin(needed_days(steps))).drop("obs_date")
