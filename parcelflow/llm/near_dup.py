@@ -6,9 +6,9 @@ alone, and it counts if it falls below the element's weight.  About k ln k + 2k
 whatever its length; each has a coordinate, and the earliest dart of each of the k coordinates makes the
 signature.  Two signatures agree in a coordinate with the probability of the weighted Jaccard similarity.
 
-Signatures are joined in bands.  In a band's bucket every text is compared with two leaders (stars, not
+Signatures are joined in bands.  In a band's bucket every text is compared with its least text (stars, not
 all pairs) on all of its shingles, which are told apart by 64-bit hashes.  Where a bucket then still
-holds different classes, the texts outside the main one meet further leaders for some rounds.  What is
+holds different classes, the texts outside the main one meet two further leaders.  What is
 left meets the texts of other classes in its bucket, under an exact bound of what the two can share, so
 texts that merely have much in common are told apart without their shingles.  No candidate of different
 classes is left out.  Classes are connected components of the links.
@@ -33,8 +33,8 @@ WORDS, SIMILARITY = 5, 0.8
 BANDS, ROWS = 24, 5
 #: Candidate ids that are broadcast at most; beyond that they are joined by a shuffle.
 BROADCAST_ROWS = 200_000
-#: Rounds in which texts outside their bucket's main class meet further leaders, before the rest is compared in full.
-LEADER_ROUNDS = 3
+#: Rounds in which texts outside their bucket's main class meet two further leaders, before the rest is compared in full.
+LEADER_ROUNDS = 1
 #: Groups of hashes in which shared shingles are counted to bound an overlap.
 GROUPS = 64
 #: Parts that the pairs of one leader are dealt over; its shingles are sent once to each.
@@ -298,14 +298,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # Equal texts: the least id stands for all of them.
     texts = scratch.stored(signed.groupBy("digest").agg(F.min("doc_id").alias("node"), F.any_value("bands").alias("bands")), "texts")
     bands = texts.select("node", F.explode("bands").alias("band"))
-    # Two leaders of each bucket, the nearest and farthest to the band's key in the bits of their ids: any
-    # text may lead, and another one in each band.
-    turned = F.col("node").bitwiseXOR(F.col("band"))
-    buckets = bands.groupBy("band").agg(F.min(turned).alias("lo"), F.max(turned).alias("hi")).where("lo != hi")
-    members = scratch.stored(bands.join(buckets, "band").withColumns({c: F.col(c).bitwiseXOR(F.col("band")) for c in ("lo", "hi")}), "buckets")
+    # The least text of a bucket leads it: near copies meet in many bands, and mostly under the same one.
+    buckets = bands.groupBy("band").agg(F.min("node").alias("first"), F.max("node").alias("last")).where("first != last")
+    members = scratch.stored(bands.join(buckets.select("band", "first"), "band"), "buckets")
     star = lambda df, c: df.where(F.col("node") != F.col(c)).select(F.least("node", c).alias("a"), F.greatest("node", c).alias("b"), F.col(c).alias("lead"))
-    stars = lambda df: star(df, "lo").unionByName(star(df, "hi")).groupBy("a", "b").agg(F.min("lead").alias("lead"))
-    pairs = scratch.stored(stars(members), "pairs")
+    once = lambda df: df.groupBy("a", "b").agg(F.min("lead").alias("lead"))
+    pairs = scratch.stored(once(star(members, "first")), "pairs")
     nodes = scratch.stored(members.select(F.col("node").alias("doc_id")).distinct(), "nodes")
     wanted = F.broadcast(nodes) if nodes.count() <= BROADCAST_ROWS else nodes
     sets = scratch.stored(_sets(numbered.join(wanted, "doc_id", "left_semi").select(F.col("doc_id").alias("node"), "text"), weighted).dropDuplicates(["node", "h", "n"]), "shingles")
@@ -330,7 +328,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         held = rest.join(common, "node", "left").withColumn("best", F.struct(F.coalesce(F.col("common") / F.col("size"), F.lit(0.0)).alias("share"), "node"))
         leaders = held.groupBy("band").agg(F.max(F.when(F.col("root") == F.col("main"), F.col("best")))["node"].alias("lo"), F.max(F.when(F.col("root") != F.col("main"), F.col("best")))["node"].alias("hi"))
         led = rest.where("root != main").join(leaders, "band")
-        new = scratch.stored(stars(led).join(pairs, ["a", "b"], "left_anti"), "pairs")
+        new = scratch.stored(once(star(led, "lo").unionByName(star(led, "hi"))).join(pairs, ["a", "b"], "left_anti"), "pairs")
         if new.isEmpty():
             break
         pairs = pairs.unionByName(new)
