@@ -624,3 +624,36 @@ def test_slices_are_bounded_and_whole():
     batch = pa.record_batch([pa.array(range(8)), pa.array(texts)], names=["i", "t"])
     parts = list(slices(iter([batch, batch.slice(0, 0)]), limit=10))
     assert [r for p in parts for r in p.column(1).to_pylist()] == [t or "" for t in texts] and all(p.num_rows == 1 or sum(map(len, p.column(1).to_pylist())) <= 10 for p in parts)
+
+
+@pytest.mark.parametrize("n", [1, 5, 10, 14, 20, 28, 40, 59, 60, 150, 1000])
+@pytest.mark.parametrize("where", ["start", "middle", "end", "any"])
+def test_recall_of_sampled_walks_by_size_and_place(n, where):
+    """At the most edits; exact copies, which items under ten words have to be, are always found."""
+    def places(n, e, rng):
+        return rng.sample(range(n), e) if where == "any" else range({"start": 0, "middle": (n - e) // 2, "end": n - e}[where], {"start": e, "middle": (n + e) // 2, "end": n}[where])
+
+    assert planted_recall([n] * (300 if n < 100 else 30), places, 100 + n) >= (0.95 if n >= 10 else 1)
+
+
+def test_walks_of_windows_that_meet_are_those_of_single_windows():
+    """Collisions of the joint walk against walks of every window by itself."""
+    rng = random.Random(3)
+    items = [" ".join(f"w{rng.randint(0, 30)}" for _ in range(n)) for n in (1, 4, 12, 25, 39, 70) for _ in range(4)]
+    it = decontaminate.Items(list(range(len(items))), items)
+    words, offsets = decontaminate.word_sequences(pa.array([" ".join(f"w{rng.randint(0, 30)}" for _ in range(400)) + " " + items[9], items[20] + " x", "", "w1"]))
+    end = decontaminate._END
+    seq = np.concatenate([[end], np.insert(words, offsets[1:], end)])
+    vocabulary, code = np.unique(seq, return_inverse=True)
+    for walk, classes in enumerate(it.walks):
+        own = code[::-1] if walk % 2 else code
+        start = np.flatnonzero(vocabulary[own] != end).astype(np.int32)
+        got = {(id(r), int(w)) for r, window, where in it._collisions(classes, walk, vocabulary, own, start) for w in window} if classes else set()
+        want = set()
+        for r in classes:
+            for steps, (keys, order) in zip(r.steps, r.of):
+                key = np.zeros(len(start), np.uint64)
+                for at in decontaminate._pointers(vocabulary[own], start.astype(np.int64), walk, steps):
+                    key = decontaminate.mix(key ^ vocabulary[own][at])
+                want |= {(id(r), int(w)) for k, w in zip(keys, order) if k in set(key.tolist())}
+        assert got == want and (want or not classes)
