@@ -70,16 +70,16 @@ QUERIES = {f.__name__: f for f in (op1_token_counts, op2_decontaminate, op3_near
 ORACLE_SQL = {
     "op5_url_filter": """
 WITH cut AS (
-  SELECT page_id, regexp_extract(CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END, '^[^?#]*') AS rest FROM pages
+  SELECT row_number() OVER () AS n, page_id, regexp_extract(CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END, '^[^?#]*') AS rest FROM pages
 ), parts AS (
-  SELECT page_id, translate(regexp_extract(rest, '^[^/]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+  SELECT n, page_id, translate(regexp_extract(rest, '^[^/]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
          substr(rest, length(regexp_extract(rest, '^[^/]*')) + 1) AS path FROM cut
 ), rules(verdict, rule_host, rule_path) AS (
   VALUES ('allow', 'org', '/'), ('block', 'example.org', '/es/'), ('block', 'example.org', '/en/1'), ('allow', 'com', '/fr/'), ('block', 'com', '/de/')
 ), fits AS (
-  SELECT page_id, host, path, max_by(rule_host || rule_path, length(rule_host || rule_path) * 1000 + length(rule_host)) AS rule,
+  SELECT n, page_id, host, path, max_by(rule_host || rule_path, length(rule_host || rule_path) * 1000 + length(rule_host)) AS rule,
          max_by(verdict, length(rule_host || rule_path) * 1000 + length(rule_host)) AS found
-  FROM (SELECT page_id, any_value(host) AS host, any_value(path) AS path FROM parts GROUP BY page_id)
+  FROM parts
   LEFT JOIN rules ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path)
   GROUP BY ALL
 )

@@ -23,14 +23,14 @@ from pyspark.sql import functions as F
 
 from .storage import file_system, fresh
 
-MAGIC = b"URLKEYS1"
-HEAD = struct.Struct("<8sQQ")
+MAGIC = b"URLKEYS2"
+HEAD = struct.Struct("<8sQQQ")
 SCHEMA = "page_id bigint, host string, path string, rule string, verdict string"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def index_bytes(rules: Iterable[tuple[str, str]]) -> bytes:
-    """Rules ("allow" or "block", host + path) as keys | string offsets | strings | verdicts.
+    """Rules ("allow" or "block", host + path) as path lengths | keys | string offsets | strings | verdicts.
 
     A rule's host is lower-cased; a rule without a path gets "/" so that it can't end inside a host.  Of
     rules given twice the last counts.
@@ -45,7 +45,8 @@ def index_bytes(rules: Iterable[tuple[str, str]]) -> bytes:
     strings = b"".join(k for _, k, _ in rows)
     keys = np.array([r[0] for r in rows], "<u8").tobytes()
     offsets = np.cumsum([0, *(len(r[1]) for r in rows)]).astype("<u8").tobytes()
-    return HEAD.pack(MAGIC, len(rows), len(strings)) + keys + offsets + strings + np.array([r[2] for r in rows], np.uint8).tobytes()
+    lengths = np.array(sorted({len(k) - k.index(b"/") for k in table}), "<u8")  # what has to be tried of a url's path
+    return HEAD.pack(MAGIC, len(lengths), len(rows), len(strings)) + lengths.tobytes() + keys + offsets + strings + np.array([r[2] for r in rows], np.uint8).tobytes()
 
 
 class Index:
@@ -53,18 +54,15 @@ class Index:
 
     def __init__(self, path: str):
         with open(path, "rb") as f:
-            magic, n, size = HEAD.unpack(f.read(HEAD.size))
+            magic, m, n, size = HEAD.unpack(f.read(HEAD.size))
         if magic != MAGIC:
             raise ValueError("no url index")
-        self.keys = np.memmap(path, "<u8", "r", HEAD.size, (n,)) if n else np.zeros(0, np.uint64)
-        self.offsets = np.memmap(path, "<u8", "r", HEAD.size + 8 * n, (n + 1,))
-        at = HEAD.size + 16 * n + 8
-        self.strings = np.memmap(path, np.uint8, "r", at, (size,)) if size else np.zeros(0, np.uint8)
-        self.block = np.memmap(path, np.uint8, "r", at + size, (n,)) if n else np.zeros(0, np.uint8)
-        # Lengths of the rules' paths: what has to be tried of a url's path.
-        raw = self.strings.tobytes()
-        ends = self.offsets.tolist()
-        self.lengths = sorted({b - raw.index(b"/", a) for a, b in zip(ends, ends[1:])})
+        mapped = lambda kind, at, count: np.memmap(path, kind, "r", at, (count,)) if count else np.zeros(0, kind)
+        self.lengths = mapped("<u8", HEAD.size, m).tolist()
+        at = HEAD.size + 8 * m
+        self.keys, self.offsets = mapped("<u8", at, n), mapped("<u8", at + 8 * n, n + 1)
+        at += 16 * n + 8
+        self.strings, self.block = mapped(np.uint8, at, size), mapped(np.uint8, at + size, n)
 
     def find(self, candidates: list[bytes]) -> np.ndarray:
         """Position of the rule that equals each candidate, or -1."""
@@ -86,6 +84,18 @@ class Index:
         return self.strings[int(self.offsets[j]) : int(self.offsets[j + 1])].tobytes().decode(), "block" if self.block[j] else "allow"
 
 
+def _distinct(texts: pa.Array) -> tuple[list[bytes], np.ndarray]:
+    """(distinct strings as bytes, which of them each row has)."""
+    coded = texts.cast(pa.binary()).dictionary_encode()
+    return coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def _suffixes(host: bytes) -> list[bytes]:
+    """A host and the domains above it; none of an empty host."""
+    parts = host.split(b".")
+    return [b".".join(parts[i:]) for i in range(len(parts))] if host else []
+
+
 _indexes: dict[str, Index] = {}
 
 
@@ -118,25 +128,29 @@ def judge_urls(pages: DataFrame, rules: Iterable[tuple[str, str]], default: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = _indexes.get(name) or _indexes.setdefault(name, Index(SparkFiles.get(name)))
         for batch in batches:
-            candidates, owners, sizes = [], [], []
-            for i, (host, path) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())):
-                if not host:
-                    continue
-                raw, host = path.encode(), host.encode()
-                heads = [raw[:n] for n in index.lengths if n <= len(raw)]
-                while True:
-                    for head in heads:
-                        candidates.append(host + head)
-                        owners.append(i)
-                        sizes.append((len(host) + len(head)) * 4096 + min(len(host), 4095))
-                    _, dot, host = host.partition(b".")
-                    if not dot:
-                        break
-            found = index.find(candidates)
-            best: dict[int, tuple[int, int]] = {}
-            for k in np.flatnonzero(found >= 0).tolist():
-                best[owners[k]] = max(best.get(owners[k], (-1, -1)), (sizes[k], int(found[k])))
-            hits = [index.rule(best[i][1]) if i in best else (None, default) for i in range(batch.num_rows)]
-            yield pa.record_batch([*batch.columns, pa.array([h[0] for h in hits], pa.string()), pa.array([h[1] for h in hits], pa.string())], names=["page_id", "host", "path", "rule", "verdict"])
+            hosts, of_host = _distinct(batch.column(1))
+            paths, of_path = _distinct(batch.column(2))
+            # Each distinct host's suffixes and each distinct path's heads once; then each distinct pair of both.
+            suffixes = [_suffixes(h) for h in hosts]
+            heads = [[p[:n] for n in index.lengths if n <= len(p)] for p in paths]
+            pairs, of_pair = np.unique(of_host * max(1, len(paths)) + of_path, return_inverse=True)
+            candidates: dict[bytes, int] = {}
+            owners, numbers, hosts_len = [], [], []
+            for k, pair in enumerate(pairs.tolist()):
+                h, p = divmod(pair, max(1, len(paths)))
+                for host in suffixes[h]:
+                    for head in heads[p]:
+                        owners.append(k)
+                        numbers.append(candidates.setdefault(host + head, len(candidates)))
+                        hosts_len.append(len(host))
+            texts = list(candidates)
+            found = index.find(texts)[numbers] if numbers else np.zeros(0, np.int64)
+            best: dict[int, tuple[int, int, int]] = {}
+            for i in np.flatnonzero(found >= 0).tolist():
+                mine = (len(texts[numbers[i]]), hosts_len[i], int(found[i]))
+                best[owners[i]] = max(best.get(owners[i], (-1, -1, -1)), mine)
+            hits = [index.rule(best[k][2]) if k in best else (None, default) for k in range(len(pairs))]
+            rule, verdict = (pa.array([h[j] for h in hits], pa.string()).take(pa.array(of_pair)) for j in (0, 1))
+            yield pa.record_batch([*batch.columns, rule, verdict], names=["page_id", "host", "path", "rule", "verdict"])
 
     return split.mapInArrow(run, SCHEMA)
