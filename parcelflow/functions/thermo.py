@@ -9,7 +9,8 @@ from ..params import CP, G0, R_SPECIFIC, T_REF, VIRTUAL_EPSILON
 
 
 def mixing_ratio(q: Column) -> Column:
-    return -q / (q - 1)
+    """Mass of vapour per mass of dry air, from specific humidity; a humidity of 1 or null gives null."""
+    return F.when(q != 1, -q / (q - 1))
 
 
 def pressure_pa(q: Column, t_k: Column, rho: Column) -> Column:
@@ -19,6 +20,7 @@ def pressure_pa(q: Column, t_k: Column, rho: Column) -> Column:
 
 
 def potential_temperature(q: Column, t_k: Column, rho: Column) -> Column:
+    """Temperature that a parcel has at 1000 hPa, in K, with the exponent of moist air; null where it isn't a number."""
     hpa = pressure_pa(q, t_k, rho) / 100
     return F.nanvl(t_k * F.pow(1000 / hpa, 0.2854 * (1 - 0.00028 * (mixing_ratio(q) * 1000))), F.lit(None).cast("double"))
 

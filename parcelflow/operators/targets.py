@@ -146,5 +146,9 @@ def _descend(points: DataFrame, cells: DataFrame, key: list[str], n: int, west:
 
 
 def select_targets(arrivals: DataFrame, mask: DataFrame, value: int = 1) -> DataFrame:
-    """Distinct (release_ts, parcel_id) of arrivals (release_ts, parcel_id, lon, lat) over cells of the wanted value."""
+    """Distinct (release_ts, parcel_id) of arrivals (release_ts, parcel_id, lon, lat) over cells of the wanted value.
+
+    Values are cut to integers before they are compared.  Arrivals without coordinates, and cells without a value,
+    are over nothing; of repeated arrivals of a parcel one that is over the region is enough.
+    """
     return nearest_mask(arrivals, mask).where(F.col("mask_value").cast("int") == value).select("release_ts", "parcel_id").distinct()

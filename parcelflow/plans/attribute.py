@@ -44,13 +44,20 @@ def track(traj: DataFrame, method: Heat | Moisture, job: Job, grid: Grid = Grid(
     """Follow one method through trajectories (release_ts, parcel_id, step, obs_ts, lon, lat, q, z, hmix, rho, t_k)."""
     heat = isinstance(method, Heat)
     full = with_thermo(traj, method.var if heat else "dse")
-    arrived = arrive_filters(arrivals(full), method)
-    filtered = method.arrival_pbl is not None or (not heat and method.rain is not None)
-    used = full.join(arrived.select(*KEY), KEY, "left_semi") if filtered else full
+    used = full
+    if method.arrival_pbl is not None or (not heat and method.rain is not None):
+        # The filters' columns come from windows that the differences need too: nothing is read or joined a second time.
+        seen = {name: c.over(_all_steps()) for name, c in arrival_columns().items()}
+        used = full.withColumns(seen).where(arrives(method)).drop(*seen)
     segs = flag_uptake(segments(used, job, "heat" if heat else "moisture"), method, job)
     segs = linear_discount(segs) if method.discount else segs.withColumn("kept", F.col("value"))
     segs = segs.withColumn("day", day_before_arrival(F.col("segment"), job))
-    return Tracked(method, job, grid, full.select(*KEY).distinct(), arrived, assign_cell(segs, grid, wrap=not (heat and job.compat)))
+    return Tracked(method, job, grid, full.select(*KEY).distinct(), arrive_filters(arrivals(full), method), assign_cell(segs, grid, wrap=not (heat and job.compat)))
+
+
+def _all_steps():
+    """All steps of a trajectory, in the order of its differences, so that both need one sort."""
+    return Window.partitionBy(*BY).orderBy(F.col("step").desc()).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
 
 
 def track_heat(traj: DataFrame, method: Heat, job: Job, grid: Grid = Grid()) -> Tracked:
@@ -79,9 +86,7 @@ def track_all(traj: DataFrame, methods: dict[str, Heat | Moisture], job: Job, gr
     for var in heat or ["dse"]:
         rows = with_thermo(rows, var).withColumnRenamed("heat_var", var)
     names = list(enumerate(methods))
-    # Ordered as the differences are, so that both need one sort.
-    whole = Window.partitionBy(*BY).orderBy(F.col("step").desc()).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    rows = rows.withColumns({name: c.over(whole) for name, c in arrival_columns().items()})
+    rows = rows.withColumns({name: c.over(_all_steps()) for name, c in arrival_columns().items()})
     rows = rows.withColumns({f"_passes_{i}": F.coalesce(arrives(methods[m]), F.lit(False)) for i, m in names})
     rows = rows.where(F.array_contains(F.array(*(f"_passes_{i}" for i, _ in names)), True))
     rows = differences(rows, heat).where(F.col("step") <= k)
