@@ -340,7 +340,8 @@ def item_files(benchmark: DataFrame, block: int = ITEM_BLOCK, words: int = WORD_
         return []
     path = fresh(benchmark.sparkSession, "items")
     parts = max(-(-n // block), -(-size // words))
-    rows.repartitionByRange(parts, "item_id", "text").sortWithinPartitions("item_id", "text").write.option("maxRecordsPerFile", block).parquet(path)
+    # Few files, however many ranges there are: each is compared with all documents.
+    rows.repartitionByRange(parts, "item_id", "text").sortWithinPartitions("item_id", "text").coalesce(parts).write.option("maxRecordsPerFile", block).parquet(path)
     system, at = file_system(path)
     names = [i.base_name for i in system.get_file_info(FileSelector(at)) if i.base_name.startswith("part-")]
     return [f"{path}/{name}" for name in sorted(names)]
