@@ -47,24 +47,20 @@ def cell_area(iy: Column, grid: Grid) -> Column:
 def assign_cell(points: DataFrame, grid: Grid, wrap: bool | Column = True) -> DataFrame:
     """Add ix and iy; a point on a cell's edge, outside the grid or nowhere has a null in either or both.
 
-    Cells are found by division, so no join with the grid is needed; close to an edge the edge itself
-    decides, as division may round over it.  ``wrap`` (for some rows, if a column) puts longitudes into
-    0..360 on grids that run over 180 degrees.
+    Cells are found by division, so no join with the grid is needed: the nearest edge is that of the rounded
+    quotient, and the side of it on which a point lies decides.  ``wrap`` (for some rows, if a column) puts
+    longitudes into 0..360 on grids that run over 180 degrees.
     """
     x = F.col("lon")
     if grid.centred_180 and wrap is not False:
         x = wrap_longitude(x) if wrap is True else F.when(wrap, wrap_longitude(x)).otherwise(x)
-    axes = {"ix": (x, grid.lon0, grid.nx), "iy": (F.col("lat"), grid.lat0, grid.ny)}
-    # A generated row of the coordinates: filters on cells stay above it, so their long expressions aren't written out for each use.
-    out = points.select("*", F.inline(F.array(F.struct(*(value.alias(f"_{name}") for name, (value, _, _) in axes.items())))))
-    for name, (_, low, _) in axes.items():
-        out = out.withColumn(f"_{name}u", (F.col(f"_{name}") - low) / grid.resolution)
-    for name, (_, low, n) in axes.items():
-        v, u = F.col(f"_{name}"), F.col(f"_{name}u")
-        near = F.rint(u)
+    # Generated rows, of the coordinates and of the cells: filters on cells stay above them, so no long expression is written out twice.
+    out = points.select("*", F.inline(F.array(F.struct(x.alias("_x"), F.col("lat").alias("_y")))))
+    cells = []
+    for name, value, low, n in (("ix", F.col("_x"), grid.lon0, grid.nx), ("iy", F.col("_y"), grid.lat0, grid.ny)):
+        near = F.rint((value - low) / grid.resolution)
         edge = low + near * grid.resolution
-        index = F.when(F.abs(u - near) > 1e-9, F.floor(u)).when(v > edge, near.cast("bigint")).when(v < edge, near.cast("bigint") - 1)
-        out = out.withColumn(name, F.when((u > -0.5) & (u < n + 0.5), index))
-    for name, (_, _, n) in axes.items():
-        out = out.withColumn(name, F.when(F.col(name).between(0, n - 1), F.col(name)))
-    return out.drop(*(f"_{name}{x}" for name in axes for x in ("", "u")))
+        inside = (near >= 0) & (near <= n)  # else the index may not fit a bigint
+        index = F.when(inside & (value > edge) & (near < n), near).when(inside & (value < edge) & (near > 0), near - 1)
+        cells.append(index.cast("bigint").alias(name))
+    return out.select("*", F.inline(F.array(F.struct(*cells)))).drop("_x", "_y")

@@ -60,6 +60,12 @@ def arrival_columns() -> dict[str, F.Column]:
     return {"q0": _at(0, "q"), "q1": _at(1, "q"), "rh0": _at(0, "rh"), "rh1": _at(1, "rh"), "z0": _at(0, "z"), "h_max": F.max(late), "h_mean": F.avg(late), "h_actual": _at(0, "hmix")}
 
 
+def arrival_windows() -> dict[str, F.Column]:
+    """``arrival_columns`` over all steps of a trajectory, in the order of its differences, so that both need one sort and one pass."""
+    steps = Window.partitionBy(*BY).orderBy(F.col("step").desc()).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    return {name: c.over(steps) for name, c in arrival_columns().items()}
+
+
 def precipitates(loss: float, min_rh: float) -> F.Column:
     return (F.col("q0") - F.col("q1") < loss) & ((F.col("rh0") + F.col("rh1")) / 2 >= min_rh)
 
@@ -92,18 +98,25 @@ def segments(traj: DataFrame, job: Job, kind: str) -> DataFrame:
     """
     if kind not in ("heat", "moisture"):
         raise ValueError("kind is heat or moisture")
-    used = traj.where(F.col("step") <= job.segments) if kind == "heat" else traj.where(F.col("step") >= 1)
+    return in_window(differences(traj, {"heat_var": "dheat"}), job, kind)
+
+
+def in_window(rows: DataFrame, job: Job, kind: str) -> DataFrame:
+    """The steps of ``differences`` that end a segment of a kind, numbered from the oldest."""
     oldest = job.segments if kind == "heat" else job.segments + 1
-    out = differences(used, {"heat_var": "dheat"}).where(F.col("step") < oldest)
-    return out.withColumn("segment", (oldest - 1 - F.col("step")).cast("int"))
+    return rows.where((F.col("step") < oldest) & (F.col("step") >= oldest - job.segments)).withColumn("segment", (oldest - 1 - F.col("step")).cast("int"))
+
 
+def differences(traj: DataFrame, heat: dict[str, str], more: dict[str, F.Column] | None = None) -> DataFrame:
+    """Each step with what has changed since the step before it; ``heat`` names the differences of heat variables.
 
-def differences(traj: DataFrame, heat: dict[str, str]) -> DataFrame:
-    """Each step with what has changed since the step before it; ``heat`` names the differences of heat variables."""
+    ``more`` has columns that are taken over whole trajectories on the way (see ``arrival_windows``).
+    """
     w = Window.partitionBy(*BY).orderBy(F.col("step").desc())
-    rows = traj.withColumns({f"{c}_a": F.lag(c).over(w) for c in ("lon", "lat", "q", "z", "hmix", "rh", "obs_ts", *heat)})
+    more = more or {}
+    rows = traj.withColumns({f"{c}_a": F.lag(c).over(w) for c in ("lon", "lat", "q", "z", "hmix", "rh", "obs_ts", *heat)} | more)
     out = rows.select(
-        *KEY, "step", *(c for c in ("q0", "q1") if c in traj.columns), *(c for c in traj.columns if c.startswith("_passes_")),
+        *KEY, "step", *more,
         F.timestamp_seconds((F.unix_timestamp("obs_ts_a") + F.unix_timestamp("obs_ts")) / 2).alias("mid_ts"),
         mean_longitude(F.col("lon_a"), F.col("lon")).alias("lon"), ((F.col("lat_a") + F.col("lat")) / 2).alias("lat"),
         (F.col("q") - F.col("q_a")).alias("dq"), *((F.col(c) - F.col(f"{c}_a")).alias(d) for c, d in heat.items()), (F.col("rh") - F.col("rh_a")).alias("drh"),

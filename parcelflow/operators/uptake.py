@@ -63,9 +63,12 @@ def linear_discounts(segs: DataFrame, columns: dict[str, str]) -> DataFrame:
     later = Window.partitionBy(*BY).orderBy(back).rowsBetween(Window.unboundedPreceding, -1)
     names = list(enumerate(columns))
     v = {i: F.coalesce(F.col(c), F.lit(0.0)) for i, c in names}
+    before = forward.rowsBetween(Window.unboundedPreceding, -1)
+    zero = F.lit(0.0)
     rows = segs.withColumns({f"_c{i}": F.sum(v[i]).over(so_far) for i, _ in names})
-    rows = rows.withColumns({f"_s{i}": F.col(f"_c{i}") - F.least(F.lit(0.0), F.min(f"_c{i}").over(so_far)) for i, _ in names})
-    rows = rows.withColumns({f"_p{i}": F.lag(f"_s{i}").over(forward) for i, _ in names})
+    # The totals after a segment and after the one before it, from one window.
+    totals = {f"_s{i}": F.col(f"_c{i}") - F.least(zero, F.min(f"_c{i}").over(so_far)) for i, _ in names}
+    rows = rows.withColumns(totals | {f"_p{i}": F.lag(f"_c{i}").over(forward) - F.least(zero, F.min(f"_c{i}").over(before)) for i, _ in names})
     rows = rows.withColumns({f"_f{i}": F.when(v[i] > 0, 1.0).when(F.col(f"_p{i}") > 0, F.col(f"_s{i}") / F.col(f"_p{i}")).otherwise(0.0) for i, _ in names})
     kept = {columns[c]: F.when(v[i] > 0, v[i] * F.coalesce(F.product(f"_f{i}").over(later), F.lit(1.0))).otherwise(0.0) for i, c in names}
     return rows.withColumns(kept).drop(*(f"_{x}{i}" for i, _ in names for x in "cspf"))

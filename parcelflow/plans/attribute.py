@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geo import assign_cell, cell_area
 from ..functions.thermo import with_thermo
 from ..operators.schedule import day_before_arrival
-from ..operators.trajectory import BY, KEY, arrival_columns, arrivals, arrives_in_pbl, differences, precipitates, segments
+from ..operators.trajectory import KEY, arrival_windows, arrivals, arrives_in_pbl, differences, in_window, precipitates
 from ..operators.uptake import flag_uptake, linear_discount, linear_discounts, uptake
 from ..params import CP, Grid, Heat, Job, Moisture
 
@@ -44,22 +44,16 @@ def track(traj: DataFrame, method: Heat | Moisture, job: Job, grid: Grid = Grid(
     """Follow one method through trajectories (release_ts, parcel_id, step, obs_ts, lon, lat, q, z, hmix, rho, t_k)."""
     heat = isinstance(method, Heat)
     full = with_thermo(traj, method.var if heat else "dse")
-    used = full
-    if method.arrival_pbl is not None or (not heat and method.rain is not None):
-        # The filters' columns come from windows that the differences need too: nothing is read or joined a second time.
-        seen = {name: c.over(_all_steps()) for name, c in arrival_columns().items()}
-        used = full.withColumns(seen).where(arrives(method)).drop(*seen)
-    segs = flag_uptake(segments(used, job, "heat" if heat else "moisture"), method, job)
+    filtered = method.arrival_pbl is not None or (not heat and method.rain is not None)
+    # What the filters need comes from windows that go with the differences: nothing is read or joined a second time.
+    arrival = arrival_windows() if filtered else {}
+    segs = in_window(differences(full, {"heat_var": "dheat"}, arrival), job, "heat" if heat else "moisture")
+    segs = flag_uptake(segs.where(arrives(method)).drop(*arrival), method, job)
     segs = linear_discount(segs) if method.discount else segs.withColumn("kept", F.col("value"))
     segs = segs.withColumn("day", day_before_arrival(F.col("segment"), job))
     return Tracked(method, job, grid, full.select(*KEY).distinct(), arrive_filters(arrivals(full), method), assign_cell(segs, grid, wrap=not (heat and job.compat)))
 
 
-def _all_steps():
-    """All steps of a trajectory, in the order of its differences, so that both need one sort."""
-    return Window.partitionBy(*BY).orderBy(F.col("step").desc()).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-
-
 def track_heat(traj: DataFrame, method: Heat, job: Job, grid: Grid = Grid()) -> Tracked:
     """``track`` for a heat method."""
     return track(traj, method, job, grid)
@@ -86,10 +80,9 @@ def track_all(traj: DataFrame, methods: dict[str, Heat | Moisture], job: Job, gr
     for var in heat or ["dse"]:
         rows = with_thermo(rows, var).withColumnRenamed("heat_var", var)
     names = list(enumerate(methods))
-    rows = rows.withColumns({name: c.over(_all_steps()) for name, c in arrival_columns().items()})
+    rows = differences(rows, heat, arrival_windows()).where(F.col("step") <= k)
     rows = rows.withColumns({f"_passes_{i}": F.coalesce(arrives(methods[m]), F.lit(False)) for i, m in names})
     rows = rows.where(F.array_contains(F.array(*(f"_passes_{i}" for i, _ in names)), True))
-    rows = differences(rows, heat).where(F.col("step") <= k)
     flags, own = {}, {}
     for i, name in names:
         method = methods[name]
