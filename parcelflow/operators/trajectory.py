@@ -35,10 +35,11 @@ def trajectories(obs: DataFrame, targets: DataFrame, job: Job, steps: DataFrame
     at = ["parcel_id", "obs_ts"]
     values = [c for c in obs.columns if c not in at]
     there = sum((F.col(f"`{c}`").isNotNull().cast("int") for c in values), F.lit(0))
-    wanted = obs.join(spine.select(*at), at, "left_semi")
+    # Spark's estimates leave out what explode multiplies: without hints a spine of any size passes for small and is broadcast.
+    wanted = obs.join(spine.select(*at).hint("merge"), at, "left_semi")
     # Values go by their place, so no name of theirs can clash.
     one = wanted.groupBy(*at).agg(F.max(F.struct(there, *(F.col(f"`{c}`").alias(f"v{i}") for i, c in enumerate(values)))).alias("one"))
-    return spine.join(one.select(*at, *(F.col("one")[f"v{i}"].alias(c) for i, c in enumerate(values))), at, "left")
+    return spine.join(one.select(*at, *(F.col("one")[f"v{i}"].alias(c) for i, c in enumerate(values))).hint("merge"), at, "left")
 
 
 def _at(step: int, name: str) -> F.Column:

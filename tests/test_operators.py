@@ -394,3 +394,11 @@ def test_trajectories_take_any_column_name(spark):
     traj = trajectories(obs, obs.select(F.lit(T0).alias("release_ts"), "parcel_id").distinct(), Job())
     assert traj.count() == 3 * 42 and {"_there", "a.b"} <= set(traj.columns)
     assert traj.where("lon is not null").count() == obs.where(F.col("obs_ts") >= F.lit(T0 - dt.timedelta(hours=6 * 41))).select("parcel_id", "obs_ts").distinct().count()
+
+
+def test_trajectories_broadcast_no_spine(spark):
+    """The rows that explode makes of few targets are in no estimate: neither the spine nor its observations may be broadcast."""
+    targets_ = spark.range(50).select(F.col("id").alias("parcel_id"), F.lit(T0).alias("release_ts"))
+    obs = targets_.select("parcel_id", F.col("release_ts").alias("obs_ts"), F.lit(1.0).alias("q"))
+    plan = trajectories(obs, targets_, Job())._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
