@@ -8,6 +8,7 @@ never opened, and of the rest only the records that pass become rows.
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 from datetime import datetime, timezone
@@ -31,8 +32,10 @@ COLUMNS = ["lon", "lat", "q", "z", "topo", "rho", "hmix", "tropo", "t_k", "mass"
 SCHEMA = "obs_ts timestamp, parcel_id int, " + ", ".join(f"{c} double" for c in COLUMNS)
 #: Records of a range, and records that are decoded at once.
 SPLIT, BATCH = 2_000_000, 200_000
-#: Records that small files are packed to at least, before there are as many tasks as cores.
+#: Records that small files are packed to at least, before there are as many tasks as cores; also when they are written.
 SMALL = 50_000
+#: Most partitions that files are dealt over when they are written, and the level of their compression: gzip's own, as 9 takes eight times as long for 6 % less.
+WRITERS, LEVEL = 10_000, 6
 _NAME = re.compile(r"partposit_(\d{14})(\.gz)?$")
 _TESTS = {datasource.EqualTo: np.equal, datasource.GreaterThan: np.greater, datasource.GreaterThanOrEqual: np.greater_equal, datasource.LessThan: np.less, datasource.LessThanOrEqual: np.less_equal, datasource.In: lambda x, v: np.isin(x, list(v))}
 
@@ -221,20 +224,31 @@ def write_snapshots(obs: DataFrame, path: str, layout: str = "global", compress:
     if layout not in ("global", "wrf"):
         raise ValueError("layout is global or wrf")
     have = [c for c in COLUMNS if c in obs.columns]
-    rows = obs.where("obs_ts is not null and parcel_id is not null").select("obs_ts", F.col("parcel_id").cast("int").alias("parcel_id"), *(F.col(c).cast("double").alias(c) for c in have))
-    rows = rows.join(rows.groupBy("obs_ts").agg(F.count("*").alias("parcels")), "obs_ts").repartition("obs_ts").sortWithinPartitions("obs_ts", "parcel_id")
-    rows = rows.select(F.date_format("obs_ts", "yyyyMMddHHmmss").alias("name"), "parcels", "parcel_id", *have)
+    name = F.date_format("obs_ts", "yyyyMMddHHmmss").alias("name")
+    rows = obs.where("obs_ts is not null and parcel_id is not null").select(name, F.col("parcel_id").cast("int").alias("parcel_id"), *(F.col(c).cast("double").alias(c) for c in have))
+    parcels = {r.name: r.n for r in rows.groupBy("name").agg(F.count("*").alias("n")).collect()}  # a row a file
+    if not parcels:
+        return 0
+    # Ranges, not hashes: Spark drops a repartition by hash after a join on the same column, and reads such a join by mapper once its
+    # other side is broadcast; a file would then be written by several tasks.  Four ranges a file leave each large file a task of its own.
+    tasks = max(1, min(4 * len(parcels), sum(parcels.values()) // SMALL, WRITERS))
+    rows = rows.repartitionByRange(tasks, "name").sortWithinPartitions("name", "parcel_id")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import os
 
         system, top = file_system(path)
         system.create_dir(top, recursive=True)
-        now = out = None
+        now = out = packed = None
         done = 0
 
+        def put(data: np.ndarray) -> None:
+            out.write(packed.compress(data.tobytes()) if compress else data.tobytes())
+
         def close() -> None:
-            out.write(np.zeros(1, RECORD).tobytes())
+            put(np.zeros(1, RECORD))
+            if compress:
+                out.write(packed.flush())
             out.close()
             system.move(f"{top}/.{now}.{os.getpid()}", f"{top}/partposit_{now}{'.gz' if compress else ''}")
 
@@ -242,18 +256,19 @@ def write_snapshots(obs: DataFrame, path: str, layout: str = "global", compress:
             names = batch.column(0).to_numpy(zero_copy_only=False)
             data = np.zeros(len(names), RECORD)
             data["mark"] = data["end"] = RECORD.itemsize - 8
-            data["parcel_id"] = batch.column(2).to_numpy()
+            data["parcel_id"] = batch.column(1).to_numpy()
             for c in COLUMNS:
-                data[c] = np.nan_to_num(batch.column(3 + have.index(c)).to_numpy(zero_copy_only=False).astype(float), nan=ABSENT) if c in have else ABSENT
+                data[c] = np.nan_to_num(batch.column(2 + have.index(c)).to_numpy(zero_copy_only=False).astype(float), nan=ABSENT) if c in have else ABSENT
             cuts = np.concatenate([[0], np.flatnonzero(names[1:] != names[:-1]) + 1, [len(names)]]) if len(names) else []
             for a, b in zip(cuts[:-1], cuts[1:]):
                 if names[a] != now:
                     if now:
                         close()
                     now, done = names[a], done + 1
-                    out = system.open_output_stream(f"{top}/.{now}.{os.getpid()}", compression="gzip" if compress else None)
-                    out.write(np.array([4, 0, batch.column(1)[int(a)].as_py()], "<i4").tobytes())
-                out.write(data[a:b].tobytes())
+                    out = system.open_output_stream(f"{top}/.{now}.{os.getpid()}", compression=None)
+                    packed = zlib.compressobj(LEVEL, zlib.DEFLATED, 31) if compress else None  # 31: with gzip's header
+                    put(np.array([4, 0, parcels[now]], "<i4"))
+                put(data[a:b])
         if now:
             close()
         yield pa.record_batch([pa.array([done], pa.int64())], names=["files"])

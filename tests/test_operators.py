@@ -402,3 +402,18 @@ def test_trajectories_broadcast_no_spine(spark):
     obs = targets_.select("parcel_id", F.col("release_ts").alias("obs_ts"), F.lit(1.0).alias("q"))
     plan = trajectories(obs, targets_, Job())._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
+@pytest.mark.parametrize("most", ["-1", "20000", "10000000"])
+def test_a_file_is_written_by_one_task(spark, tmp_path, most):
+    """Whether or not the counts are broadcast on the way, also after observations that were shuffled before."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    obs = spark.range(20000).selectExpr("id as parcel_id", "id % 3 as b").groupBy("parcel_id", "b").agg(F.lit(1.5).alias("q")).selectExpr("parcel_id", "q", "timestamp_seconds(b * 21600) as obs_ts")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", most)
+    try:
+        assert write_snapshots(obs, str(tmp_path / "in"), compress=True) == 3
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    back = ingest_snapshots(spark, str(tmp_path / "in"))
+    assert back.select("parcel_id").distinct().count() == back.count() == 20000
+    assert all(f.read_bytes()[8] != 2 for f in (tmp_path / "in").glob("*.gz"))  # not at the slowest level
