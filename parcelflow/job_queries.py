@@ -129,7 +129,7 @@ def mask_from_axes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def store_sod08(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Daily moisture uptake over a store of observations by parcel."""
     table, dense = f"store_{uuid.uuid4().hex}", fixtures.dense(spark, sf_dir)
-    write_store(dense.drop("release_ts", "step"), table, fresh(spark, "store"), 8)
+    write_store(dense.drop("release_ts", "step"), table, fresh(spark, "store"))
     traj = stored_trajectories(spark, table, dense.where("step = 0").select("release_ts", "parcel_id"), JOB)
     run = track(traj, _SOD, JOB, GRID)
     return _rel(to_flux(grid_sum(run), run)).select("rel", "day", "iy", "ix", "n", _round("flux"))

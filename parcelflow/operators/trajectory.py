@@ -25,13 +25,14 @@ def trajectories(obs: DataFrame, targets: DataFrame, job: Job, steps: DataFrame
     observations stay where they are.
     """
     obs = obs.drop("release_ts", "step")
+    if buckets:  # before targets become steps, of which there are many more
+        targets = targets.withColumn("parcel_id", F.col("parcel_id").cast(obs.schema["parcel_id"].dataType)).repartition(buckets, "parcel_id")
     if steps is None:
         spine = targets.select(*KEY, F.explode(F.sequence(F.lit(0), F.lit(job.segments + 1))).alias("step"))
         spine = spine.withColumn("obs_ts", F.expr(f"release_ts - make_interval(0, 0, 0, 0, 0, step * {job.time_step})"))
     else:
         spine = targets.select(*KEY).join(steps.select("release_ts", "step", "obs_ts"), "release_ts")
-    if buckets:
-        spine = spine.withColumn("parcel_id", F.col("parcel_id").cast(obs.schema["parcel_id"].dataType)).repartition(buckets, "parcel_id")
+        spine = spine.repartition(buckets, "parcel_id") if buckets else spine
     at = ["parcel_id", "obs_ts"]
     values = [c for c in obs.columns if c not in at]
     there = sum((F.col(f"`{c}`").isNotNull().cast("int") for c in values), F.lit(0))

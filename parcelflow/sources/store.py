@@ -18,13 +18,17 @@ from .snapshots import needed_days
 
 #: Parcels that are named in a scan at most; of more, all row groups of the wanted days are read.
 FEW_PARCELS = 1000
+#: Rows of a bucket, about, where no number of buckets is given: what a task sorts at once.
+BUCKET_ROWS = 1_000_000
 
 
-def write_store(obs: DataFrame, table: str, path: str, buckets: int = 64) -> None:
+def write_store(obs: DataFrame, table: str, path: str, buckets: int | None = None) -> None:
     """Write observations as the bucketed table ``table`` at ``path``; into an existing one, days of ``obs`` replace theirs.
 
-    Buckets should hold what a task can sort: about as many as the cluster has cores.  Rows without a time
-    or a parcel are left out; repeated rows stay, and count once in trajectories.
+    Buckets should hold what a task can sort: without ``buckets`` rows are counted and there are as many as hold
+    BUCKET_ROWS each, but no fewer than the cluster has cores.  The number stays when days are added, so a store
+    that is filled day by day should be given it.  Rows without a time or a parcel are left out; repeated rows
+    stay, and count once in trajectories.
     """
     spark = obs.sparkSession
     rows = obs.where("obs_ts is not null and parcel_id is not null").withColumn("obs_date", F.to_date("obs_ts"))
@@ -38,6 +42,8 @@ def write_store(obs: DataFrame, table: str, path: str, buckets: int = 64) -> Non
         finally:
             spark.conf.set("spark.sql.sources.partitionOverwriteMode", before)
         return
+    if buckets is None:
+        buckets = max(spark.sparkContext.defaultParallelism, -(-rows.count() // BUCKET_ROWS))
     # The columns' order is the table's: partition columns last.
     rows = rows.select(*(c for c in rows.columns if c != "obs_date"), "obs_date").repartition(buckets, "parcel_id")
     rows.write.option("path", path).partitionBy("obs_date").bucketBy(buckets, "parcel_id").sortBy("parcel_id", "obs_ts").saveAsTable(table)

@@ -11,6 +11,7 @@ import pytest
 from pyspark.sql import datasource
 from pyspark.sql import functions as F
 
+from parcelflow import fixtures
 from parcelflow.functions.geo import assign_cell, mean_longitude, output_grid
 from parcelflow.operators import targets
 from parcelflow.operators.schedule import gate, missing_inputs, release_schedule, step_schedule
@@ -22,7 +23,7 @@ from parcelflow.plans.attribute import grid_integrated, grid_sum, run_stats, run
 from parcelflow.plans.job import whole_job, write_job
 from parcelflow.sources.sink import manifest, read_results, write_results
 from parcelflow.sources.snapshots import HEADER, RECORD, SnapshotReader, ingest_snapshots, load_mask_axes, read_observations, snapshot_catalogue, write_observations, write_snapshots
-from parcelflow.sources.store import stored_trajectories, write_store
+from parcelflow.sources.store import buckets_of, stored_trajectories, write_store
 
 T0 = dt.datetime(2015, 7, 5)
 
@@ -417,3 +418,14 @@ def test_a_file_is_written_by_one_task(spark, tmp_path, most):
     back = ingest_snapshots(spark, str(tmp_path / "in"))
     assert back.select("parcel_id").distinct().count() == back.count() == 20000
     assert all(f.read_bytes()[8] != 2 for f in (tmp_path / "in").glob("*.gz"))  # not at the slowest level
+
+
+def test_buckets_of_a_store_grow_with_its_rows(spark, tmp_path, monkeypatch):
+    obs = spark.createDataFrame(_gappy_obs(spark, 60), OBS)
+    monkeypatch.setattr("parcelflow.sources.store.BUCKET_ROWS", 100)
+    write_store(obs, "store_grown", str(tmp_path / "store"))
+    assert buckets_of(spark, "store_grown") == -(-obs.count() // 100) > 8
+    targets_ = obs.select(F.lit(T0).alias("release_ts"), "parcel_id").distinct()
+    rows = lambda df: sorted(map(str, df.select("release_ts", "parcel_id", "step", "q").collect()))
+    assert rows(stored_trajectories(spark, "store_grown", targets_, Job())) == rows(trajectories(obs, targets_, Job()))
+    spark.sql("drop table store_grown")
