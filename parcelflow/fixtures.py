@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 T0 = "2015-07-05 00:00:00"
+#: Rows of whole trajectories that one task sorts, about.
+TASK_ROWS = 1_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -13,10 +15,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def dense(spark: SparkSession, sf_dir: str, releases: int = 1) -> DataFrame:
-    """Every parcel at every step: customers for one release; orders for more, six hours apart."""
+    """Every parcel at every step: customers for one release; orders for more, six hours apart.
+
+    Parcels are dealt out before they become rows, so windows over trajectories need no shuffle of observations.
+    """
     source, key = ("customer", "c_custkey") if releases == 1 else ("orders", "o_orderkey")
     ids = table(spark, sf_dir, source).select(F.col(key).alias("c"))
-    rows = ids.withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(releases - 1)))).withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(41))))
+    tasks = max(spark.sparkContext.defaultParallelism, -(-ids.count() * releases * 42 // TASK_ROWS))
+    rows = ids.repartition(tasks, "c").withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(releases - 1)))).withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(41))))
     return rows.selectExpr(
         "c as parcel_id", f"timestamp'{T0}' + make_interval(0, 0, 0, 0, 6 * r) as release_ts", "cast(k as int) as step", f"timestamp'{T0}' + make_interval(0, 0, 0, 0, 6 * (r - k)) as obs_ts",
         "((c * 137 + (41 - k) * 3) % 3600) / 10e0 - 180e0 + 0.03e0 as lon", "((c * 61) % 1400 + (41 - k) * 2) / 10e0 - 70e0 + 0.03e0 as lat",

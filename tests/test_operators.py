@@ -420,6 +420,11 @@ def test_a_file_is_written_by_one_task(spark, tmp_path, most):
     assert all(f.read_bytes()[8] != 2 for f in (tmp_path / "in").glob("*.gz"))  # not at the slowest level
 
 
+def test_dense_trajectories_are_dealt_out_before_they_are_rows(spark, sf):
+    plan = track(fixtures.dense(spark, sf, 4), MOISTURE["SOD08"], Job()).segments._jdf.queryExecution().executedPlan().toString()
+    assert re.findall(r"Exchange (\w+)\((\w+)", plan) == [("hashpartitioning", "c")]
+
+
 def test_buckets_of_a_store_grow_with_its_rows(spark, tmp_path, monkeypatch):
     obs = spark.createDataFrame(_gappy_obs(spark, 60), OBS)
     monkeypatch.setattr("parcelflow.sources.store.BUCKET_ROWS", 100)
